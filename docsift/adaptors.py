@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """The scan over all cores.
+
+    A benchmark table is one file with one row group, hence one task.  A table
+    with at least as many splits as cores is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _pick(number: Column, values: list[str | None]) -> Column:
     out = F.lit(values[-1])
     for i, value in reversed(list(enumerate(values[:-1]))):
@@ -46,7 +56,8 @@ def camel_name() -> Column:
 def symbols_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search catalog of three sources in which two rows share each URL."""
     key = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    return spread(parts).select(
         F.concat(F.lit("lib_"), key % 3).alias("source"),
         (key % 3).cast("int").alias("source_ord"),
         key.alias("pos"),
@@ -62,9 +73,10 @@ def symbols_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry rows of the sources of ``symbols_part``, found from the catalog itself."""
     number = F.substr("source", F.lit(5)).cast("int")
+    key = F.col("p_partkey")
     return (
-        symbols_part(spark, sf_dir)
-        .select("source", "source_ord")
+        table(spark, sf_dir, "part")
+        .select(F.concat(F.lit("lib_"), key % 3).alias("source"), (key % 3).cast("int").alias("source_ord"))
         .distinct()
         .select(
             F.col("source").alias("name"),
@@ -363,7 +375,7 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages with two sections: the document and a note."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select(
         "doc_id",
         F.concat(F.lit(f"{SITE}/doc/"), "doc_id").alias("url"),
         F.concat(

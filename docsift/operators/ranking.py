@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POS_BLOCK = 1 << 20
+# Rows of one (group, order) are sorted in blocks of this many positions.
+POS_BLOCK_BITS = 20
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], last: bool = False, **extra: Column) -> DataFrame:
@@ -32,7 +33,7 @@ def add_rank(
     order: list[str],
     pos: str,
     limit: int | None = None,
-    block: int = POS_BLOCK,
+    block_bits: int = POS_BLOCK_BITS,
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1, 2, ... by ``order`` and then ``pos``.
 
@@ -47,20 +48,30 @@ def add_rank(
         window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order, pos)
         return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit)
 
-    cell = F.struct(*[F.col(c) for c in by + order], F.floor(F.col(pos) / F.lit(block)).alias("_block"))
-    # One struct key: it is never NULL, so no filter gets between the two uses of
-    # ``df`` and Spark can run its last shuffle once for both.
-    cut = df.withColumn("_cell", cell)
-    group = [F.col("_cell").getField(c) for c in by] or [F.lit(0)]
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    # Keys that cannot be NULL: Spark then adds no filter to one of the two uses of
+    # ``df`` and runs its last shuffle once for both.
+    cells = {f"_c{i}": F.coalesce(c, _never_null(df, c)) for i, c in enumerate(by + order)}
+    cells["_block"] = F.coalesce(F.shiftright(F.col(pos).cast("long"), block_bits), F.lit(0).cast("long"))
+    keys = list(cells)
+    cut = df.withColumns(cells)
+    before = (
+        Window.partitionBy(*(keys[: len(by)] or [F.lit(0)]))
+        .orderBy(*keys[len(by) :])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     offsets = (
-        cut.groupBy("_cell")
+        cut.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    inside = Window.partitionBy("_cell").orderBy(pos)
+    inside = Window.partitionBy(*keys).orderBy(pos)
     return (
-        cut.join(offsets, "_cell")
+        cut.join(offsets, keys)
         .withColumn("rank", (F.col("_before") + F.row_number().over(inside)).cast("int"))
-        .drop("_before", "_cell")
+        .drop("_before", *keys)
     )
+
+
+def _never_null(df: DataFrame, column: str) -> Column:
+    zero = "" if df.schema[column].dataType.simpleString() == "string" else 0
+    return F.lit(zero).cast(df.schema[column].dataType)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +30,14 @@ def load_registry(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
         # Malformed rows only show when they are read; one aggregate reads them all.
         registry.agg(F.count(F.to_json(F.struct("*")))).first()
         return registry
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         text = str(error)
         if "PATH_NOT_FOUND" in text:
             return f"registry not found: {path}"
-        reason = text.splitlines()[0]
-        verb = "parse" if "MALFORMED" in text or "FAILED_READ" in text else "read"
-        return f"failed to {verb} registry {path}: {reason}"
+        malformed = re.search(r"\[MALFORMED[^\n]*", text)
+        if malformed:
+            return f"failed to parse registry {path}: {malformed[0]}"
+        return f"failed to read registry {path}: {text.splitlines()[0]}"
 
 
 def _missing(text: Column) -> Column:
@@ -74,48 +78,40 @@ def list_sources(sources: DataFrame) -> DataFrame:
 _RESOLVED = ["match_threshold", "doc_type", "doc_url", "index_url"]
 
 
+def _lookup(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every request with the source it names, or NULL.
+
+    Aliases are reduced to one source each before the join, so a tag carried by
+    many sources does not multiply rows.
+    """
+    fields = F.struct(F.col("name").alias("source"), "source_ord", *_RESOLVED)
+    named = sources.filter(F.col("name").isNotNull()).withColumn("_source", fields)
+    tagged = named.withColumn("_tag", F.explode("tags"))
+    first = F.min_by("_source", "source_ord")
+    by_name = named.groupBy(F.col("name").alias("requested")).agg(first.alias("_by_name"))
+    by_tag = tagged.groupBy(F.lower("_tag").alias("_lowered")).agg(first.alias("_by_tag"))
+    return (
+        requests.withColumn("_lowered", F.lower("requested"))
+        .join(by_name, "requested", "left")
+        .join(by_tag, "_lowered", "left")
+        .withColumn("_source", F.coalesce("_by_name", "_by_tag"))
+        .select("query_id", "request_ord", "requested", "_source.*")
+    )
+
+
 def resolve_requests(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """Requests with the source each one names; unknown ones are left out.
 
     An exact name wins over an equal tag (any case); among equals the first
-    source in registry order wins.  Aliases are reduced to one source each
-    before the join, so a tag carried by many sources does not multiply rows.
+    source in registry order wins.
     """
-    aliases = sources.filter(F.col("name").isNotNull()).withColumn(
-        "_alias",
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit(0).alias("by_tag"), F.col("name").alias("key"))),
-                F.transform(
-                    F.coalesce("tags", F.array().cast("array<string>")),
-                    lambda t: F.struct(F.lit(1).alias("by_tag"), F.lower(t).alias("key")),
-                ),
-            )
-        ),
-    )
-    one_each = first_by(
-        aliases.select(
-            "_alias.by_tag", "_alias.key", F.col("name").alias("source"), "source_ord", *_RESOLVED
-        ),
-        ["by_tag", "key"],
-        ["source_ord"],
-    )
-    wanted = requests.withColumn(
-        "_key",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("by_tag"), F.col("requested").alias("key")),
-                F.struct(F.lit(1).alias("by_tag"), F.lower("requested").alias("key")),
-            )
-        ),
-    ).select("*", "_key.*")
-    hits = wanted.join(one_each, ["by_tag", "key"]).drop("_key", "key")
-    return first_by(hits, ["query_id", "request_ord", "requested"], ["by_tag"]).drop("by_tag")
+    return _lookup(requests, sources).filter(F.col("source").isNotNull())
 
 
 def unknown_sources(requests: DataFrame, sources: DataFrame) -> DataFrame:
     """Requests that name no source."""
-    return requests.join(resolve_requests(requests, sources), ["query_id", "request_ord"], "left_anti")
+    unknown = _lookup(requests, sources).filter(F.col("source").isNull())
+    return unknown.select("query_id", "request_ord", "requested")
 
 
 def canonical_requests(requests: DataFrame, sources: DataFrame) -> DataFrame:
@@ -123,9 +119,10 @@ def canonical_requests(requests: DataFrame, sources: DataFrame) -> DataFrame:
 
     A query with an unknown source fails as a whole and has no rows.
     """
-    resolved = resolve_requests(requests, sources)
-    failed = requests.join(resolved, ["query_id", "request_ord"], "left_anti").select("query_id")
-    return first_by(resolved, ["query_id", "source"], ["request_ord"]).join(failed, "query_id", "left_anti")
+    found = _lookup(requests, sources)
+    failed = found.filter(F.col("source").isNull()).select("query_id").distinct()
+    known = found.filter(F.col("source").isNotNull())
+    return first_by(known, ["query_id", "source"], ["request_ord"]).join(failed, "query_id", "left_anti")
 
 
 def latest_fetch(crawl_log: DataFrame) -> DataFrame:

@@ -305,7 +305,7 @@ def placeholder_rows(spark, sf):
 
 def _crawled_index(spark: SparkSession, sf: str) -> DataFrame:
     page = F.col("page_id")
-    return ad.table(spark, sf, "pages").select(
+    return ad.spread(ad.table(spark, sf, "pages").select("page_id", "url", "html")).select(
         F.concat(F.lit("site"), F.floor(page / 3)).alias("source"),
         page.cast("int").alias("source_ord"),
         F.col("url").alias("index_url"),
@@ -330,7 +330,7 @@ def group_links(spark, sf):
 
 @register
 def url_resolution(spark, sf):
-    anchors = pg.anchors(ad.table(spark, sf, "pages").select("page_id", "url", "html"))
+    anchors = pg.anchors(ad.spread(ad.table(spark, sf, "pages").select("page_id", "url", "html")))
     joined = anchors.withColumn("resolved", url_join(F.col("url"), F.col("href")))
     return joined.select("page_id", "idx", "href", "resolved", without_fragment(F.col("resolved")).alias("page_url"))
 
@@ -432,7 +432,7 @@ def text_tree_section(spark, sf):
 @register
 def text_tree_pages(spark, sf):
     pages = ad.table(spark, sf, "pages").select("page_id", "html")
-    return with_text_tree(pages).select("page_id", "text_tree", "status")
+    return with_text_tree(ad.spread(pages)).select("page_id", "text_tree", "status")
 
 
 @register
@@ -452,7 +452,8 @@ def noise_filter(spark, sf):
 @register
 def normalize_whitespace(spark, sf):
     messy = F.concat(F.lit(" \t\n"), F.replace("text", F.lit(". "), F.lit(".\t  \n \t")), F.lit("\n\n"))
-    return ad.table(spark, sf, "documents").select("doc_id", tx.normalize_lines(messy).alias("text"))
+    docs = ad.spread(ad.table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", tx.normalize_lines(messy).alias("text"))
 
 
 # --- source health ----------------------------------------------------------
