@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsift.functions import html as dom
+from docsift.functions.urls import resolve
 
 # --- fixed values -----------------------------------------------------------
 MEMBER_HREF = re.compile(r"^#(group__\w+_1\w+)")
@@ -18,24 +19,29 @@ INDEX_TABLE = ("table", "indextable")
 # ----------------------------------------------------------------------------
 
 
-def _rows(html: pa.Array, extract: Callable[[dom.Element], Iterator[dict]], fields: list[str]) -> pa.Array:
+def _rows(html: pa.Array, fields: list[str], extract: Callable[..., Iterator[dict]], *columns: pa.Array) -> pa.Array:
     """Array of structs per page; empty for a missing page or one that cannot be parsed."""
 
-    def read(page: str | None) -> list[dict] | None:
+    def read(page: str | None, *args: str | None) -> list[dict]:
         if page is None:
             return []
         try:
-            return list(extract(dom.parse(page)))
+            return list(extract(dom.parse(page), *args))
         except AssertionError:  # raised by the standard parser for markup it rejects
             return []
 
     kind = pa.list_(pa.struct([(f, pa.string()) for f in fields]))
-    return pa.array([read(p) for p in html.to_pylist()], type=kind)
+    pages = zip(html.to_pylist(), *[c.to_pylist() for c in columns])
+    return pa.array([read(*page) for page in pages], type=kind)
 
 
-def _link_rows(root: dom.Element) -> Iterator[dict]:
+def _link(a: dom.Element, base: str | None) -> dict:
+    return {"href": a.attrs["href"], "text": a.stripped_text(""), "url": resolve(base, a.attrs["href"])}
+
+
+def _link_rows(root: dom.Element, base: str | None) -> Iterator[dict]:
     for a in dom.links(root):
-        yield {"href": a.attrs["href"], "text": a.stripped_text("")}
+        yield _link(a, base)
 
 
 def _member_rows(root: dom.Element) -> Iterator[dict]:
@@ -62,41 +68,49 @@ def _member_rows(root: dom.Element) -> Iterator[dict]:
         }
 
 
-def _index_rows(root: dom.Element) -> Iterator[dict]:
+def _index_rows(root: dom.Element, base: str | None) -> Iterator[dict]:
     for table in root.elements():
         if table.name == INDEX_TABLE[0] and table.has_class(INDEX_TABLE[1]):
             for item in table.elements():
                 if item.name == "li":
                     a = next(dom.links(item), None)
                     if a is not None:
-                        yield {"href": a.attrs["href"], "text": a.stripped_text("")}
+                        yield _link(a, base)
+
 
+_LINK = ["href", "text", "url"]
+_MEMBER = ["href", "text", "heading"]
 
-def _links(html: pa.Array) -> pa.Array:
-    return _rows(html, _link_rows, ["href", "text"])
+
+def _links(html: pa.Array, base: pa.Array) -> pa.Array:
+    return _rows(html, _LINK, _link_rows, base)
 
 
 def _members(html: pa.Array) -> pa.Array:
-    return _rows(html, _member_rows, ["href", "text", "heading"])
+    return _rows(html, _MEMBER, _member_rows)
+
+
+def _index(html: pa.Array, base: pa.Array) -> pa.Array:
+    return _rows(html, _LINK, _index_rows, base)
 
 
-def _index(html: pa.Array) -> pa.Array:
-    return _rows(html, _index_rows, ["href", "text"])
+# A page is parsed once: declared nondeterministic, a parse is not copied into a
+# filter on its result that moves below it.
 
 
-def page_links(html: Column) -> Column:
-    """Anchors with an href, in document order."""
-    return F.arrow_udf(_links, "array<struct<href:string,text:string>>")(html)
+def page_links(html: Column, base: Column) -> Column:
+    """Anchors with an href, in document order; ``url`` is the href resolved against ``base``."""
+    return F.arrow_udf(_links, "array<struct<href:string,text:string,url:string>>").asNondeterministic()(html, base)
 
 
 def page_members(html: Column) -> Column:
     """Member anchors with their disambiguated name and the section heading before them."""
-    return F.arrow_udf(_members, "array<struct<href:string,text:string,heading:string>>")(html)
+    return F.arrow_udf(_members, "array<struct<href:string,text:string,heading:string>>").asNondeterministic()(html)
 
 
-def index_links(html: Column) -> Column:
-    """First anchor of every list item of the index tables."""
-    return F.arrow_udf(_index, "array<struct<href:string,text:string>>")(html)
+def index_links(html: Column, base: Column) -> Column:
+    """First anchor of every list item of the index tables, resolved against ``base``."""
+    return F.arrow_udf(_index, "array<struct<href:string,text:string,url:string>>").asNondeterministic()(html, base)
 
 
 def _tree(page: str | None, section: str | None, main_only: bool | None) -> dict:
@@ -125,4 +139,4 @@ def _trees(html: pa.Array, section: pa.Array, main_only: pa.Array) -> pa.Array:
 
 def page_tree(html: Column, section: Column, main_only: Column) -> Column:
     """Brace tree of a page, of its main content, or of one section."""
-    return F.arrow_udf(_trees, "struct<tree:string,status:string>")(html, section, main_only)
+    return F.arrow_udf(_trees, "struct<tree:string,status:string>").asNondeterministic()(html, section, main_only)

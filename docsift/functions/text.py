@@ -155,8 +155,9 @@ def is_noise(text: Column) -> Column:
 
 def normalize_lines(text: Column) -> Column:
     """Runs of blanks become one space, lines are stripped, blank lines dropped."""
-    lines = F.transform(F.split(text, "\n"), lambda l: strip(F.regexp_replace(l, "[ \t]+", " ")))
-    return F.array_join(F.filter(lines, lambda l: l != ""), "\n")
+    blanks = F.regexp_replace(text, "[ \t]+", " ")
+    # White space around a line break belongs to line ends or blank lines.
+    return strip(F.regexp_replace(blanks, r"(?U)[\s\x1c-\x1f&&[^\n]]*+\n[\s\x1c-\x1f]*+", "\n"))
 
 
 def section_role(heading: Column) -> Column:

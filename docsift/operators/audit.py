@@ -14,10 +14,10 @@ DETAIL_WIDTH = 60
 _CHECK = ["check", "ok", "detail"]
 
 
-def url_health(crawl_log: DataFrame) -> DataFrame:
-    """Newest state of every URL; only status 200 is healthy."""
+def url_health(crawl_log: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Newest state of every URL, or of those in ``urls`` (url); only status 200 is healthy."""
     answered = F.col("error").isNull() & F.col("status").isNotNull()
-    return latest_fetch(crawl_log).select(
+    return latest_fetch(crawl_log, urls).select(
         "url",
         F.when(answered, F.col("status")).alias("status"),
         (answered & (F.col("status") == 200)).alias("ok"),
@@ -53,18 +53,29 @@ def _healthy() -> Column:
     return F.coalesce(F.col("ok"), F.lit(False))
 
 
-def inventory_checks(sources: DataFrame, health: DataFrame, counts: DataFrame) -> DataFrame:
-    """Checks of inventory sources: candidates in order up to the first that answers with objects.
-
-    ``counts`` has (url, total, domains) by final inventory URL.
-    """
+def _inventory_candidates() -> Column:
+    """The listed inventories, then those beside the base URLs that are not listed."""
     empty = F.array().cast("array<string>")
     listed = F.coalesce("inventory_urls", empty)
     beside = F.transform(
         F.coalesce("base_urls", empty), lambda b: _text(F.rtrim(b, F.lit("/")), "/" + INVENTORY_FILE)
     )
-    candidates = F.concat(listed, F.array_except(beside, listed))
-    own = sources.select("source_ord", candidates.alias("_urls"))
+    return F.concat(listed, F.array_except(beside, listed))
+
+
+def audited_urls(sources: DataFrame) -> DataFrame:
+    """Every address an audit of these sources looks up."""
+    return sources.select(
+        F.explode(F.concat(_inventory_candidates(), F.array("index_url", "doc_url"))).alias("url")
+    ).filter(F.col("url").isNotNull())
+
+
+def inventory_checks(sources: DataFrame, health: DataFrame, counts: DataFrame) -> DataFrame:
+    """Checks of inventory sources: candidates in order up to the first that answers with objects.
+
+    ``counts`` has (url, total, domains) by final inventory URL.
+    """
+    own = sources.select("source_ord", _inventory_candidates().alias("_urls"))
 
     tries = own.select("source_ord", F.posexplode("_urls").alias("at", "url")).join(health, "url", "left")
     tries = tries.withColumn("_final", F.coalesce("redirected_to", "url")).join(
@@ -164,7 +175,7 @@ def all_checks(
     sources: DataFrame, crawl_log: DataFrame, counts: DataFrame, link_counts: DataFrame
 ) -> DataFrame:
     """(source_ord, check_ord, check, ok, detail) of every source, by its type."""
-    health = url_health(crawl_log)
+    health = url_health(crawl_log, audited_urls(sources))
     of = lambda kind: sources.filter(F.col("doc_type") == kind)
     parts = [
         inventory_checks(of("sphinx"), health, counts),

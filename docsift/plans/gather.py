@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.urls import without_fragment
+from docsift.operators.sizing import broadcast_if_small
 from docsift.schemas import SYMBOL_COLUMNS
 from docsift.sources import inventory, pages as pg, registry
 
@@ -34,7 +34,7 @@ def gather_symbols(
 
     reachable = registry.first_reachable(sources.filter("doc_type = 'sphinx'"), crawl_log)
     located = reachable.join(base.select("source", "source_ord"), "source")
-    used = located.select(F.col("inventory_url").alias("url")).distinct()
+    used, _ = broadcast_if_small(located.select(F.col("inventory_url").alias("url")).distinct())
     objects = inventory.inventory_objects(inventories.join(used, "url", "left_semi"))
     from_inventory = inventory.inventory_symbols(objects, located)
 
@@ -43,9 +43,7 @@ def gather_symbols(
     )
     index_pages = pg.scan_pages(doxygen.select("source", "source_ord", "index_url"), pages, "index_url")
     links = pg.group_links(index_pages)
-    bad_links = links.filter(F.col("url").isNull()).select("source")
-    good_links = links.join(bad_links, "source", "left_anti")
-    from_links = good_links.select(
+    from_links = links.select(
         "source",
         "source_ord",
         F.col("pos").cast("long").alias("pos"),
@@ -54,20 +52,21 @@ def gather_symbols(
         "url",
         *[F.lit(None).cast("string").alias(c) for c in ("role", "domain", "origin")],
     )
-    wanted = good_links.select(
-        "source", "source_ord", F.col("pos").alias("page_ord"), without_fragment(F.col("url")).alias("page_url")
+    wanted = links.select(
+        "source", "source_ord", F.col("pos").alias("page_ord"), "page_url"
     ).join(doxygen.select("source", "default_domain", "cpp_groups"), "source")
     from_members = pg.member_symbols(pg.scan_pages(wanted, pages, "page_url"))
 
     noinv = base.filter("doc_type = 'sphinx_noinv'").select(
         "source", "source_ord", registry.index_page_url(F.coalesce("index_url", F.lit(""))).alias("index_page_url")
     )
-    entries = pg.index_symbols(pg.scan_pages(noinv, pages, "index_page_url"))
-    bad_entries = entries.filter(F.col("url").isNull()).select("source")
-    from_index = entries.join(bad_entries, "source", "left_anti")
+    general = pg.scan_pages(noinv, pages, "index_page_url")
+    from_index = pg.index_symbols(general)
 
     symbols = from_inventory.select(*SYMBOL_COLUMNS)
     for part in (from_links, from_members, from_index):
         symbols = symbols.unionByName(part.select(*SYMBOL_COLUMNS))
-    status = registry.source_status(sources, reachable, entries, bad_links.union(bad_entries))
+    state = pg.index_state(general)
+    broken = pg.broken_indexes(index_pages).union(state.filter("broken").select("source"))
+    status = registry.source_status(sources, reachable, state.filter("entries > 0"), broken)
     return Catalog(symbols, status)

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import codecs
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.functions.urls import url_join
+from docsift.functions.urls import resolve
 
 # --- fixed values -----------------------------------------------------------
 # Four header lines, then a zlib stream of lines "name domain:role priority uri dispname".
 HEADER = b"# Sphinx inventory version 2"
 HEADER_LINES = 4
-OBJECT_LINE = r"(?U)^(.+?)\s+([^\s:]+):(\S+)\s+(-?\d+)\s+?(\S*)\s+(.+?)\r?$"
+OBJECT_LINE = re.compile(r"^(.+?)\s+([^\s:]+):(\S+)\s+(-?\d+)\s+?(\S*)\s+(.+?)\r?$")
 # ----------------------------------------------------------------------------
 
 _CHUNK = 1 << 20
@@ -50,62 +52,54 @@ def _inflate(content: bytes) -> Iterator[str]:
         yield rest
 
 
-def _readable(content: bytes | None) -> bool:
+def _objects(url: str, content: bytes) -> Iterator[tuple]:
+    """Rows of the object lines; ``$`` in a uri stands for the object's name."""
+    for line_no, line in enumerate(_inflate(content)):
+        found = OBJECT_LINE.match(line)
+        if found:
+            name, domain, role, _, uri, _ = found.groups()
+            yield url, line_no, name, domain, role, uri, resolve(url, uri.replace("$", name))
+
+
+def _intact(url: str, content: bytes | None) -> bool | None:
+    """Whether every address of a readable inventory is well-formed; None if it is unreadable."""
     try:
-        for _ in _inflate(content or b""):
-            pass
-        return True
+        return all(row[-1] is not None for row in _objects(url, content or b""))
     except (ValueError, zlib.error):
-        return False
+        return None
+
+
+_OBJECT = "url string, line_no long, name string, domain string, role string, uri string, target string, intact boolean"
 
 
-def inventory_lines(files: DataFrame) -> DataFrame:
-    """(url, line_no, line) of every inventory; one that cannot be read whole has no rows."""
+def inventory_objects(files: DataFrame) -> DataFrame:
+    """(url, line_no, name, domain, role, uri, target, intact) of every object of inventory files.
+
+    A file that cannot be read whole has no rows, one with a malformed address
+    is not ``intact``.  Both show only at its end, so a file is read twice, a
+    batch of lines at a time, rather than held.
+    """
+    columns = [c.split()[0] for c in _OBJECT.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for url, content in zip(batch["url"], batch["content"]):
-                if not _readable(content):
-                    continue
-                lines, first = [], 0
-                for line in _inflate(content):
-                    lines.append(line)
-                    if len(lines) == _BATCH:
-                        yield pd.DataFrame({"url": url, "line_no": range(first, first + _BATCH), "line": lines})
-                        lines, first = [], first + _BATCH
-                if lines:
-                    yield pd.DataFrame({"url": url, "line_no": range(first, first + len(lines)), "line": lines})
+                intact = _intact(url, content)
+                rows = iter(()) if intact is None else _objects(url, content)
+                while part := list(islice(rows, _BATCH)):
+                    yield pd.DataFrame([(*row, intact) for row in part], columns=columns)
 
-    return files.select("url", "content").mapInPandas(read, "url string, line_no long, line string")
-
-
-def inventory_objects(files: DataFrame) -> DataFrame:
-    """(url, line_no, name, domain, role, uri) of every object line."""
-    fields = F.split(F.regexp_replace("line", OBJECT_LINE, "$1\u001f$2\u001f$3\u001f$5"), "\u001f")
-    return (
-        inventory_lines(files)
-        .withColumn("_f", fields)
-        .filter(F.size("_f") == 4)
-        .select(
-            "url",
-            "line_no",
-            *[F.get("_f", F.lit(i)).alias(c) for i, c in enumerate(["name", "domain", "role", "uri"])],
-        )
-    )
+    return files.select("url", "content").mapInPandas(read, _OBJECT)
 
 
 def inventory_symbols(objects: DataFrame, inventories: DataFrame) -> DataFrame:
     """Symbols of the sources in ``inventories`` (source, source_ord, inventory_url).
 
-    A ``$`` in an object's uri stands for its name.  An inventory with a
-    malformed address contributes nothing.
+    An inventory with a malformed address contributes nothing.
     """
-    uri = F.replace(F.col("uri"), F.lit("$"), F.col("name"))
-    located = objects.withColumnRenamed("url", "inventory_url").withColumn("_uri", uri)
-    resolved = located.withColumn("url", url_join(F.col("inventory_url"), F.col("_uri")))
-    broken = resolved.filter(F.col("url").isNull()).select("inventory_url").distinct()
     return (
-        resolved.join(broken, "inventory_url", "left_anti")
+        objects.filter("intact")
+        .withColumnRenamed("url", "inventory_url")
         .join(inventories, "inventory_url")
         .select(
             "source",
@@ -113,7 +107,7 @@ def inventory_symbols(objects: DataFrame, inventories: DataFrame) -> DataFrame:
             F.col("line_no").alias("pos"),
             F.lit("inventory").alias("kind"),
             F.col("name").alias("group"),
-            "url",
+            F.col("target").alias("url"),
             "role",
             "domain",
             F.lit(None).cast("string").alias("origin"),

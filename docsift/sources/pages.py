@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
 from docsift.functions.pages import index_links, page_links, page_members
-from docsift.functions.urls import url_join, without_fragment
+from docsift.functions.urls import without_fragment
 from docsift.operators.ranking import first_by
+from docsift.operators.sizing import broadcast_if_small
 
 # --- fixed values -----------------------------------------------------------
 GROUP_MARK = "group__"
@@ -25,17 +26,31 @@ PAGE_POS_STEP = 1 << 30
 
 
 def scan_pages(wanted: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """Rows of ``wanted`` with the html of their page; those without one are dropped."""
+    """Rows of ``wanted`` with the html of their page; those without one are dropped.
+
+    Few pages are wanted out of many: while the wanted rows measure small they
+    are broadcast, so that no page body is shuffled to find them.
+    """
     fetched = pages.filter(F.col("html").isNotNull()).select(F.col("url").alias(url), "html")
-    return wanted.join(fetched, url)
+    return fetched.join(broadcast_if_small(wanted)[0], url)
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """Pages with one row per anchor: idx, href, text."""
+    """Pages (with a ``url``) with one row per anchor: idx, href, text and the resolved target."""
     others = [c for c in pages.columns if c != "html"]
-    return pages.select(*others, F.posexplode(page_links(F.col("html"))).alias("idx", "_a")).select(
-        *others, "idx", "_a.*"
+    links = page_links(F.col("html"), F.col("url"))
+    return pages.select(*others, links.alias("_l")).select(*others, F.posexplode("_l").alias("idx", "_a")).select(
+        *others, "idx", "_a.href", "_a.text", F.col("_a.url").alias("target")
+    )
+
+
+def _group_entries(index_pages: DataFrame, href_contains: str, href_excludes: str) -> DataFrame:
+    links = F.transform(
+        page_links(F.col("html"), F.col("index_url")),
+        lambda a, i: F.struct(i.alias("pos"), a["href"].alias("href"), a["text"].alias("text"), a["url"].alias("url")),
     )
+    wanted = lambda a: a["href"].contains(href_contains) & ~a["href"].contains(href_excludes)
+    return index_pages.withColumn("_links", F.filter(links, wanted)).drop("html")
 
 
 def group_links(
@@ -43,22 +58,36 @@ def group_links(
 ) -> DataFrame:
     """Links of index pages (source, source_ord, index_url, html) to group pages.
 
-    The first link to each page counts; it keeps its fragment.  ``url`` is NULL
-    for a malformed link.
+    The first link to each page counts; it keeps its fragment.  A page with a
+    malformed link among them fails as a whole, see ``broken_indexes``.
     """
+    entries = _group_entries(index_pages, href_contains, href_excludes)
     found = (
-        anchors(index_pages)
-        .filter(F.col("href").contains(href_contains) & ~F.col("href").contains(href_excludes))
-        .withColumn("url", url_join(F.col("index_url"), F.col("href")))
-        .withColumn("page_url", without_fragment(F.col("url")))
-        .select("source", "source_ord", "page_url", F.col("idx").alias("pos"), F.col("text").alias("group"), "url")
+        entries.filter(~F.exists("_links", lambda a: a["url"].isNull()))
+        .select("source", "source_ord", F.explode("_links").alias("_a"))
+        .select(
+            "source",
+            "source_ord",
+            without_fragment(F.col("_a.url")).alias("page_url"),
+            "_a.pos",
+            F.col("_a.text").alias("group"),
+            "_a.url",
+        )
     )
     return first_by(found, ["source", "page_url"], ["pos"])
 
 
+def broken_indexes(
+    index_pages: DataFrame, href_contains: str = GROUP_MARK, href_excludes: str = OVERVIEW_MARK
+) -> DataFrame:
+    """Sources whose index page links to a malformed address."""
+    entries = _group_entries(index_pages, href_contains, href_excludes)
+    return entries.filter(F.exists("_links", lambda a: a["url"].isNull())).select("source")
+
+
 def group_link_count(pages: DataFrame, mark: str = GROUP_MARK) -> DataFrame:
     """(url, n_links): anchors per page whose href holds the mark, counted before any dedup."""
-    hits = F.filter(page_links(F.col("html")), lambda a: a["href"].contains(mark))
+    hits = F.filter(page_links(F.col("html"), F.col("url")), lambda a: a["href"].contains(mark))
     return pages.filter(F.col("html").isNotNull()).select("url", F.size(hits).cast("long").alias("n_links"))
 
 
@@ -71,7 +100,8 @@ def member_symbols(member_pages: DataFrame) -> DataFrame:
     """
     keep = ["source", "source_ord", "page_ord", "page_url", "default_domain", "cpp_groups"]
     found = (
-        member_pages.select(*keep, F.posexplode(page_members(F.col("html"))).alias("idx", "_m"))
+        member_pages.select(*keep, page_members(F.col("html")).alias("_l"))
+        .select(*keep, F.posexplode("_l").alias("idx", "_m"))
         .filter(F.col("_m.text") != "")
         .select(
             "source",
@@ -88,23 +118,40 @@ def member_symbols(member_pages: DataFrame) -> DataFrame:
     return first_by(found, ["source", "url"], ["pos"])
 
 
+def _index_entries(index_pages: DataFrame) -> DataFrame:
+    links = F.transform(
+        index_links(F.col("html"), F.col("index_page_url")),
+        lambda a, i: F.struct(i.alias("pos"), a["text"].alias("text"), a["url"].alias("url")),
+    )
+    is_entry = lambda a: a["text"].rlike(tx.INDEX_ENTRY)
+    return index_pages.withColumn("_entries", F.filter(links, is_entry)).drop("html")
+
+
 def index_symbols(index_pages: DataFrame) -> DataFrame:
     """Symbols of general index pages (source, source_ord, index_page_url, html).
 
-    ``url`` is NULL for a malformed link.
+    A page with a malformed link among its entries fails as a whole.
     """
-    found = index_pages.select(
-        "source", "source_ord", "index_page_url", F.posexplode(index_links(F.col("html"))).alias("pos", "_e")
-    ).filter(F.col("_e.text").rlike(tx.INDEX_ENTRY))
+    intact = _index_entries(index_pages).filter(~F.exists("_entries", lambda a: a["url"].isNull()))
+    found = intact.select("source", "source_ord", F.explode("_entries").alias("_e"))
     part = lambda i: F.regexp_extract("_e.text", tx.INDEX_ENTRY, i)
     return found.select(
         "source",
         "source_ord",
-        F.col("pos").cast("long").alias("pos"),
+        F.col("_e.pos").cast("long").alias("pos"),
         F.lit("index").alias("kind"),
         part(1).alias("group"),
-        url_join(F.col("index_page_url"), F.col("_e.href")).alias("url"),
+        "_e.url",
         part(3).alias("role"),
         tx.language_domain(part(2)).alias("domain"),
         F.lit("genindex").alias("origin"),
     )
+
+
+def index_state(index_pages: DataFrame) -> DataFrame:
+    """(source, entries, broken) of general index pages: entry count, and whether a link is malformed."""
+    return _index_entries(index_pages).select(
+        "source",
+        F.size("_entries").alias("entries"),
+        F.exists("_entries", lambda a: a["url"].isNull()).alias("broken"),
+    )

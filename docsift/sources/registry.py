@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.urls import url_join
 from docsift.operators.ranking import first_by
+from docsift.operators.sizing import broadcast_if_small
 from docsift.schemas import SOURCES
 
 # --- fixed values -----------------------------------------------------------
@@ -125,14 +126,17 @@ def canonical_requests(requests: DataFrame, sources: DataFrame) -> DataFrame:
     return first_by(known, ["query_id", "source"], ["request_ord"]).join(failed, "query_id", "left_anti")
 
 
-def latest_fetch(crawl_log: DataFrame) -> DataFrame:
-    """Newest log row of every URL."""
-    return first_by(
-        crawl_log.select("url", "status", "final_url", "content_type", "error", "fetched_at"),
-        ["url"],
-        ["fetched_at"],
-        last=True,
-    )
+def latest_fetch(crawl_log: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """Newest log row of every URL, or of the URLs in ``urls`` (url).
+
+    Few URLs of a long log matter to a registry: while they measure small they
+    are broadcast, and only their rows are shuffled.
+    """
+    rows = crawl_log.select("url", "status", "final_url", "content_type", "error", "fetched_at")
+    if urls is not None:
+        wanted, _ = broadcast_if_small(urls.filter(F.col("url").isNotNull()).select("url").distinct())
+        rows = rows.join(wanted, "url", "left_semi")
+    return first_by(rows, ["url"], ["fetched_at"], last=True)
 
 
 def first_reachable(sources: DataFrame, crawl_log: DataFrame) -> DataFrame:
@@ -157,21 +161,18 @@ def first_reachable(sources: DataFrame, crawl_log: DataFrame) -> DataFrame:
             )
         ).alias("priority", "_try"),
     ).select("source", "priority", "_try.*")
-    alive = (
-        latest_fetch(crawl_log)
-        .filter(F.col("status") < 400)
-        .select("url", F.coalesce("final_url", "url").alias("_final"))
-    )
-    listed = tries.filter(~F.col("is_base"))
-    derived = (
-        tries.filter("is_base")
-        .join(alive, "url")
-        .withColumn("url", url_join(F.col("_final"), F.lit(INVENTORY_FILE)))
-        .drop("_final")
+
+    def answered(wanted: DataFrame) -> DataFrame:
+        alive = latest_fetch(crawl_log, wanted).filter(F.col("status") < 400)
+        return wanted.join(alive.select("url", F.coalesce("final_url", "url").alias("_final")), "url")
+
+    first = answered(tries)
+    derived = first.filter("is_base").select(
+        "source", "priority", url_join(F.col("_final"), F.lit(INVENTORY_FILE)).alias("url")
     )
+    hits = first.filter(~F.col("is_base")).select("source", "priority", "_final")
     return (
-        listed.unionByName(derived)
-        .join(alive, "url")
+        hits.unionByName(answered(derived).select("source", "priority", "_final"))
         .groupBy("source")
         .agg(F.min_by("_final", "priority").alias("inventory_url"))
     )

@@ -74,16 +74,18 @@ def test_members(spark, pages):
 
 def test_group_links(spark):
     html = """<a href="modules.html#group__x">m</a><a href="group__A.html#one"> A <i>x</i></a><a href="./group__A.html#two">A2</a>
-    <a>group__</a><a href="group__B.html">B</a><!-- <a href="group__C.html">C</a> --><a href="http://[bad/group__D">D</a>"""
-    index = spark.createDataFrame([("s", 0, "http://h/d/modules.html", html)], "source string, source_ord int, index_url string, html string")
-    rows = pg.group_links(index).orderBy("pos").collect()
-    assert [(r["group"], r["url"]) for r in rows] == [
-        ("Ax", "http://h/d/group__A.html#one"),
-        ("B", "http://h/d/group__B.html"),
-        ("D", None),
+    <a>group__</a><a href="group__B.html">B</a><!-- <a href="group__C.html">C</a> --><a href="http://[bad/modules_group__">D</a>"""
+    schema = "source string, source_ord int, index_url string, html string"
+    rows = [("s", 0, "http://h/d/modules.html", html), ("t", 1, "http://h/t.html", html.replace("modules_", ""))]
+    index = spark.createDataFrame(rows, schema)
+    found = pg.group_links(index).orderBy("source", "pos").collect()
+    assert [(r["source"], r["pos"], r["group"], r["url"]) for r in found] == [
+        ("s", 1, "Ax", "http://h/d/group__A.html#one"),
+        ("s", 3, "B", "http://h/d/group__B.html"),
     ]
-    counted = pg.group_link_count(index.selectExpr("index_url AS url", "html")).first()
-    assert counted["n_links"] == 5
+    assert [r["source"] for r in pg.broken_indexes(index).collect()] == ["t"]
+    counted = pg.group_link_count(index.selectExpr("index_url AS url", "html")).collect()
+    assert {r["n_links"] for r in counted} == {5}
 
 
 def test_gather_and_status(spark):
@@ -138,3 +140,9 @@ def test_deep_nesting():
     root = dom.parse("<div>" * depth + "x")
     assert dom.brace_tree(root) == "x" and root.text() == "x"
     dom.clean(root)
+
+
+def test_a_page_is_parsed_once(spark, pages):
+    index = pages.selectExpr("'s' AS source", "0 AS source_ord", "url AS index_url", "url AS index_page_url", "html")
+    for df in (pg.group_links(index), pg.index_symbols(index), pg.anchors(pages)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

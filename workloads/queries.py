@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docsift import adaptors as ad
 from docsift.functions import text as tx
 from docsift.functions.similarity import partial_ratio as partial_ratio_of
-from docsift.functions.urls import url_join, without_fragment
+from docsift.functions.urls import without_fragment
 from docsift.operators import audit as au
 from docsift.operators.search import (
     best_per_url as best_of,
@@ -331,8 +331,9 @@ def group_links(spark, sf):
 @register
 def url_resolution(spark, sf):
     anchors = pg.anchors(ad.spread(ad.table(spark, sf, "pages").select("page_id", "url", "html")))
-    joined = anchors.withColumn("resolved", url_join(F.col("url"), F.col("href")))
-    return joined.select("page_id", "idx", "href", "resolved", without_fragment(F.col("resolved")).alias("page_url"))
+    return anchors.select(
+        "page_id", "idx", "href", F.col("target").alias("resolved"), without_fragment(F.col("target")).alias("page_url")
+    )
 
 
 def _member_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -496,7 +497,7 @@ def _link_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _health(spark: SparkSession, sf: str) -> DataFrame:
-    return au.url_health(ad.crawl_log_events(spark, sf))
+    return au.url_health(ad.crawl_log_events(spark, sf), au.audited_urls(ad.registry_suppliers(spark, sf)))
 
 
 def _of_type(spark: SparkSession, sf: str, kind: str) -> DataFrame:
