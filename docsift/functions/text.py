@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsift.functions.html import NOISE_TEXT
+
 # --- fixed values -----------------------------------------------------------
 # Boundaries between the segments of an identifier.
 SEGMENT_BOUNDARY = r"[_:\-]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
@@ -46,9 +48,6 @@ LANGUAGE_DOMAIN = {"C++": "cpp", "C": "c", "Python": "py"}
 
 # Text of an index entry: name (language role)
 INDEX_ENTRY = r"(?U)^(.+?)\s+\((\w+(?:\+\+)?)\s+(\w+)\)$"
-
-# Extracted text that is nothing but one of these is noise.
-NOISE = ["#", ",", ".", "(", ")", "[", "]", ";", ":", "*", "&", "–", "-", ""]
 # ----------------------------------------------------------------------------
 
 # Whitespace in the sense of str.strip(): Unicode white space and the four ASCII separators.
@@ -150,7 +149,7 @@ def in_domains(kind: Column, domain: Column, wanted: Column) -> Column:
 
 
 def is_noise(text: Column) -> Column:
-    return text.isNull() | strip(text).isin(NOISE)
+    return text.isNull() | strip(text).isin(sorted(NOISE_TEXT))
 
 
 def normalize_lines(text: Column) -> Column:

@@ -106,7 +106,7 @@ def candidate_pairs(
 ) -> DataFrame:
     """Rows of ``names`` with the terms (``term``, ``threshold``) they may match.
 
-    A pair that shares several tokens appears several times.  ``gram_sizes`` and
+    A pair that shares several tokens may appear several times.  ``gram_sizes`` and
     ``lowest`` (threshold) describe the terms and spare tokens none of them has.
     While the term side is ``small``, names stream past a broadcast copy.
     Otherwise both sides shuffle on (token, salt), narrow on the name side, so
@@ -129,5 +129,5 @@ def candidate_pairs(
         .withColumn("_token", F.explode_outer(tokens))
     )
     salted = term_side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    pairs = narrow.join(salted, ["_token", "_salt"]).select(*key, "term", "threshold")
+    pairs = narrow.join(salted, ["_token", "_salt"]).select(*key, "term", "threshold").distinct()
     return pairs.join(names, key)

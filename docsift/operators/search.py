@@ -181,7 +181,9 @@ def _profile(targets: DataFrame) -> Row:
     return targets.agg(
         F.coalesce(F.sum(F.size(terms) * (row + 64)), F.lit(0)).alias("route_bytes"),
         F.coalesce(F.sum(F.octet_length(F.array_join(terms, "")) * 16 * 8), F.lit(0)).alias("token_bytes"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform(terms, gram_size))))).alias("gram_sizes"),
+        F.array_sort(
+            F.array_distinct(F.flatten(F.collect_set(F.array_sort(F.array_distinct(F.transform(terms, gram_size))))))
+        ).alias("gram_sizes"),
         F.coalesce(F.min("cut"), F.lit(100.0)).alias("lowest"),
         F.coalesce(F.max(~F.col("has_keywords")), F.lit(False)).alias("any_blank"),
     ).first()
@@ -214,7 +216,10 @@ def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_B
     )
     # One shuffle by symbol, before the pairs fan out to the queries, serves both
     # aggregations: a pair may be proposed more than once, an OR-group needs all its terms.
-    pairs = scored.repartition("source", "pos").groupBy(*_ROW, "term").agg(F.min("base").alias("base"))
+    # The count is fixed because a small input of this stage becomes a large output:
+    # merging its partitions by input size would leave the fan-out to a few tasks.
+    width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = scored.repartition(width, "source", "pos").groupBy(*_ROW, "term").agg(F.min("base").alias("base"))
     hits = pairs.join(sized(routes), ["term", "source"]).filter(
         (F.col("base") >= F.col("cut"))
         & tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))

@@ -15,6 +15,7 @@ from docsift.operators.search import (
     split_keywords,
 )
 from docsift.operators.stats import total_found
+from docsift.operators.storage import stored
 from docsift.sources.registry import canonical_requests
 
 RESULT_COLUMNS = ["rank", "group", "url", "role", "domain", "source", "score", "matched_keyword"]
@@ -100,8 +101,8 @@ def search(
 
 
 def batch_targets(queries: DataFrame, requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """(query, source) pairs to search.  Kept: planning measures them and several joins read them."""
-    return query_targets(queries, canonical_requests(requests, sources)).persist()
+    """(query, source) pairs to search.  Stored: planning measures them and several joins read them."""
+    return stored(query_targets(queries, canonical_requests(requests, sources)))
 
 
 def rank_matches(matches: DataFrame, targets: DataFrame) -> DataFrame:

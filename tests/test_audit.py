@@ -40,15 +40,22 @@ def results(spark, crawl, *sources):
     return table, rolled
 
 
-def checks(spark, crawl, **source):
-    _, rolled = results(spark, crawl, source)
-    row = rolled.first()
-    return row["ok"], [tuple(c) for c in row["checks"]]
+def checks(spark, crawl, *sources):
+    """Verdict and checks of each source."""
+    _, rolled = results(spark, crawl, *sources)
+    return [(r["ok"], [tuple(c) for c in r["checks"]]) for r in rolled.orderBy("source_ord").collect()]
 
 
-def test_inventory_walk_stops_at_the_first_good_one(spark, crawl):
-    got = checks(spark, crawl, name="s", doc_type="sphinx", inventory_urls=["gone", "err", "unseen", "empty"], base_urls=["b//", "moved"])
-    assert got == (
+def test_inventory(spark, crawl):
+    inv = lambda **urls: dict(name="s", doc_type="sphinx", **urls)
+    walked, repeated, moved = checks(
+        spark,
+        crawl,
+        inv(inventory_urls=["gone", "err", "unseen", "empty"], base_urls=["b//", "moved"]),
+        inv(inventory_urls=["b/objects.inv"], base_urls=["b/", "b"]),
+        inv(inventory_urls=["moved"]),
+    )
+    assert walked == (
         True,
         [
             ("inventory_url", False, "gone -> 404"),
@@ -60,53 +67,46 @@ def test_inventory_walk_stops_at_the_first_good_one(spark, crawl):
             ("inventory_parse", True, "3 objects, domains: {'c': 3}"),
         ],
     )
+    assert repeated[0] and len(repeated[1]) == 2
+    assert moved[0] and moved[1][0] == ("inventory_url", True, "moved (redirected to there)")
 
 
-def test_inventory_redirect_and_repeated_candidate(spark, crawl):
-    ok, listed = checks(spark, crawl, name="s", doc_type="sphinx", inventory_urls=["b/objects.inv"], base_urls=["b/", "b"])
-    assert ok and len(listed) == 2
-    ok, listed = checks(spark, crawl, name="s", doc_type="sphinx", inventory_urls=["moved"])
-    assert ok and listed[0] == ("inventory_url", True, "moved (redirected to there)")
+def test_single_page_sources(spark, crawl):
+    page = lambda kind, field, url: {"name": "x", "doc_type": kind, field: url}
+    got = checks(
+        spark,
+        crawl,
+        *[page("doxygen", "index_url", u) for u in ("moved", "ok", "err")],
+        *[page("pdf", "doc_url", u) for u in ("ok", "empty", "moved", "gone", "err")],
+        page("sphinx_noinv", "index_url", "ok"),
+    )
+    html = "moved -> 200 but Content-Type is Text/HTML; charset=x (expected PDF, not HTML) (redirected to there)"
+    assert got == [
+        (True, [("index_url", True, "moved -> 200 (redirected to there)"), ("group_links", True, "2 group__ links found")]),
+        (False, [("index_url", True, "ok -> 200"), ("group_links", False, "0 group__ links found")]),
+        (False, [("index_url", False, "err -> timed out")]),
+        (True, [("doc_url", True, "ok -> 200, Content-Type: text/plain")]),
+        (True, [("doc_url", True, "empty -> 200, Content-Type: unknown")]),
+        (False, [("doc_url", False, html)]),
+        (False, [("doc_url", False, "gone -> 404, Content-Type: application/pdf")]),
+        (False, [("doc_url", False, "HEAD err failed: timed out")]),
+        (True, [("index_url", True, "ok -> 200")]),
+    ]
 
 
-def test_index(spark, crawl):
-    assert checks(spark, crawl, name="d", doc_type="doxygen", index_url="moved") == (
-        True,
-        [("index_url", True, "moved -> 200 (redirected to there)"), ("group_links", True, "2 group__ links found")],
-    )
-    assert checks(spark, crawl, name="d", doc_type="doxygen", index_url="ok")[0] is False
-    assert checks(spark, crawl, name="d", doc_type="doxygen", index_url="err") == (False, [("index_url", False, "err -> timed out")])
+MISSING = [
+    ("sphinx", "inventory_urls", "no inventory_urls or base_urls defined"),
+    ("doxygen", "index_url", "no index_url defined"),
+    ("pdf", "doc_url", "no doc_url defined"),
+    ("sphinx_noinv", "index_url", "no index_url defined"),
+    ("odd", "doc_type", "unsupported doc_type: odd"),
+    (None, "doc_type", "unsupported doc_type: unknown"),
+]
 
 
-def test_pdf(spark, crawl):
-    pdf = lambda url: checks(spark, crawl, name="p", doc_type="pdf", doc_url=url)
-    assert pdf("ok") == (True, [("doc_url", True, "ok -> 200, Content-Type: text/plain")])
-    assert pdf("empty") == (True, [("doc_url", True, "empty -> 200, Content-Type: unknown")])
-    assert pdf("moved") == (
-        False,
-        [("doc_url", False, "moved -> 200 but Content-Type is Text/HTML; charset=x (expected PDF, not HTML) (redirected to there)")],
-    )
-    assert pdf("gone") == (False, [("doc_url", False, "gone -> 404, Content-Type: application/pdf")])
-    assert pdf("err") == (False, [("doc_url", False, "HEAD err failed: timed out")])
-
-
-def test_page(spark, crawl):
-    assert checks(spark, crawl, name="n", doc_type="sphinx_noinv", index_url="ok") == (True, [("index_url", True, "ok -> 200")])
-
-
-@pytest.mark.parametrize(
-    "doc_type, check, detail",
-    [
-        ("sphinx", "inventory_urls", "no inventory_urls or base_urls defined"),
-        ("doxygen", "index_url", "no index_url defined"),
-        ("pdf", "doc_url", "no doc_url defined"),
-        ("sphinx_noinv", "index_url", "no index_url defined"),
-        ("odd", "doc_type", "unsupported doc_type: odd"),
-        (None, "doc_type", "unsupported doc_type: unknown"),
-    ],
-)
-def test_missing_configuration(spark, crawl, doc_type, check, detail):
-    assert checks(spark, crawl, doc_type=doc_type, index_url="") == (False, [(check, False, detail)])
+def test_missing_configuration(spark, crawl):
+    got = checks(spark, crawl, *[dict(doc_type=kind, index_url="") for kind, _, _ in MISSING])
+    assert got == [(False, [(check, False, detail)]) for _, check, detail in MISSING]
 
 
 def test_roll_up_headline_and_summary(spark, crawl):

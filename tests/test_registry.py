@@ -18,9 +18,9 @@ def make(spark, *rows):
 def sources(spark):
     return make(
         spark,
-        dict(name="kernels", doc_type="sphinx", tags=["Thrust", "cub"], inventory_urls=["x"], description="Kernels"),
+        dict(name="kernels", doc_type="sphinx", tags=["Sorting", "prim"], inventory_urls=["x"], description="Kernels"),
         dict(name="runtime", doc_type="doxygen", index_url="i"),
-        dict(name="cub", doc_type="pdf", doc_url="d", tags=["thrust"]),
+        dict(name="prim", doc_type="pdf", doc_url="d", tags=["sorting"]),
     )
 
 
@@ -65,28 +65,28 @@ def test_validate(spark):
 
 
 def test_exact_name_wins_over_tag(spark, sources):
-    requests = asked(spark, "cub", "THRUST", "Cub", "runtime", "Runtime", "none")
+    requests = asked(spark, "prim", "SORTING", "Prim", "runtime", "Runtime", "none")
     found = {r["requested"]: r["source"] for r in registry.resolve_requests(requests, sources).collect()}
-    assert found == {"cub": "cub", "THRUST": "kernels", "Cub": "kernels", "runtime": "runtime"}
+    assert found == {"prim": "prim", "SORTING": "kernels", "Prim": "kernels", "runtime": "runtime"}
     missing = registry.unknown_sources(requests, sources).collect()
     assert sorted((r["request_ord"], r["requested"]) for r in missing) == [(4, "Runtime"), (5, "none")]
 
 
 def test_canonical(spark, sources):
-    requests = asked(spark, "runtime", "thrust", "kernels", "cub").union(asked(spark, "cub", "nope", query="bad"))
+    requests = asked(spark, "runtime", "sorting", "kernels", "prim").union(asked(spark, "prim", "nope", query="bad"))
     chosen = registry.canonical_requests(requests, sources).orderBy("request_ord").collect()
     assert [(r["query_id"], r["requested"], r["source"]) for r in chosen] == [
         ("q", "runtime", "runtime"),
-        ("q", "thrust", "kernels"),
-        ("q", "cub", "cub"),
+        ("q", "sorting", "kernels"),
+        ("q", "prim", "prim"),
     ]
 
 
 def test_list(spark, sources):
     listed = [tuple(r) for r in registry.list_sources(sources).collect()]
     assert listed == [
-        ("cub", "pdf", "", ["thrust"]),
-        ("kernels", "sphinx", "Kernels", ["Thrust", "cub"]),
+        ("kernels", "sphinx", "Kernels", ["Sorting", "prim"]),
+        ("prim", "pdf", "", ["sorting"]),
         ("runtime", "doxygen", "", []),
     ]
 

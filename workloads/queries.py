@@ -391,11 +391,12 @@ def inventory_symbols(spark, sf):
 
 
 def _catalog(spark: SparkSession, sf: str):
+    """Catalog of the rendered artifacts, which are kept like the stored tables they stand for."""
     return gather(
-        ad.rendered_sources(spark, sf),
+        ad.rendered_sources(spark, sf).persist(),
         ad.rendered_log(spark, sf),
-        ad.rendered_inventories(spark, sf),
-        ad.rendered_pages(spark, sf),
+        ad.rendered_inventories(spark, sf).persist(),
+        ad.rendered_pages(spark, sf).persist(),
     )
 
 
