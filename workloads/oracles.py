@@ -557,6 +557,27 @@ ORACLES["text_tree_section"] = f"""WITH {BODIES}
       WHEN 3 THEN {DOC_TREE.replace('b.body', 'body')} END AS text_tree,
     CASE WHEN doc_id % 4 IN (0, 3) THEN 'ok' ELSE 'section not found' END AS status FROM bodies"""
 
+def unescaped(t: str) -> str:
+    """Titles are cut off anywhere; HTML reads ``&amp`` without its semicolon as the same character."""
+    return f"regexp_replace(replace({t}, '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+def stripped(t: str) -> str:
+    return f"regexp_replace(regexp_replace({unescaped(t)}, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+# Every page follows one template.  Its first paragraph opens a <b> that nothing closes
+# before the article ends, so the article is its heading and the text of that <b>.
+ORACLES["text_tree_pages"] = f"""WITH cut AS (
+    SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<!--([^>]*)-->', 1) AS ad,
+           regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS lead, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS head,
+           list_filter(list_transform(regexp_split_to_array(regexp_extract(html, '</h1>(.*)</article>', 1, 's'), '<[^>]*>'),
+                                      lambda t: {stripped('t')}), lambda t: t <> '') AS pieces FROM pages),
+  text AS (SELECT page_id, list_filter([{stripped('lead')}, '{{' || chr(10) || {stripped('head')} || chr(10) || array_to_string(pieces, ' ')
+                                        || chr(10) || '}}'], lambda t: t <> '') AS blocks, {stripped('title')} AS title, {stripped('ad')} AS ad FROM cut)
+  SELECT page_id, 'html {{' || chr(10) || '{{' || chr(10) || title || chr(10) || ad || ' {{' || chr(10) || array_to_string(blocks, chr(10))
+         || chr(10) || '}}' || chr(10) || '}}' || chr(10) || '}}' AS text_tree, 'ok' AS status FROM text"""
+
 # --- export -----------------------------------------------------------------
 
 TSV = "CAST(row_number() OVER (ORDER BY score DESC, tie_pos) AS INT) AS rank"
