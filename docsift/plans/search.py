@@ -21,9 +21,6 @@ from docsift.sources.registry import canonical_requests
 RESULT_COLUMNS = ["rank", "group", "url", "role", "domain", "source", "score", "matched_keyword"]
 
 
-_CHOSEN = "source string, requested string, request_ord int, match_threshold double"
-
-
 def _chosen_sources(sources: DataFrame, requested: list[str]) -> list[Row]:
     """The sources behind the requested names: at most one row per name, so they fit the driver."""
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
@@ -67,7 +64,18 @@ def search(
     if limit is not None and limit < 1:
         raise ValueError("limit must be at least 1")
     chosen = _chosen_sources(sources, requested)
-    asked = symbols.sparkSession.createDataFrame(chosen, _CHOSEN)
+    # Literal rows, not a DataFrame of driver objects: Spark can compare them, and so
+    # sees that the two uses of the matches in a full ranking are the same.
+    literals = [
+        F.struct(
+            F.lit(source).alias("source"),
+            F.lit(name).alias("requested"),
+            F.lit(order).alias("request_ord"),
+            F.lit(cut).cast("double").alias("match_threshold"),
+        )
+        for source, name, order, cut in chosen
+    ]
+    asked = symbols.sparkSession.range(1).select(F.inline(F.array(*literals)))
     rows = symbols.filter(F.col("source").isin([c[0] for c in chosen])).join(F.broadcast(asked), "source")
     if domains is not None and domains.lower() != "all":
         wanted = [d.strip() for d in domains.split(",") if d.strip()]

@@ -187,6 +187,11 @@ def test_plan_of_one_query(spark, tmp_path, symbols, sources):
     assert "ArrowEvalPython" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "TakeOrderedAndProject" in plan
 
+    full = search(stored, sources, ["alpha"], "svd", True, 90.0)
+    full.collect()
+    plan = full._jdf.queryExecution().executedPlan().toString().split("\n+- == Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan  # ranking reads the matches twice
+
     similar = search(stored, sources, ["alpha"], "svd | bacth", True, 60.0, limit=5)
     plan = similar._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1

@@ -439,7 +439,8 @@ def text_tree_pages(spark, sf):
 
 @register
 def noise_filter(spark, sf):
-    docs = ad.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]")).alias("word"))
+    texts = ad.spread(ad.table(spark, sf, "documents").select("doc_id", "text"))
+    docs = texts.select("doc_id", F.explode(F.split("text", "[ \n]")).alias("word"))
     tail = F.concat(F.lit(" "), F.right("word", F.lit(1)), F.lit("\t"))
     return (
         docs.withColumn("tail", tail)
