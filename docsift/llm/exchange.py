@@ -14,11 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsift.llm.words import list_array, runs_of
 
-PACKED = "bucket long, doc_id long, places array<long>, n_docs int, n int, body binary"
-PLACES = "doc_id long, places array<long>"
+PACKED = "bucket long, doc_id long, places array<long>, prints array<long>, n_docs int, n int, body binary"
+PACKED_NAMES = ["bucket", "doc_id", "places", "prints", "n_docs", "n", "body"]
+PLACES_NAMES = ["doc_id", "places", "prints"]
+PLACES = "doc_id long, places array<long>, prints array<long>"
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -32,12 +35,32 @@ def unpack(body: np.ndarray, n: int, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _rows(doc_ids: np.ndarray, docs: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """Places by document: the ids and, for each, the list of its places."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as long, and ``text``. Without a cast that is not needed, so that Spark sees equal scans as equal."""
+    if docs.schema["doc_id"].dataType == T.LongType():
+        return docs.select("doc_id", "text")
+    return docs.select(F.col("doc_id").cast("long"), "text")
+
+
+def _rows(
+    doc_ids: np.ndarray, docs: np.ndarray, places: np.ndarray, prints: np.ndarray | None
+) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Places by document: the ids and, for each, the lists of its places and, if given, of their prints."""
     order = np.lexsort((places, docs))
     docs, places = docs[order], places[order]
-    heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    return doc_ids[docs[heads]], list_array(places, np.append(heads, len(docs)))
+    heads = np.flatnonzero(np.diff(docs, prepend=-1))
+    bounds = np.append(heads, len(docs))
+    lists = pa.nulls(len(heads), pa.list_(pa.int64())) if prints is None else list_array(prints[order].astype(np.int64), bounds)
+    return pa.array(doc_ids[docs[heads]], pa.int64()), list_array(places, bounds), lists
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+
+
+def print_of(hashes: np.ndarray, buckets: int, width: int) -> np.ndarray:
+    """What the exchange knows of a hash: its bucket and its lowest bytes."""
+    return bucket_of(hashes, buckets) << (8 * width) | (hashes & np.uint64((1 << 8 * width) - 1)).astype(np.int64)
 
 
 def packed_batches(doc_ids, docs, places, hashes, buckets, width, flags) -> Iterator[pa.RecordBatch]:
@@ -71,33 +94,37 @@ def packed_batches(doc_ids, docs, places, hashes, buckets, width, flags) -> Iter
             pa.array(out["bucket"], pa.int64()),
             pa.nulls(n, pa.int64()),
             pa.nulls(n, pa.list_(pa.int64())),
+            pa.nulls(n, pa.list_(pa.int64())),
             pa.array(out["n_docs"], pa.int32()),
             pa.array(out["n"], pa.int32()),
             pa.array(out["body"], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "places", "n_docs", "n", "body"])
+        yield pa.RecordBatch.from_arrays(columns, PACKED_NAMES)
 
 
-def known_rows(doc_ids: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def known_rows(
+    doc_ids: np.ndarray, docs: np.ndarray, places: np.ndarray, buckets: int, prints: np.ndarray | None = None
+) -> Iterator[pa.RecordBatch]:
     """Rows of what a slice has found by itself; they pass through the exchange."""
     if len(docs):
-        ids, lists = _rows(doc_ids, docs, places)
+        ids, lists, marks = _rows(doc_ids, docs, places, prints)
         n = len(ids)
         columns = [
-            pa.array(-1 - (ids % buckets), pa.int64()),
-            pa.array(ids, pa.int64()),
+            pa.array(-1 - (ids.to_numpy() % buckets), pa.int64()),
+            ids,
             lists,
+            marks,
             pa.nulls(n, pa.int32()),
             pa.nulls(n, pa.int32()),
             pa.nulls(n, pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "places", "n_docs", "n", "body"])
+        yield pa.RecordBatch.from_arrays(columns, PACKED_NAMES)
 
 
-def exchange(packed: DataFrame, parts: int, width: int, n_hashes: int, decide: Callable) -> DataFrame:
+def exchange(packed: DataFrame, parts: int, width: int, n_hashes: int, decide: Callable, prints: bool = False) -> DataFrame:
     """Brings each bucket together; ``decide(hashes, doc_ids, flags)`` tells which of its entries are found."""
 
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def solve(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, docs, places, flags, hashes, base = [], [], [], [], [[] for _ in range(n_hashes)], 0
         for n_docs, n, body in rows:
             raw = np.frombuffer(body, np.uint8)
@@ -118,11 +145,12 @@ def exchange(packed: DataFrame, parts: int, width: int, n_hashes: int, decide: C
             docs.append(np.repeat(np.arange(n_docs), per) + base)
             base += n_docs
         ids, docs, places = np.concatenate(ids), np.concatenate(docs), np.concatenate(places)
-        found = decide([np.concatenate(h) for h in hashes], ids[docs], np.concatenate(flags))
+        whole = [np.concatenate(h) for h in hashes]
+        found = decide(whole, ids[docs], np.concatenate(flags))
         if found.any():
             unique, doc = np.unique(ids, return_inverse=True)
-            found_ids, lists = _rows(unique, doc[docs[found]], places[found])
-            yield pa.RecordBatch.from_arrays([pa.array(found_ids, pa.int64()), lists], ["doc_id", "places"])
+            marks = (bucket << (8 * width) | whole[0][found].astype(np.int64)) if prints else None
+            yield pa.RecordBatch.from_arrays(list(_rows(unique, doc[docs[found]], places[found], marks)), PLACES_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
@@ -130,16 +158,16 @@ def exchange(packed: DataFrame, parts: int, width: int, n_hashes: int, decide: C
             bucket = batch.column("bucket").to_numpy()
             known = np.flatnonzero(bucket < 0)
             if len(known):
-                yield batch.select(["doc_id", "places"]).take(pa.array(known))
+                yield batch.select(PLACES_NAMES).take(pa.array(known))
             n_docs, n, body = (batch.column(c) for c in ("n_docs", "n", "body"))
             for i in np.flatnonzero(bucket >= 0):
                 if bucket[i] != now:
                     if rows:
-                        yield from solve(rows)
+                        yield from solve(now, rows)
                     now, rows = bucket[i], []
                 rows.append((n_docs[i].as_py(), n[i].as_py(), body[i].as_py()))
         if rows:
-            yield from solve(rows)
+            yield from solve(now, rows)
 
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PLACES)
 

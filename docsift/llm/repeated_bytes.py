@@ -7,13 +7,13 @@ document too; every byte that a repeated string covers is removed. Strings are j
    depends on the string alone, so equal strings have equal anchors at the same distance. Neighbouring strings with one
    anchor form a run, about 85 long; the exchange of ``exchange.py`` finds the anchors that occur more than once.
 2. Suffix arrays. The runs of such anchors are collected as byte segments; equal segments are counted and sent once.
-   Segments with the same anchor meet, and a suffix array over them (``suffix_array.py``: linear grouping by Lyndon
-   prefixes) puts equal strings next to each other; bytes are compared. One string occurs as often as the segments
-   that hold it are counted.
+   Segments with the same anchor meet. Where they differ, each is trimmed to what it can share with another, and a
+   suffix array over the parts (``suffix_array.py``: linear grouping by Lyndon prefixes) puts equal strings next to each
+   other; bytes are compared. One string occurs as often as the segments that hold it are counted.
 3. The strings found go back to the places of their segments, and the bytes that they cover are cut out.
 
-An anchor that very many different segments share is dealt out by its strings: beyond ``MANY`` bytes of segments,
-those are cut into single strings, spread by digest over all tasks, and each task sorts its share in the same way.
+Segments of one anchor lie in one task. So the strings of an anchor with more than ``CROWD`` occurrences are not
+gathered as segments: they are counted one by one, by 128-bit digests, in the packed exchange over all tasks.
 
 Results for odd input: a null or short text has nothing removed; rows with a null ``doc_id`` are returned unchanged and
 repeat nothing; rows that repeat a ``doc_id`` must be equal, and count as repeats of each other. An empty table gives an
@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.exchange import PACKED, by_document, exchange, known_rows, packed_batches
-from docsift.llm.storage import cut, stored
+from docsift.llm.exchange import PACKED, bucket_of, by_document, exchange, keyed, known_rows, packed_batches, print_of
+from docsift.llm.storage import cut
 from docsift.llm.suffix_array import suffix_array
 from docsift.llm.words import Hasher, Texts, covered, mix, runs_of, signed, slices
 
@@ -39,7 +39,8 @@ LENGTH = 200
 GRAM = 32
 SLICE = 1 << 20
 CHUNK = 1 << 17  # bytes of segments under one suffix array
-MANY = 2 << 20  # bytes of one anchor's segments beyond which they are spread
+CROWD = 8192  # occurrences of an anchor beyond which its strings are counted one by one
+ANCHOR_BYTES = 5
 COUNT_BITS = 16
 _A, _B = Hasher(0), Hasher(1)
 _U64 = np.uint64
@@ -77,7 +78,7 @@ class Runs:
 
 
 def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """For each document, the places of its anchors that occur more than once."""
+    """For each document, the places and prints of its anchors that occur more than once."""
     buckets = 2 * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +90,14 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
             order, heads = runs_of([found.print])
             sizes = np.diff(np.append(heads, len(order)))
             several = order[np.repeat(sizes > 1, sizes)]
-            yield from known_rows(ids, found.doc[several], found.place[several], buckets)
+            marks = print_of(found.print[several], buckets, ANCHOR_BYTES)
+            yield from known_rows(ids, found.doc[several], found.place[several], buckets, marks)
             entries = np.sort(order[heads])
             prints = found.print[entries]
-            bucket = ((prints >> _U64(40)) % _U64(buckets)).astype(np.int64)
-            yield from packed_batches(ids, found.doc[entries], found.place[entries], [prints], bucket, 5, np.zeros(len(entries), bool))
+            flags = np.zeros(len(entries), bool)
+            yield from packed_batches(
+                ids, found.doc[entries], found.place[entries], [prints], bucket_of(prints, buckets), ANCHOR_BYTES, flags
+            )
 
     def decide(hashes: list[np.ndarray], ids: np.ndarray, flags: np.ndarray) -> np.ndarray:
         order, heads = runs_of(hashes)
@@ -102,47 +106,53 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
         out[order] = np.repeat(sizes > 1, sizes)
         return out
 
-    return cut(by_document(exchange(docs.mapInArrow(run, PACKED), parts, 5, 1, decide)))
+    found = exchange(docs.mapInArrow(run, PACKED), parts, ANCHOR_BYTES, 1, decide, prints=True)
+    each = found.select("doc_id", F.explode(F.arrays_zip("places", "prints")).alias("x"))
+    return each.select("doc_id", F.col("x.places").alias("place"), F.col("x.prints").alias("print")).distinct()
+
+
+def _wanted_runs(batch: pa.RecordBatch) -> tuple[Texts, Runs, np.ndarray]:
+    """The texts of a slice, their runs, and which of these have an anchor in ``places``."""
+    texts = Texts(batch.column("text"))
+    runs = Runs(texts)
+    places = batch.column("places")
+    per = np.diff(places.offsets.to_numpy())
+    wanted = places.flatten().to_numpy() + np.repeat(texts.offsets[:-1], per)
+    return texts, runs, np.flatnonzero(np.isin(runs.anchor, wanted))
 
 
-def _segments(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of shared anchors: ``print``, ``digest`` of the segment, ``doc_id``, ``start`` (byte), and, once a slice for
-    equal segments, the segment's ``bytes`` and ``copies`` in the slice."""
-    joined = docs.join(shared_anchors(docs, parts), "doc_id")
+def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Rows of the anchors: ``print``, ``digest`` of the segment, ``doc_id``, ``start`` (byte), and, once a slice for
+    equal segments, the segment's ``bytes``, the anchor's place in them (``lead``) and ``copies`` in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=SLICE):
-            texts = Texts(batch.column("text"))
-            runs = Runs(texts)
-            places = batch.column("places")
-            per = np.diff(places.offsets.to_numpy())
-            wanted = places.flatten().to_numpy() + np.repeat(texts.offsets[:-1], per)
-            own = np.flatnonzero(np.isin(runs.anchor, wanted))
+            texts, runs, own = _wanted_runs(batch)
             if not len(own):
                 continue
             start, end = runs.start[own], runs.start[own] + runs.count[own] + LENGTH - 1
             other = texts.byte_prefix(_B)
-            lead = (runs.anchor[own] - start).astype(_U64)
-            digest = mix(_B.ranges(other, start, end) + lead) ^ _A.ranges(runs.prefix, start, end)
+            lead = runs.anchor[own] - start
+            digest = mix(_B.ranges(other, start, end) + lead.astype(_U64)) ^ _A.ranges(runs.prefix, start, end)
             order, heads = runs_of([runs.print[own], digest])
             copies = np.zeros(len(own), np.int64)
             copies[order[heads]] = np.diff(np.append(heads, len(order)))
             data = texts.data
             segments = [data[s:e].tobytes() if c else None for s, e, c in zip(start, end, copies, strict=True)]
             doc = runs.doc[own]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(runs.print[own])),
-                    pa.array(signed(digest)),
-                    batch.column("doc_id").take(pa.array(doc)),
-                    pa.array(start - texts.offsets[doc]),
-                    pa.array(segments, pa.binary()),
-                    pa.array(copies),
-                ],
-                ["print", "digest", "doc_id", "start", "bytes", "copies"],
-            )
+            columns = [
+                pa.array(signed(runs.print[own])),
+                pa.array(signed(digest)),
+                batch.column("doc_id").take(pa.array(doc)),
+                pa.array(start - texts.offsets[doc]),
+                pa.array(segments, pa.binary()),
+                pa.array(lead),
+                pa.array(copies),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["print", "digest", "doc_id", "start", "bytes", "lead", "copies"])
 
-    return joined.mapInArrow(run, "print long, digest long, doc_id long, start long, bytes binary, copies long")
+    schema = "print long, digest long, doc_id long, start long, bytes binary, lead long, copies long"
+    return docs.join(anchors, "doc_id").mapInArrow(run, schema)
 
 
 def equal_strings(segments: list[bytes], copies: list[int], length: int = LENGTH) -> list[np.ndarray]:
@@ -167,105 +177,151 @@ def equal_strings(segments: list[bytes], copies: list[int], length: int = LENGTH
     return [part - b for part, b in zip(np.split(repeated, cuts[:-1]), begin, strict=True)]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes two strings have in common at their beginning."""
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def trimmed(group: list[tuple[bytes, int, int]]) -> list[tuple[int, int, int]]:
+    """For each different segment (bytes, lead, copies) of an anchor: which part (begin, end) may hold strings that others
+    have too, and whether all its strings are repeated since it has copies.
+
+    In order of what follows the anchor, and of what precedes it backwards, the neighbours of a segment are those that
+    agree with it the longest; no string can reach beyond that.
+    """
+    after = [s[lead:] for s, lead, _ in group]
+    before = [s[:lead][::-1] for s, lead, _ in group]
+    reach = []
+    for parts in (before, after):
+        order = sorted(range(len(parts)), key=parts.__getitem__)
+        most = [0] * len(parts)
+        for i, j in zip(order, order[1:], strict=False):
+            common = _common(parts[i], parts[j])
+            most[i], most[j] = max(most[i], common), max(most[j], common)
+        reach.append(most)
+    return [(lead - b, lead + a, copies) for (_, lead, copies), b, a in zip(group, *reach, strict=True)]
+
+
 def _solve(segments: DataFrame, parts: int) -> DataFrame:
     """``print``, ``digest`` and the runs of strings of that segment that occur more than once (place << 16 | number)."""
 
-    def coded(places: np.ndarray) -> np.ndarray:
-        heads = np.flatnonzero(np.diff(places, prepend=-2) != 1)
-        return places[heads] << COUNT_BITS | np.diff(np.append(heads, len(places)))
-
-    def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """Whole groups: rows of one anchor are neighbours."""
-        single = [r for r in rows if r[4]]
-        several = [r for r in rows if not r[4]]
-        out = [(p, d, np.arange(len(s) - LENGTH + 1)) for p, d, s, c, _ in single if c > 1]
-        if several:
-            found = equal_strings([r[2] for r in several], [r[3] for r in several])
-            out += [(r[0], r[1], f) for r, f in zip(several, found, strict=True) if len(f)]
+    def solve(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of (print, digest, bytes, lead, copies) with one anchor each."""
+        out: list[tuple[int, int, np.ndarray]] = []
+        strings: list[bytes] = []
+        counts: list[int] = []
+        members: list[list[tuple[int, int, int]]] = []
+        for group in groups:
+            whole = [(p, d, np.array([len(s) - LENGTH + 1])) for p, d, s, _, c in group if c > 1]
+            out += whole
+            if len(group) == 1:
+                continue
+            same: dict[bytes, int] = {}
+            for (p, d, s, _, _), (begin, end, c) in zip(group, trimmed([g[2:] for g in group]), strict=True):
+                if end - begin < LENGTH:
+                    continue
+                part = s[begin:end]
+                at = same.setdefault(part, len(strings))
+                if at == len(strings):
+                    strings.append(part)
+                    counts.append(0)
+                    members.append([])
+                counts[at] += c
+                if c == 1:
+                    members[at].append((p, d, begin))
+        if strings:
+            for places, own in zip(equal_strings(strings, counts), members, strict=True):
+                heads = np.flatnonzero(np.diff(places, prepend=-2) != 1)
+                if len(heads):
+                    number = np.diff(np.append(heads, len(places)))
+                    out += [(p, d, (places[heads] + begin) << COUNT_BITS | number) for p, d, begin in own]
         if out:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in out], pa.int64()),
-                    pa.array([x[1] for x in out], pa.int64()),
-                    pa.array([coded(x[2]) for x in out], pa.list_(pa.int64())),
-                ],
-                ["print", "digest", "places"],
-            )
+            columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())]
+            lists = pa.array([x[2] for x in out], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["print", "digest", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        group: list[tuple] = []
+        groups: list[list[tuple]] = []
         held = 0
         for batch in batches:
-            for p, d, s, c in zip(*(batch.column(x).to_pylist() for x in ("print", "digest", "bytes", "copies")), strict=True):
-                if group and group[0][0] != p:
-                    rows += [(*r, len(group) == 1) for r in group]
-                    held += sum(len(r[2]) for r in group) if len(group) > 1 else 0
-                    group = []
-                    if held >= CHUNK or len(rows) > 10_000:
-                        yield from solve(rows)
-                        rows, held = [], 0
-                group.append((p, d, s, c))
-        rows += [(*r, len(group) == 1) for r in group]
-        if rows:
-            yield from solve(rows)
-
-    return (
-        segments.repartition(parts, "print")
-        .sortWithinPartitions("print")
-        .mapInArrow(run, "print long, digest long, places array<long>")
-    )
+            for row in zip(*(batch.column(x).to_pylist() for x in ("print", "digest", "bytes", "lead", "copies")), strict=True):
+                if not groups or groups[-1][0][0] != row[0]:
+                    if held >= CHUNK:
+                        yield from solve(groups)
+                        groups, held = [], 0
+                    groups.append([])
+                group = groups[-1]
+                if group and group[-1][1] == row[1]:
+                    group[-1] = (*row[:4], group[-1][4] + row[4])
+                else:
+                    group.append(row)
+                    held += len(row[2])
+        if groups:
+            yield from solve(groups)
+
+    own = segments.filter("bytes is not null").select("print", "digest", "bytes", "lead", "copies")
+    dealt = own.repartition(parts, "print").sortWithinPartitions("print", "digest")
+    return dealt.mapInArrow(run, "print long, digest long, places array<long>")
+
+
+def _single_strings(docs: DataFrame, anchors: DataFrame, parts: int) -> DataFrame:
+    """The repeated strings of crowded anchors: ``doc_id`` and runs as in ``_solve``, by 128-bit digests of each string."""
+    buckets = 2 * parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=SLICE):
+            texts, runs, own = _wanted_runs(batch)
+            if not len(own):
+                continue
+            count = runs.count[own]
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(runs.start[own], count)
+            doc = np.repeat(runs.doc[own], count)
+            ids = batch.column("doc_id").to_numpy()
+            hashes = [h.ranges(texts.byte_prefix(h), at, at + LENGTH) for h in (_A, _B)]
+            order, heads = runs_of(hashes)
+            sizes = np.diff(np.append(heads, len(order)))
+            several = order[np.repeat(sizes > 1, sizes)]
+            place = at - texts.offsets[doc]
+            yield from known_rows(ids, doc[several], place[several], buckets)
+            entries = np.sort(order[heads])
+            flags = np.zeros(len(entries), bool)
+            sent = [h[entries] for h in hashes]
+            yield from packed_batches(ids, doc[entries], place[entries], sent, bucket_of(sent[0], buckets), 8, flags)
 
+    def decide(hashes: list[np.ndarray], ids: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        order, heads = runs_of(hashes)
+        sizes = np.diff(np.append(heads, len(order)))
+        out = np.zeros(len(order), bool)
+        out[order] = np.repeat(sizes > 1, sizes)
+        return out
 
-def _spread(segments: DataFrame) -> DataFrame:
-    """The same for anchors with very many segments: strings by themselves, brought together by 128-bit digests."""
+    found = exchange(docs.join(anchors, "doc_id").mapInArrow(run, PACKED), parts, 8, 2, decide)
+    return found.select("doc_id", F.expr(f"transform(places, p -> shiftleft(p, {COUNT_BITS}) + 1)").alias("places"))
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                raw = part.column("bytes").to_pylist()
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                sizes = np.array([len(r) for r in raw])
-                room = sizes - LENGTH + 1
-                place = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room)
-                at = place + np.repeat(np.cumsum(sizes) - sizes, room)
-                h1, h2 = (h.ranges(h.prefix(h.bytes[data]), at, at + LENGTH) for h in (_A, _B))
-                row = pa.array(np.repeat(np.arange(part.num_rows), room))
-                own = [part.column(c).take(row) for c in ("print", "digest", "copies")]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(signed(h1)), pa.array(signed(h2)), pa.array(place)],
-                    ["print", "digest", "copies", "h1", "h2", "place"],
-                )
-
-    each = segments.mapInArrow(strings, "print long, digest long, copies long, h1 long, h2 long, place long")
-    repeated = each.groupBy("h1", "h2").agg(F.sum("copies").alias("n")).filter("n > 1").drop("n")
-    coded = F.collect_list(F.shiftleft("place", COUNT_BITS) + 1).alias("places")
-    return each.join(repeated, ["h1", "h2"]).groupBy("print", "digest").agg(coded)
-
-
-def repeated_strings(docs: DataFrame, parts: int, many: int = MANY) -> DataFrame:
+
+def repeated_strings(docs: DataFrame, parts: int, crowd: int = CROWD) -> DataFrame:
     """``doc_id`` and where runs of repeated strings start: byte place << 16 | number of strings."""
-    rows = _segments(docs, parts)
-    distinct = stored(
-        rows.filter("bytes is not null")
-        .groupBy("print", "digest")
-        .agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
-        .select("print", "digest", "bytes", "copies")
-    )
-    crowded = distinct.groupBy("print").agg(F.sum(F.octet_length("bytes")).alias("n")).filter(F.col("n") > many).select("print")
-    found = _solve(distinct.join(crowded, "print", "left_anti"), parts).union(
-        _spread(distinct.join(crowded, "print", "left_semi"))
+    anchors = cut(shared_anchors(docs, parts))
+    crowded = anchors.groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("print")
+    marked = anchors.join(crowded.withColumn("crowded", F.lit(True)), "print", "left")
+    by_doc = marked.groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("crowded").isNull(), F.col("place"))).alias("few"),
+        F.collect_list(F.when(F.col("crowded"), F.col("place"))).alias("many"),
     )
-    places = rows.select("print", "digest", "doc_id", "start").join(found, ["print", "digest"])
-    moved = F.expr(f"transform(places, p -> p + shiftleft(start, {COUNT_BITS}))")
-    return by_document(places.select("doc_id", moved.alias("places")))
+    by_doc = cut(by_doc)
+    rows = _segments(docs, by_doc.filter("size(few) > 0").select("doc_id", F.col("few").alias("places")))
+    found = rows.select("print", "digest", "doc_id", "start").join(_solve(rows, parts), ["print", "digest"])
+    moved = F.expr(f"transform(places, p -> p + shiftleft(start, {COUNT_BITS}))").alias("places")
+    single = _single_strings(docs, by_doc.filter("size(many) > 0").select("doc_id", F.col("many").alias("places")), parts)
+    return by_document(found.select("doc_id", moved).union(single))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the remaining bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    slim = keyed(docs)
     named = slim.filter("doc_id is not null")
     marked = named.join(repeated_strings(named, parts), "doc_id", "left")
     nameless = slim.filter("doc_id is null").withColumn("places", F.lit(None).cast("array<long>"))
