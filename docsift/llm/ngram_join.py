@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.components import components
+from docsift.llm.exchange import keyed
 from docsift.llm.storage import cut
 from docsift.llm.words import Hasher, Texts, list_array, mix, runs_of, signed, slices
 
@@ -178,7 +179,7 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
 def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each document: ``doc_id``, ``class_id``, ``same_id``, ``n_links``."""
     bands, rows = choose_bands(threshold, recall)
-    slim = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    slim = keyed(docs).filter("doc_id is not null")
     signatures = _signatures(slim, bands, rows)
     sets = _signatures(slim, 0, rows).drop("bands").groupBy("doc_id").agg(F.min("d1").alias("d1"), F.min("d2").alias("d2"))
     classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("same_id"), F.count("*").alias("n_copies"))

@@ -5,7 +5,7 @@ smaller ``doc_id``; every word that a repeated window covers is removed. Windows
 
 1. Anchors. Every document is cut into reference blocks of 7 words that do not overlap, and rolling windows of 7 words
    probe them: any window of 13 words holds a whole block, so no repeat is missed. Blocks and probes meet by hash, in
-   buckets: one binary row for each slice of documents and bucket, 5 hash bytes and about 1 place byte a window. A slice
+   buckets: one binary row for each slice of documents and bucket, 4 hash bytes and about 1 place byte a window. A slice
    sends each of its anchors once; that two of its own documents share one, it knows itself. So an anchor that a third
    of all documents hold sends one entry for each slice.
 2. Extension. Around the hits, the 13-word windows are hashed with 128 bits, and the same exchange finds the smallest
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.exchange import PACKED, by_document, exchange, known_rows, packed_batches
+from docsift.llm.exchange import PACKED, bucket_of, by_document, exchange, keyed, known_rows, packed_batches
 from docsift.llm.words import Hasher, Texts, covered, runs_of, slices
 
 WINDOW = 13
+ANCHOR_BYTES = 4  # within a bucket; a false hit only makes more windows be hashed
 _A, _B = Hasher(0), Hasher(1)
 
 
@@ -61,8 +62,8 @@ def shared_anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
             flags = np.zeros(len(doc), bool)
             flags[order] = np.where(several, flag, aligned[order])
             h = hashes[entries]
-            bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            yield from packed_batches(ids, doc[entries], place[entries], [h], bucket, 5, flags[entries])
+            bucket = bucket_of(h, buckets)
+            yield from packed_batches(ids, doc[entries], place[entries], [h], bucket, ANCHOR_BYTES, flags[entries])
 
     def decide(hashes: list[np.ndarray], ids: np.ndarray, flags: np.ndarray) -> np.ndarray:
         order, heads = runs_of(hashes)
@@ -73,7 +74,7 @@ def shared_anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         out[order] = np.repeat(found, sizes)
         return out
 
-    return by_document(exchange(docs.mapInArrow(run, PACKED), parts, 5, 1, decide))
+    return by_document(exchange(docs.mapInArrow(run, PACKED), parts, ANCHOR_BYTES, 1, decide))
 
 
 def repeated_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
@@ -106,7 +107,7 @@ def repeated_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
             later = ids[doc[order]] > least
             yield from known_rows(ids, doc[order][later], place[order][later], buckets)
             entries = np.sort(order[~later])
-            bucket = ((hashes[0][entries] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            bucket = bucket_of(hashes[0][entries], buckets)
             flags = np.zeros(len(entries), bool)
             yield from packed_batches(ids, doc[entries], place[entries], [h[entries] for h in hashes], bucket, 8, flags)
 
@@ -124,7 +125,7 @@ def repeated_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept`` (the remaining words, one space between)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col("doc_id").cast("long"), "text")
+    slim = keyed(docs)
     named = slim.filter("doc_id is not null")
     marked = named.join(repeated_windows(named, window, parts), "doc_id", "left")
     nameless = slim.filter("doc_id is null").withColumn("places", F.lit(None).cast("array<long>"))
