@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.words import list_array, runs_of
+from docsift.llm.words import list_array, mix
 
 PACKED = "bucket long, doc_id long, places array<long>, prints array<long>, n_docs int, n int, body binary"
 PACKED_NAMES = ["bucket", "doc_id", "places", "prints", "n_docs", "n", "body"]
@@ -121,57 +121,114 @@ def known_rows(
         yield pa.RecordBatch.from_arrays(columns, PACKED_NAMES)
 
 
+def _spread(ids: np.ndarray, places: np.ndarray, prints: np.ndarray | None, parts: int) -> Iterator[pa.RecordBatch]:
+    """Entries packed for the partitions that their documents go to."""
+    target = (mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((places, ids, target))
+    target, ids, places = target[order], ids[order], places[order]
+    bounds = np.flatnonzero(np.diff(target, prepend=-1))
+    out: dict[str, list] = {"target": [], "n_docs": [], "n": [], "body": []}
+    for low, high in zip(bounds, np.append(bounds[1:], len(target)), strict=True):
+        doc = ids[low:high]
+        heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        gaps = np.diff(places[low:high], prepend=0)
+        gaps[heads] = places[low:high][heads]
+        marks = b"" if prints is None else pack(prints[order[low:high]], 8)
+        out["target"].append(int(target[low]))
+        out["n_docs"].append(len(heads))
+        out["n"].append(len(doc))
+        out["body"].append(b"".join([pack(doc[heads], 8), pack(np.diff(np.append(heads, len(doc))), 4), pack(gaps, 4), marks]))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+
+
+def _unpacked(n_docs: int, n: int, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document ids, entries of each, places of all entries, and what follows."""
+    ids = unpack(raw, n_docs, 8).view(np.int64)
+    per = unpack(raw[n_docs * 8 :], n_docs, 4).astype(np.int64)
+    gaps = unpack(raw[n_docs * 12 :], n, 4).astype(np.int64)
+    total = np.cumsum(gaps)
+    heads = np.cumsum(per) - per
+    return ids, per, total - np.repeat(total[heads] - gaps[heads], per), raw[n_docs * 12 + n * 4 :]
+
+
 def exchange(packed: DataFrame, parts: int, width: int, n_hashes: int, decide: Callable, prints: bool = False) -> DataFrame:
-    """Brings each bucket together; ``decide(hashes, doc_ids, flags)`` tells which of its entries are found."""
+    """Brings each bucket together; ``decide(hashes, doc_ids, flags)`` tells which of its entries are found.
+
+    One row for each document with found entries: ``doc_id``, ``places``, and ``prints`` if asked for (else null).
+    """
 
-    def solve(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, docs, places, flags, hashes, base = [], [], [], [], [[] for _ in range(n_hashes)], 0
+    def solve(bucket: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        ids, places, flags, hashes = [], [], [], [[] for _ in range(n_hashes)]
         for n_docs, n, body in rows:
-            raw = np.frombuffer(body, np.uint8)
-            ids.append(unpack(raw, n_docs, 8).view(np.int64))
-            at = n_docs * 8
-            per = unpack(raw[at:], n_docs, 4).astype(np.int64)
-            at += n_docs * 4
-            gaps = unpack(raw[at:], n, 4).astype(np.int64)
-            at += n * 4
-            flags.append(np.unpackbits(raw[at : at + (n + 7) // 8], count=n).astype(bool))
-            at += (n + 7) // 8
+            doc_ids, per, place, raw = _unpacked(n_docs, n, np.frombuffer(body, np.uint8))
+            ids.append(np.repeat(doc_ids, per))
+            places.append(place)
+            at = (n + 7) // 8
+            flags.append(np.unpackbits(raw[:at], count=n).astype(bool))
             for h in hashes:
                 h.append(unpack(raw[at:], n, width))
                 at += n * width
-            total = np.cumsum(gaps)
-            heads = np.cumsum(per) - per
-            places.append(total - np.repeat(total[heads] - gaps[heads], per))
-            docs.append(np.repeat(np.arange(n_docs), per) + base)
-            base += n_docs
-        ids, docs, places = np.concatenate(ids), np.concatenate(docs), np.concatenate(places)
-        whole = [np.concatenate(h) for h in hashes]
-        found = decide(whole, ids[docs], np.concatenate(flags))
-        if found.any():
-            unique, doc = np.unique(ids, return_inverse=True)
-            marks = (bucket << (8 * width) | whole[0][found].astype(np.int64)) if prints else None
-            yield pa.RecordBatch.from_arrays(list(_rows(unique, doc[docs[found]], places[found], marks)), PLACES_NAMES)
+        doc, whole = np.concatenate(ids), [np.concatenate(h) for h in hashes]
+        found = decide(whole, doc, np.concatenate(flags))
+        marks = (bucket << (8 * width) | whole[0][found].astype(np.int64)) if prints else None
+        return doc[found], np.concatenate(places)[found], marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         now, rows = None, []
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(x[0]) for x in held) >= least:
+                marks = np.concatenate([x[2] for x in held]) if prints else None
+                yield from _spread(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), marks, parts)
+                held.clear()
+
         for batch in batches:
             bucket = batch.column("bucket").to_numpy()
-            known = np.flatnonzero(bucket < 0)
-            if len(known):
-                yield batch.select(PLACES_NAMES).take(pa.array(known))
+            known = batch.filter(pa.array(bucket < 0))
+            if known.num_rows:
+                lists = known.column("places")
+                ids = np.repeat(known.column("doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+                marks = known.column("prints").flatten().to_numpy() if prints else None
+                held.append((ids, lists.flatten().to_numpy(), marks))
             n_docs, n, body = (batch.column(c) for c in ("n_docs", "n", "body"))
             for i in np.flatnonzero(bucket >= 0):
                 if bucket[i] != now:
                     if rows:
-                        yield from solve(now, rows)
+                        held.append(solve(now, rows))
+                        yield from flush(1 << 20)
                     now, rows = bucket[i], []
                 rows.append((n_docs[i].as_py(), n[i].as_py(), body[i].as_py()))
+            yield from flush(1 << 20)
         if rows:
-            yield from solve(now, rows)
-
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, PLACES)
+            held.append(solve(now, rows))
+        yield from flush(1)
 
-
-def by_document(places: DataFrame) -> DataFrame:
-    """One row for each document; its places are no more than its words."""
-    return places.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, places, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            for n_docs, n, body in zip(*(batch.column(c).to_pylist() for c in ("n_docs", "n", "body")), strict=True):
+                doc, per, place, raw = _unpacked(n_docs, n, np.frombuffer(body, np.uint8))
+                ids.append(np.repeat(doc, per))
+                places.append(place)
+                if prints:
+                    marks.append(unpack(raw, n, 8).view(np.int64))
+        doc, place = np.concatenate(ids), np.concatenate(places)
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        mark = np.concatenate(marks)[order][new] if prints else None
+        doc, place = doc[new], place[new]
+        heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        for low in range(0, len(heads), 4096):
+            own = np.append(heads, len(doc))[low : low + 4097]
+            bounds = own - own[0]
+            lists = list_array(place[own[0] : own[-1]], bounds)
+            other = list_array(mark[own[0] : own[-1]], bounds) if prints else pa.nulls(len(own) - 1, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own[:-1]], pa.int64()), lists, other], PLACES_NAMES)
+
+    dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    spread = dealt.mapInArrow(run, "target int, n_docs int, n int, body binary")
+    return spread.repartition(parts, "target").mapInArrow(collect, PLACES)

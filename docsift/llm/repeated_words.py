@@ -8,7 +8,7 @@ smaller ``doc_id``; every word that a repeated window covers is removed. Windows
    buckets: one binary row for each slice of documents and bucket, 4 hash bytes and about 1 place byte a window. A slice
    sends each of its anchors once; that two of its own documents share one, it knows itself. So an anchor that a third
    of all documents hold sends one entry for each slice.
-2. Extension. Around the hits, the 13-word windows are hashed with 128 bits, and the same exchange finds the smallest
+2. Extension. Around the hits, the 13-word windows are hashed with 96 bits and the bucket's, and the same exchange finds the smallest
    ``doc_id`` of each; the windows of all others are repeated. Neighbouring repeated windows join to the maximal repeats.
 
 Results for odd input: a null or short text has nothing removed; rows with a null ``doc_id`` are returned unchanged and
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.exchange import PACKED, bucket_of, by_document, exchange, keyed, known_rows, packed_batches
+from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, packed_batches
 from docsift.llm.words import Hasher, Texts, covered, runs_of, slices
 
 WINDOW = 13
 ANCHOR_BYTES = 4  # within a bucket; a false hit only makes more windows be hashed
+WINDOW_BYTES = 6  # of each of two hashes, within a bucket
 _A, _B = Hasher(0), Hasher(1)
 
 
@@ -74,7 +75,7 @@ def shared_anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
         out[order] = np.repeat(found, sizes)
         return out
 
-    return by_document(exchange(docs.mapInArrow(run, PACKED), parts, ANCHOR_BYTES, 1, decide))
+    return exchange(docs.mapInArrow(run, PACKED), parts, ANCHOR_BYTES, 1, decide).drop("prints")
 
 
 def repeated_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
@@ -109,7 +110,7 @@ def repeated_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
             entries = np.sort(order[~later])
             bucket = bucket_of(hashes[0][entries], buckets)
             flags = np.zeros(len(entries), bool)
-            yield from packed_batches(ids, doc[entries], place[entries], [h[entries] for h in hashes], bucket, 8, flags)
+            yield from packed_batches(ids, doc[entries], place[entries], [h[entries] for h in hashes], bucket, WINDOW_BYTES, flags)
 
     def decide(hashes: list[np.ndarray], ids: np.ndarray, flags: np.ndarray) -> np.ndarray:
         order, heads = runs_of(hashes)
@@ -119,7 +120,7 @@ def repeated_windows(docs: DataFrame, window: int, parts: int) -> DataFrame:
         out[order] = own > np.repeat(np.minimum.reduceat(own, heads), sizes)
         return out
 
-    return by_document(exchange(joined.mapInArrow(run, PACKED), parts, 8, 2, decide))
+    return exchange(joined.mapInArrow(run, PACKED), parts, WINDOW_BYTES, 2, decide).drop("prints")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # text that is handled at once; one longer document is handled alone
+SLICE_BYTES = 1 << 20  # text that is handled at once; one longer document is handled alone
 _U64 = np.uint64
 
 IS_SPACE = np.zeros(256, bool)
