@@ -186,11 +186,11 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     membership = cut(sets.join(classes, ["d1", "d2"]).select("doc_id", "same_id", "n_copies"))
     representatives = membership.filter("doc_id = same_id").select("doc_id", "n_copies")
 
-    keyed = signatures.join(representatives.select("doc_id"), "doc_id", "left_semi").select(
+    probes = signatures.join(representatives.select("doc_id"), "doc_id", "left_semi").select(
         "doc_id", F.explode("bands").alias("key")
     )
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    edges = keyed.join(buckets.filter("least != most"), "key").select("doc_id", "least")
+    buckets = probes.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    edges = probes.join(buckets.filter("least != most"), "key").select("doc_id", "least")
     clusters = components(edges, "doc_id", "least").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
     members = slim.dropDuplicates(["doc_id"]).join(clusters.join(representatives, "doc_id"), "doc_id")
