@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.exchange import PACKED, bucket_of, by_document, exchange, keyed, known_rows, packed_batches, print_of
+from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, packed_batches, print_of
 from docsift.llm.storage import cut
 from docsift.llm.suffix_array import suffix_array
 from docsift.llm.words import Hasher, Texts, covered, mix, runs_of, signed, slices
 
 LENGTH = 200
 GRAM = 32
-SLICE = 1 << 20
+FEW = 100_000  # crowded anchors that are broadcast (8 bytes each); more are joined by a shuffle
 CHUNK = 1 << 17  # bytes of segments under one suffix array
 CROWD = 8192  # occurrences of an anchor beyond which its strings are counted one by one
 ANCHOR_BYTES = 5
@@ -82,7 +82,7 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
     buckets = 2 * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches):
             found = Runs(Texts(batch.column("text")))
             if not len(found.doc):
                 continue
@@ -108,7 +108,7 @@ def shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
     found = exchange(docs.mapInArrow(run, PACKED), parts, ANCHOR_BYTES, 1, decide, prints=True)
     each = found.select("doc_id", F.explode(F.arrays_zip("places", "prints")).alias("x"))
-    return each.select("doc_id", F.col("x.places").alias("place"), F.col("x.prints").alias("print")).distinct()
+    return each.select("doc_id", F.col("x.places").alias("place"), F.col("x.prints").alias("print"))
 
 
 def _wanted_runs(batch: pa.RecordBatch) -> tuple[Texts, Runs, np.ndarray]:
@@ -126,7 +126,7 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     equal segments, the segment's ``bytes``, the anchor's place in them (``lead``) and ``copies`` in the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches):
             texts, runs, own = _wanted_runs(batch)
             if not len(own):
                 continue
@@ -271,7 +271,7 @@ def _single_strings(docs: DataFrame, anchors: DataFrame, parts: int) -> DataFram
     buckets = 2 * parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches):
             texts, runs, own = _wanted_runs(batch)
             if not len(own):
                 continue
@@ -305,7 +305,8 @@ def repeated_strings(docs: DataFrame, parts: int, crowd: int = CROWD) -> DataFra
     """``doc_id`` and where runs of repeated strings start: byte place << 16 | number of strings."""
     anchors = cut(shared_anchors(docs, parts))
     crowded = anchors.groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("print")
-    marked = anchors.join(crowded.withColumn("crowded", F.lit(True)), "print", "left")
+    crowded = cut(crowded).withColumn("crowded", F.lit(True))
+    marked = anchors.join(F.broadcast(crowded) if crowded.count() <= FEW else crowded, "print", "left")
     by_doc = marked.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("crowded").isNull(), F.col("place"))).alias("few"),
         F.collect_list(F.when(F.col("crowded"), F.col("place"))).alias("many"),
@@ -315,7 +316,8 @@ def repeated_strings(docs: DataFrame, parts: int, crowd: int = CROWD) -> DataFra
     found = rows.select("print", "digest", "doc_id", "start").join(_solve(rows, parts), ["print", "digest"])
     moved = F.expr(f"transform(places, p -> p + shiftleft(start, {COUNT_BITS}))").alias("places")
     single = _single_strings(docs, by_doc.filter("size(many) > 0").select("doc_id", F.col("many").alias("places")), parts)
-    return by_document(found.select("doc_id", moved).union(single))
+    each = found.select("doc_id", moved).union(single)
+    return each.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
