@@ -8,7 +8,8 @@ overall.
 Documents are cut into passages of twice the longest item's words that begin every longest item's words, so that each
 occurrence lies whole in one. Every passage is a query over its different words:
 
-1. The sum of the words' largest impacts bounds every score; passages below the threshold are done (array code).
+1. The sum of the words' largest impacts bounds every score; passages below the threshold are done (array code). So are
+   passages without a single shingle of the longer part of any item: step 3's hits could not be verified there.
 2. The same sum with the impacts of each block leaves the blocks that can hold a hit.
 3. In these, WAND moves through the postings from pivot to pivot and retrieves every item at or above the threshold.
 
@@ -81,6 +82,7 @@ class Index:
     block_max: np.ndarray  # (words, blocks)
     parts: list[list[np.ndarray]]  # for question and answer: the word hashes of each item
     passage: int  # words of a passage; the next begins half as many words later
+    shingles: dict[int, np.ndarray]  # by length: the sorted shingles of each item's longer part
 
     @classmethod
     def build(cls, item_ids: np.ndarray, parts: list[list[np.ndarray]], n_items: int, mean: float, df: dict, longest: int) -> Index:
@@ -97,7 +99,24 @@ class Index:
         words, first = np.unique(word, return_index=True)
         block_max = np.zeros((len(words), (len(lengths) + BLOCK - 1) // BLOCK))
         np.maximum.at(block_max, (np.searchsorted(words, word), item // BLOCK), impact)
-        return cls(item_ids, words, np.append(first, len(word)), item, impact, block_max, parts, 2 * max(longest, SHINGLE))
+        by_length: dict[int, list[np.ndarray]] = {}
+        for pair in zip(*parts, strict=True):
+            part = max(pair, key=len)
+            if len(part):
+                by_length.setdefault(min(SHINGLE, len(part)), []).append(_shingles(part))
+        shingles = {k: np.unique(np.concatenate(v)) for k, v in by_length.items()}
+        passage = 2 * max(longest, SHINGLE)
+        return cls(item_ids, words, np.append(first, len(word)), item, impact, block_max, parts, passage, shingles)
+
+    def _verifiable(self, texts: Texts, hashes: np.ndarray) -> np.ndarray:
+        """How many words before each place begin a shingle of the longer part of an item."""
+        marks = np.zeros(len(hashes), bool)
+        prefix = _HASH.prefix(hashes)
+        for k, wanted in self.shingles.items():
+            begin = texts.windows(k)
+            own = _HASH.ranges(prefix, begin, begin + k)
+            marks[begin] |= wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
+        return np.concatenate([[0], np.cumsum(marks)])
 
     def search(self, texts: Texts, threshold: float = SCORE) -> tuple[np.ndarray, ...]:
         """(document, item, score, question overlap, answer overlap) of every verified hit."""
@@ -113,7 +132,8 @@ class Index:
             number = np.arange(len(doc)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages)
             begin = texts.word_offsets[doc] + number * stride
             end = np.minimum(begin + self.passage, texts.word_offsets[doc + 1])
-            open_ = np.flatnonzero(bound[end] - bound[begin] >= threshold - _SLACK)
+            possible = self._verifiable(texts, hashes)
+            open_ = np.flatnonzero((bound[end] - bound[begin] >= threshold - _SLACK) & (possible[end] > possible[begin]))
             for low in range(0, len(open_), 4096):
                 self._retrieve(open_[low : low + 4096], begin, end, doc, at, known, hashes, threshold, hits)
         found = list(zip(*hits, strict=True)) or [(), (), (), (), ()]
