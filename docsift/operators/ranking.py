@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Rows of one (group, order) are sorted in blocks of this many positions.
 POS_BLOCK_BITS = 20
+# Offsets of blocks are summed in spans of this many blocks; a span holds a thousand pages.
+SPAN_BITS = 20
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[str], last: bool = False, **extra: Column) -> DataFrame:
@@ -54,16 +56,19 @@ def add_rank(
     cells["_block"] = F.coalesce(F.shiftright(F.col(pos).cast("long"), block_bits), F.lit(0).cast("long"))
     keys = list(cells)
     cut = df.withColumns(cells)
-    before = (
-        Window.partitionBy(*(keys[: len(by)] or [F.lit(0)]))
-        .orderBy(*keys[len(by) :])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        cut.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
+
+    def sum_before(partition: list[str], order_by: list[str]) -> Column:
+        window = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    # Blocks can be many (one for each page), so their offsets are summed in two levels: over spans of blocks, which
+    # alone meet in one task, and over the blocks inside each span.
+    wide = [*keys[:-1], "_span"]
+    blocks = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_span", F.shiftright("_block", SPAN_BITS))
+    spans = blocks.groupBy(*wide).agg(F.sum("_n").alias("_n"))
+    spans = spans.select(*wide, sum_before(wide[: len(by)], wide[len(by) :]).alias("_before_span"))
+    offsets = blocks.withColumn("_before_block", sum_before(wide, ["_block"])).join(spans, wide)
+    offsets = offsets.select(*keys, (F.col("_before_span") + F.col("_before_block")).alias("_before"))
     inside = Window.partitionBy(*keys).orderBy(pos)
     return (
         cut.join(offsets, keys)

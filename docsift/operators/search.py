@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
@@ -40,21 +40,15 @@ def tier_of(term: Column) -> Column:
 def with_similarity(tier: Column, term: Column, wanted: Column) -> Column:
     """Tier score, or the capped similarity where there is no tier and it is wanted."""
     text = F.when(tier.isNull() & wanted, F.col("_lowered"))
-    return F.coalesce(tier, F.least(F.lit(tx.SIMILARITY_CAP), partial_ratio(term, text)))
-
-
-def split_keywords(keywords: str | None) -> list[list[str]] | None:
-    """OR-groups of AND-terms of a literal query; None if there are no keywords at all."""
-    tokens = (keywords or "").split()
-    if not tokens:
-        return None
-    groups: list[list[str]] = [[]]
-    for token in tokens:
-        if token == "|":
-            groups.append([])
-        else:
-            groups[-1].append(token)
-    return [g for g in groups if g]
+    ratio = partial_ratio(term, text)  # NULL for a missing name, which least() would turn into the cap
+    return F.coalesce(tier, F.when(ratio.isNotNull(), F.least(F.lit(tx.SIMILARITY_CAP), ratio)))
+
+
+def split_keywords(spark: SparkSession, keywords: str | None) -> list[list[str]] | None:
+    """OR-groups of AND-terms of a literal query, by the rules of a column of queries; None without keywords."""
+    text = F.lit(keywords).cast("string")
+    some, groups = spark.range(1).select(tx.has_keywords(text), tx.or_groups(text)).first()
+    return groups if some else None
 
 
 def _all_of(conditions: list[Column]) -> Column:

@@ -8,27 +8,25 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder the session names; a temporary one in local mode only."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names; only local mode, as in tests, may do without."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None and context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    return context.getCheckpointDir()
+        named = context.getCheckpointDir()
+    return named
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The relation as a table in the checkpoint folder; unchanged where there is none.
+    """The relation as a table in the checkpoint folder.
 
     Unlike a cached relation, a stored one lets Spark see that two branches of a
     plan are the same and run their shuffles once, and it survives lost executors.
     """
     spark = df.sparkSession
-    folder = checkpoint_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/docsift-{uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/docsift-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -81,7 +81,7 @@ def search(
         wanted = [d.strip() for d in domains.split(",") if d.strip()]
         rows = rows.filter((F.col("kind") == "group") | F.col("domain").isin(wanted))
 
-    groups = split_keywords(keywords)
+    groups = split_keywords(symbols.sparkSession, keywords)
     if groups is None:
         ranked = rows.withColumns(
             {

@@ -136,7 +136,7 @@ def latest_fetch(crawl_log: DataFrame, urls: DataFrame | None = None) -> DataFra
     if urls is not None:
         wanted, _ = broadcast_if_small(urls.filter(F.col("url").isNotNull()).select("url").distinct())
         rows = rows.join(wanted, "url", "left_semi")
-    return first_by(rows, ["url"], ["fetched_at"], last=True)
+    return first_by(rows, ["url"], ["fetched_at", "status", "final_url", "content_type", "error"], last=True)
 
 
 def first_reachable(sources: DataFrame, crawl_log: DataFrame) -> DataFrame:

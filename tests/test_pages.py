@@ -19,21 +19,32 @@ INDEX = """<html><body>
 <li><a href="two.html">two (C++ some attribute)</a></li>
 </ul></td></tr></table></body></html>"""
 
-GROUP = """<html><body>
-<p><a href="#group__G_1g0">early</a></p>
-<h3 class="fake_title member_header">Functions</h3>
-<dl><dt><span class="n"><a href="#group__G_1g1">memFree</a> ( void*
-   devPtr )</span></dt></dl>
-<table><tr><td>ret</td><td><a href="#group__G_1g1b">over</a> (int)</td></tr></table>
-<h3 class="member_header"> Typedefs </h3>
-<dl><dt><a href="#group__G_1g2">array_t</a></dt></dl>
-<h3 class="member_header">Enumerations</h3><dl><dt><a href="#group__G_1g3">error_t</a></dt></dl>
-<h3 class="other">Variables</h3>
-<h3 class="member_header">Defines</h3><dl><dt><a href="#group__G_1g4">VERSION</a></dt></dl>
-<h3 class="member_header">Variables</h3><dl><dt><table><tr><td><a href="#group__G_1g5">stream</a></td></tr></table> all</dt></dl>
-<h3 class="member_header">Misc</h3>
-<a href="#group__G_1g1">again</a><a href="#group__G_1g6"> </a><a href="#other">no</a><a href="x#group__G_1g7">no</a>
-</body></html>"""
+#: heading of a section, its class, and the role of its members (None: no heading of members, so the role stays)
+SECTIONS = [
+    ("Functions", "fake_title member_header", "function"),
+    (" Typedefs ", "member_header", "type"),
+    ("Enumerations", "member_header", "enum"),
+    ("Variables", "other", None),
+    ("Defines", "member_header", "macro"),
+    ("Variables", "member_header", "data"),
+]
+
+
+def group_page():
+    """A page with three members in each section, and the rows it should give; links that are no members between."""
+    html, wanted, role = ['<a href="#group__G_1gz">lead</a>'], [("lead", "1gz", "")], ""
+    for n, (title, css, own) in enumerate(SECTIONS):
+        role = role if own is None else own
+        html.append(f'<h3 class="{css}">{title}</h3><a href="#other">no</a><a href="x#group__G_1g{n}x">no</a>')
+        html.append(f'<dl><dt><span><a href="#group__G_1g{n}a">k{n}</a> ( int*\n   p{n} )</span></dt></dl>')
+        html.append(f'<table><tr><td>ret</td><td><a href="#group__G_1g{n}b">v{n}</a> (x)</td></tr></table>')
+        html.append(f'<dl><dt><table><tr><td><a href="#group__G_1g{n}c">w{n}</a></td></tr></table> tail</dt></dl>')
+        html.append(f'<a href="#group__G_1g{n}a">again</a><a href="#group__G_1g{n}e"> </a>')
+        wanted += [(f"k{n} ( int* p{n} )", f"1g{n}a", role), (f"v{n} (x)", f"1g{n}b", role), (f"w{n} tail", f"1g{n}c", role)]
+    return "<html><body>" + "\n".join(html) + "</body></html>", wanted
+
+
+GROUP, MEMBERS = group_page()
 
 
 @pytest.fixture(scope="module")
@@ -61,15 +72,7 @@ def test_members(spark, pages):
     wanted = spark.createDataFrame([("s", 0, 3, "http://h/g/group__G.html", "c", ["HIGH"])], schema)
     rows = pg.member_symbols(pg.scan_pages(wanted, pages, "page_url")).orderBy("pos").collect()
     at = "http://h/g/group__G.html#group__G_"
-    assert [(r["group"], r["url"].removeprefix(at), r["role"], r["domain"]) for r in rows] == [
-        ("early", "1g0", "", "c"),
-        ("memFree ( void* devPtr )", "1g1", "function", "c"),
-        ("over (int)", "1g1b", "function", "c"),
-        ("array_t", "1g2", "type", "c"),
-        ("error_t", "1g3", "enum", "c"),
-        ("VERSION", "1g4", "macro", "c"),
-        ("stream all", "1g5", "data", "c"),
-    ]
+    assert [(r["group"], r["url"].removeprefix(at), r["role"], r["domain"]) for r in rows] == [(name, mark, role, "c") for name, mark, role in MEMBERS]
 
 
 def test_group_links(spark):
@@ -113,9 +116,9 @@ def test_gather_and_status(spark):
     )
     catalog = gather_symbols(sources, crawl, files, pages)
     rows = catalog.symbols.orderBy("source_ord", "pos").collect()
-    assert [r["source"] for r in rows] == ["inv"] + ["dox"] * 9 + ["gen"] * 4
+    assert [r["source"] for r in rows] == ["inv"] + ["dox"] * (2 + len(MEMBERS)) + ["gen"] * 4
     dox = [(r["kind"], r["group"]) for r in rows if r["source"] == "dox"]
-    assert dox[:3] == [("group", "G"), ("group", "gone"), ("member", "early")]
+    assert dox[:3] == [("group", "G"), ("group", "gone"), ("member", "lead")]
     assert (rows[1]["role"], rows[1]["domain"]) == (None, None)
     status = {r["source"]: r["skipped_reason"] for r in catalog.status.collect()}
     assert status == {"inv": None, "dox": None, "gen": None, "bad": "fetch error", "pdf": "pdf"}
