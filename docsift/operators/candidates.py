@@ -12,13 +12,15 @@ The join only proposes pairs, the score decides.
   characters the L - 1 gaps sum to at most (m - 1) + (w - 1), and
   L >= 0.3 (m + w) leaves one pair of gaps with a sum of 4 or less.
 * ``c`` / ``s``: single characters, for terms / names of one or two characters,
-  where one matched character can be enough.
-* ``*``: everything, for thresholds under 60, where similarity excludes little.
+  where one matched character can be enough, and for thresholds under 60.
+* ``*``: everything, only for thresholds of 0 or less, which every pair passes.
+
+``may_reach`` then bounds the similarity of a pair from its character counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import SIMILARITY_CAP
@@ -27,7 +29,6 @@ GRAM_SIZES = [1, 2, 3, 6]
 PAIR_BUDGET = 4
 PAIR_MIN_THRESHOLD = 60.0
 _SHORT = 2
-_SALTS = 16
 
 
 def _chars(text: Column) -> Column:
@@ -91,43 +92,48 @@ def term_tokens(term: Column, threshold: Column) -> Column:
     return F.array_distinct(
         F.when(threshold > SIMILARITY_CAP, F.array(gram))
         .when(threshold >= PAIR_MIN_THRESHOLD, close)
+        .when(threshold > 0, F.concat(F.array(gram), _tagged("c", _chars(term))))
         .otherwise(F.array(F.lit("*")))
     )
 
 
+def may_reach(term: Column, name: Column, threshold: Column) -> Column:
+    """Whether the similarity of a pair can reach the threshold, judged by the characters they have in common.
+
+    A window of w characters that matches L of them has 200 L / (m + w), m being the shorter length.  L is at most w and
+    at most C, the common characters counted with repetition, so that no window exceeds 200 C / (m + C).
+    """
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(_chars(term), F.lit(0), lambda n, c: n + F.least(count(term, c), count(name, c)))
+    shorter = F.least(F.length(term), F.length(name))
+    return F.lit(200.0) * common + F.lit(1e-6) >= threshold * (shorter + common)
+
+
+def salts(spark: SparkSession) -> int:
+    """In how many parts a hot key is cut: one for each task that can run at once."""
+    return max(2, spark.sparkContext.defaultParallelism)
+
+
 def candidate_pairs(
-    names: DataFrame,
-    key: list[str],
-    name: str,
-    terms: DataFrame,
-    gram_sizes: list[int],
-    lowest: float,
-    small: bool,
+    names: DataFrame, key: str, lowered: Column, terms: DataFrame, gram_sizes: list[int], lowest: float, small: bool
 ) -> DataFrame:
-    """Rows of ``names`` with the terms (``term``, ``threshold``) they may match.
+    """Distinct (key, term, threshold): the different names with the terms (``term``, ``threshold``) they may match.
 
-    A pair that shares several tokens may appear several times.  ``gram_sizes`` and
-    ``lowest`` (threshold) describe the terms and spare tokens none of them has.
-    While the term side is ``small``, names stream past a broadcast copy.
-    Otherwise both sides shuffle on (token, salt), narrow on the name side, so
-    that a token found in most names is spread over many tasks.
+    ``names`` has one row per ``key``; partitioned by it, the pairs lose their duplicates without another shuffle.
+    ``gram_sizes`` and ``lowest`` (threshold) describe the terms and spare tokens none of them has.  While the term side
+    is ``small``, names stream past a broadcast copy.  Otherwise both sides shuffle on (token, salt), so that a token
+    found in most names is spread over many tasks.
     """
-    tokens = name_tokens(
-        F.col(name), gram_sizes or GRAM_SIZES[:1], lowest <= SIMILARITY_CAP, lowest < PAIR_MIN_THRESHOLD
-    )
+    tokens = name_tokens(lowered, gram_sizes or GRAM_SIZES[:1], lowest <= SIMILARITY_CAP, lowest <= 0)
     term_side = terms.withColumn("_token", F.explode(term_tokens(F.col("term"), F.col("threshold"))))
     # explode_outer: the plain form makes Spark add a filter that computes the tokens twice.
     if small:
-        return (
-            names.withColumn("_token", F.explode_outer(tokens))
-            .join(F.broadcast(term_side), "_token")
-            .drop("_token")
+        pairs = names.select(key, F.explode_outer(tokens).alias("_token")).join(F.broadcast(term_side), "_token")
+    else:
+        n = salts(names.sparkSession)
+        narrow = names.select(
+            key, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_salt"), F.explode_outer(tokens).alias("_token")
         )
-    narrow = (
-        names.select(*key, name)
-        .withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(_SALTS)).cast("int"))
-        .withColumn("_token", F.explode_outer(tokens))
-    )
-    salted = term_side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    pairs = narrow.join(salted, ["_token", "_salt"]).select(*key, "term", "threshold").distinct()
-    return pairs.join(names, key)
+        salted = term_side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        pairs = narrow.join(salted, ["_token", "_salt"])
+    return pairs.select(key, "term", "threshold").distinct()

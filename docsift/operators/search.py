@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
 from docsift.functions.similarity import partial_ratio
-from docsift.operators.candidates import candidate_pairs, gram_size
+from docsift.operators.candidates import candidate_pairs, gram_size, may_reach, salts
 from docsift.operators.ranking import first_by
-from docsift.operators.sizing import MAX_BROADCAST_BYTES
+from docsift.operators.sizing import MAX_BROADCAST_BYTES, broadcast_if_small
 
 # What a result row needs of its symbol.
-_ROW = ["source", "pos", "kind", "group", "url", "role", "domain"]
+_ROW = ["source", "pos", "kind", "group", "url", "role", "domain", "origin"]
 
 
 def name_forms(df: DataFrame, name: str = "group") -> DataFrame:
@@ -131,21 +131,18 @@ def best_per_url(rows: DataFrame, by: list[str], fuzzy: Column) -> DataFrame:
     )
 
 
-def score_terms(symbols: DataFrame, terms: DataFrame, **candidates) -> DataFrame:
-    """Symbols with the terms they match and the text score ``base`` of each match."""
-    pairs = candidate_pairs(name_forms(symbols), ["source", "pos"], "_lowered", terms, **candidates)
+def score_terms(names: DataFrame, terms: DataFrame, **candidates) -> DataFrame:
+    """The different names (``group``) with the terms they match and the text score ``base`` of each match."""
+    pairs = name_forms(candidate_pairs(names, "group", F.lower("group"), terms, **candidates))
     tiers = pairs.withColumn("_tier", tx.pinned(tier_of(F.col("term"))))
-    # Without a tier nothing passes a threshold above the similarity cap: drop before Python.
-    open_ = tiers.filter(F.col("_tier").isNotNull() | (F.col("threshold") <= tx.SIMILARITY_CAP))
+    # Without a tier nothing passes a threshold above the similarity cap: drop before Python, like what cannot pass.
+    similar = (F.col("threshold") <= tx.SIMILARITY_CAP) & may_reach(F.col("term"), F.col("_lowered"), F.col("threshold"))
+    open_ = tiers.filter(F.col("_tier").isNotNull() | similar)
     if candidates["lowest"] <= tx.SIMILARITY_CAP:
         base = with_similarity(F.col("_tier"), F.col("term"), F.lit(True))
     else:
         base = F.col("_tier")
-    return (
-        open_.withColumn("base", base)
-        .filter(F.col("base") >= F.col("threshold"))
-        .select(*symbols.columns, "term", "base")
-    )
+    return open_.withColumn("base", base).filter(F.col("base") >= F.col("threshold")).select("group", "term", "base")
 
 
 def query_targets(queries: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -189,10 +186,17 @@ def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_B
     Queries without keywords match all symbols of their sources, unscored.
     """
     profile = _profile(targets)
-    # The query side is broadcast only while its measured size is small; beyond
-    # that the joins shuffle and adaptive execution splits skewed partitions.
+    # The query side is broadcast only while its measured size is small; beyond that the joins shuffle.
     small = max(profile["route_bytes"], profile["token_bytes"]) <= max_bytes
-    sized = F.broadcast if small else (lambda df: df)
+
+    def meet(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+        """The symbol rows with what asks for them; a source may hold most symbols, so shuffled keys are salted."""
+        if small:
+            return rows.join(F.broadcast(asked), keys)
+        n = salts(rows.sparkSession)
+        spread = rows.withColumn("_salt", F.pmod(F.xxhash64("source", "pos"), F.lit(n)).cast("int"))
+        copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
     keyed = targets.filter("has_keywords and size(groups) > 0")
     group = F.array_distinct(F.transform("_g", F.lower))
@@ -204,17 +208,15 @@ def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_B
     )
     terms = routes.groupBy("term").agg(F.min("cut").alias("threshold"))
 
-    in_scope = symbols.select(*_ROW).join(sized(keyed.select("source").distinct()), "source", "left_semi")
-    scored = score_terms(
-        in_scope, terms, gram_sizes=profile["gram_sizes"], lowest=profile["lowest"], small=small
-    )
-    # One shuffle by symbol, before the pairs fan out to the queries, serves both
-    # aggregations: a pair may be proposed more than once, an OR-group needs all its terms.
-    # The count is fixed because a small input of this stage becomes a large output:
-    # merging its partitions by input size would leave the fan-out to a few tasks.
+    # The list of sources is bounded by the registry and measured by itself.
+    asked_sources, _ = broadcast_if_small(keyed.select("source").distinct())
+    in_scope = symbols.select(*_ROW).join(asked_sources, "source", "left_semi")
+    # A name is scored once, however many symbols bear it.  The width is fixed because few names become many pairs:
+    # merging partitions by the size of this stage's input would leave them to a few tasks.  No name comes twice here.
     width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = scored.repartition(width, "source", "pos").groupBy(*_ROW, "term").agg(F.min("base").alias("base"))
-    hits = pairs.join(sized(routes), ["term", "source"]).filter(
+    names = in_scope.select("group").filter("`group` is not null").distinct().repartition(width, "group")
+    scored = score_terms(names, terms, gram_sizes=profile["gram_sizes"], lowest=profile["lowest"], small=small)
+    hits = meet(in_scope.join(scored, "group"), routes, ["term", "source"]).filter(
         (F.col("base") >= F.col("cut"))
         & tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))
     )
@@ -235,8 +237,7 @@ def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_B
         return best
     blank = targets.filter("not has_keywords").select("query_id", "source", "requested", "request_ord", "wanted")
     listed = (
-        symbols.select(*_ROW)
-        .join(sized(blank), "source")
+        meet(symbols.select(*_ROW), blank, ["source"])
         .filter(tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted")))
         .withColumns(
             {

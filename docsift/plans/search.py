@@ -18,7 +18,7 @@ from docsift.operators.stats import total_found
 from docsift.operators.storage import stored
 from docsift.sources.registry import canonical_requests
 
-RESULT_COLUMNS = ["rank", "group", "url", "role", "domain", "source", "score", "matched_keyword"]
+RESULT_COLUMNS = ["rank", "group", "url", "role", "domain", "source", "score", "matched_keyword", "origin"]
 
 
 def _chosen_sources(sources: DataFrame, requested: list[str]) -> list[Row]:
@@ -95,7 +95,7 @@ def search(
     else:
         cut = F.coalesce(F.lit(threshold).cast("double"), "match_threshold", F.lit(tx.DEFAULT_THRESHOLD))
         similarity = threshold is None or threshold <= tx.SIMILARITY_CAP
-        kept = ["pos", "group", "url", "role", "domain", "requested", "request_ord", "match_threshold"]
+        kept = ["pos", "group", "url", "role", "domain", "origin", "requested", "request_ord", "match_threshold"]
         matched = match_keywords(rows.select(*kept), groups, fuzzy, cut, similarity).drop("match_threshold")
         best = best_per_url(matched, ["request_ord"], F.lit(fuzzy))
         first = -F.col("score") if fuzzy else F.col("request_ord").cast("double")

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from docsift.operators.candidates import GRAM_SIZES, candidate_pairs
+from pyspark.sql import functions as F
+
+from docsift.operators.candidates import GRAM_SIZES, candidate_pairs, may_reach
 from plain import similarity
 
 RNG = random.Random(11)
@@ -26,10 +28,11 @@ TERMS = some_terms()
 @pytest.mark.parametrize("threshold", [0.0, 45.0, 60.0, 66.0, 82.0, 88.0])
 @pytest.mark.parametrize("small", [True, False])
 def test_no_pair_that_can_pass_is_missed(spark, threshold, small):
-    names = spark.createDataFrame([("s", i, n) for i, n in enumerate(NAMES)], "source string, pos long, name string")
+    names = spark.createDataFrame([(n,) for n in NAMES], "name string")
     terms = spark.createDataFrame([(t, threshold) for t in TERMS], "term string, threshold double")
-    found = candidate_pairs(names, ["source", "pos"], "name", terms, GRAM_SIZES, threshold, small)
-    got = {(r["name"], r["term"]) for r in found.select("name", "term").distinct().collect()}
+    found = candidate_pairs(names, "name", F.col("name"), terms, GRAM_SIZES, threshold, small).collect()
+    got = {(r["name"], r["term"]) for r in found}
+    assert len(got) == len(found)
     passes = lambda n, t: t in n or (threshold <= 82 and min(82.0, similarity(t, n)) >= threshold)
     must = {(n, t) for n in NAMES for t in TERMS if passes(n, t)}
     assert must <= got
@@ -37,6 +40,14 @@ def test_no_pair_that_can_pass_is_missed(spark, threshold, small):
         assert len(got) < len(NAMES) * len(TERMS) / 3
 
 
+@pytest.mark.parametrize("threshold", [1.0, 30.0, 50.0, 60.0, 75.0, 82.0])
+def test_character_bound_loses_no_pair(spark, threshold):
+    pairs = spark.createDataFrame([(n, t) for n in NAMES[::3] for t in TERMS], "name string, term string")
+    left_out = pairs.filter(~may_reach(F.col("term"), F.col("name"), F.lit(threshold))).collect()
+    assert all(similarity(r["term"], r["name"]) < threshold for r in left_out)
+    assert threshold < 60 or len(left_out) > 100
+
+
 @pytest.mark.parametrize("threshold", [60.0, 70.0, 82.0])
 def test_gap_bound_behind_the_pair_tokens(threshold):
     """From 3 characters on some two consecutive matches lie within the distance budget."""
