@@ -384,3 +384,48 @@ def rendered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("</p></section></body>"),
         ).alias("html"),
     )
+
+
+def main_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages whose main part is an element, an id, a class or the whole page, with hidden text in it."""
+    key = F.col("doc_id") % 4
+    opening = _pick(key, ["<main>", '<div id="main-content">', '<div class="x main-content">', "<div>"])
+    closing = F.when(key == 0, "</main>").otherwise("</div>")
+    aside = F.when(key == 3, "").otherwise("<p>beside</p>")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
+        "doc_id",
+        F.concat(F.lit(f"{SITE}/doc/"), "doc_id").alias("url"),
+        F.concat(
+            F.lit("<body>"), aside, opening, F.lit('<h2>'), "source", F.lit('</h2><p style="display: none">gone</p><p>'),
+            escape(F.col("text")), F.lit("</p>"), closing, F.lit("</body>"),
+        ).alias("html"),
+    )
+
+
+def gathered_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries per rendered source: boolean, fuzzy and without keywords; every third source for one domain."""
+    shapes = F.array(
+        *[
+            F.struct(F.lit(tag).alias("tag"), F.lit(keywords).alias("keywords"), F.lit(fuzzy).alias("fuzzy"))
+            for tag, keywords, fuzzy in [("b", "GEAR", False), ("f", "red", True), ("l", " ", False)]
+        ]
+    )
+    return rendered_sources(spark, sf_dir).select("source_ord", F.explode(shapes).alias("s")).select(
+        F.concat_ws("-", "s.tag", "source_ord").alias("query_id"),
+        "s.keywords",
+        F.when(F.col("source_ord") % 3 == 1, "cpp").alias("domains"),
+        "s.fuzzy",
+        F.lit(88.0).alias("threshold"),
+        F.lit(None).cast("int").alias("max_results"),
+    )
+
+
+def gathered_requests(queries: DataFrame) -> DataFrame:
+    """Boolean queries ask for their source and some for an unknown one, fuzzy ones for a tag and an earlier source."""
+    tag, src = F.substring_index("query_id", "-", 1), F.substring_index("query_id", "-", -1).cast("int")
+    asked = (
+        F.when((tag == "b") & (src % 7 == 6), F.array(F.concat(F.lit("lib"), src), F.lit("nowhere")))
+        .when(tag == "f", F.array(F.concat(F.lit("l"), src), F.concat(F.lit("lib"), src - src % 5)))
+        .otherwise(F.array(F.concat(F.lit("lib"), src)))
+    )
+    return queries.select("query_id", F.posexplode(asked).alias("request_ord", "requested"))

@@ -1,18 +1,24 @@
-"""Result exports: TSV lines and JSON envelopes."""
+"""Result exports: TSV lines and JSON lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.operators.stats import domain_stats
+from docsift.sources.registry import skipped_sources
+
 # --- fixed values -----------------------------------------------------------
 PDF_LABEL = "[PDF manual]"
 DOCS_LABEL = "[docs (no inventory)]"
+PDF_MESSAGE = (
+    " is distributed as a PDF manual only. Symbol search is not available. Download the PDF to read the documentation."
+)
+DOCS_MESSAGE = " has no Sphinx inventory for symbol search. Browse the documentation directly."
+NO_INVENTORY_ERROR = "could not resolve Sphinx inventory for --stats"
+UNSUPPORTED_ERROR = "--stats is not supported for doc_type "
 # ----------------------------------------------------------------------------
 
-# Candidates per envelope row; longer results continue in further parts.
-PART_ROWS = 10_000
-
 
 def tsv_rows(results: DataFrame) -> DataFrame:
     """Add ``line``: five columns, and score and matched keyword for scored rows. No quoting."""
@@ -49,28 +55,16 @@ def placeholder_rows(status: DataFrame) -> DataFrame:
     )
 
 
-def json_envelopes(
-    results: DataFrame,
-    counts: DataFrame,
-    queries: DataFrame,
-    skipped: DataFrame,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """(query_id, part, envelope): one JSON document per query.
+def json_lines(results: DataFrame, counts: DataFrame, queries: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, line): a JSON head per query at rank 0, then one JSON line per candidate at its rank.
 
-    ``results`` is ranked, ``counts`` has total_found per (query_id, requested)
-    and filtered_count, ``skipped`` the map per query.  A result beyond
-    ``part_rows`` candidates continues in further parts with the same head, so
-    that no row holds an unbounded result.
+    The shape is the same for any number of candidates, and no row holds a whole result.  ``results`` is ranked,
+    ``counts`` has total_found per (query_id, requested) and filtered_count, ``status`` has doc_type, skipped_reason and
+    doc_url per requested source.  The head of a query for one source that can only be read says so; a head for several
+    sources maps the skipped ones to their documentation.
     """
-    candidate = F.struct("group", "url", "role", "domain", "source", "score", "matched_keyword")
-    listed = (
-        results.withColumn("part", F.floor((F.col("rank") - 1) / part_rows).cast("int"))
-        .groupBy("query_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", candidate.alias("c")))).alias("_c"))
-        .withColumn("candidates", F.transform("_c", lambda r: r["c"]))
-        .drop("_c")
-    )
+    fields = ["group", "url", "role", "domain", "source", "score", "matched_keyword", "origin"]
+    candidates = results.select("query_id", "rank", F.to_json(F.struct(*fields)).alias("line"))
     per_source = F.array_sort(F.collect_list(F.struct("request_ord", "requested", "total_found")))
     heads = counts.groupBy("query_id").agg(
         F.transform(per_source, lambda r: r["requested"]).alias("sources"),
@@ -79,31 +73,53 @@ def json_envelopes(
         ).alias("totals"),
         F.max("filtered_count").alias("filtered_count"),
     )
-    single = F.size("sources") == 1
-    nothing = F.array().cast(listed.schema["candidates"].dataType)
-    tail = [
-        F.col("filtered_count"),
-        F.coalesce("domains", F.lit("all")).alias("domains_filter"),
-        F.coalesce("candidates", nothing).alias("candidates"),
-    ]
-    one = F.struct(
-        F.get("sources", F.lit(0)).alias("source"),
-        F.element_at("totals", F.get("sources", F.lit(0))).alias("total_found"),
-        *tail,
-    )
+    heads = heads.join(queries.select("query_id", "domains"), "query_id")
+    if status is None:
+        empty = "cast(null as map<string,string>) skipped_sources", *[f"cast(null as string) {c}" for c in ("doc_type", "doc_url", "message")]
+        heads = heads.selectExpr("*", *empty)
+    else:
+        readable = status.filter(F.col("skipped_reason").isin("pdf", "no genindex"))
+        quoted = F.concat(F.lit("'"), "requested", F.lit("'"))
+        text = F.when(F.col("skipped_reason") == "pdf", F.concat(quoted, F.lit(PDF_MESSAGE))).otherwise(F.concat(quoted, F.lit(DOCS_MESSAGE)))
+        notes = readable.select("query_id", F.array("requested").alias("sources"), "doc_type", "doc_url", text.alias("message"))
+        heads = heads.join(skipped_sources(status), "query_id", "left").join(notes, ["query_id", "sources"], "left")
+    first = F.get("sources", F.lit(0))
+    tail = ["filtered_count", F.coalesce("domains", F.lit("all")).alias("domains_filter")]
+    one = F.struct(first.alias("source"), F.element_at("totals", first).alias("total_found"), *tail, "doc_type", "doc_url", "message")
     many = F.struct("sources", F.col("totals").alias("total_found"), *tail, "skipped_sources")
-    return (
-        heads.join(queries.select("query_id", "domains"), "query_id")
-        .join(listed, "query_id", "left")
-        .join(skipped, "query_id", "left")
-        .select(
-            "query_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
-            F.when(single, F.to_json(one)).otherwise(F.to_json(many)).alias("envelope"),
+    head = F.when(F.size("sources") == 1, F.to_json(one)).otherwise(F.to_json(many))
+    return heads.select("query_id", F.lit(0).alias("rank"), head.alias("line")).unionByName(candidates)
+
+
+def stats_envelopes(symbols: DataFrame, sources: DataFrame, status: DataFrame) -> DataFrame:
+    """(source, line, error): the statistics of every source as JSON, or why there are none.
+
+    Domains come most frequent first; a searchable source without symbols has a total of 0.  ``status`` has inventory_url
+    per source.  A source has few domains: they are a vocabulary, not data.
+    """
+    counted = domain_stats(symbols, sources)
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "domain", "n")))
+    per_source = counted.groupBy("source").agg(
+        F.max("total").alias("total"),
+        F.map_from_entries(F.transform(ordered, lambda r: F.struct(r["domain"], r["n"]))).alias("domains"),
+    )
+    located = F.col("inventory_url").isNotNull()
+    line = F.to_json(
+        F.struct(
+            "source",
+            "inventory_url",
+            F.coalesce("total", F.lit(0)).alias("total"),
+            F.coalesce("domains", F.create_map().cast("map<string,bigint>")).alias("domains"),
         )
     )
+    kind = F.coalesce("doc_type", F.lit("None"))
+    error = F.when((F.col("doc_type") == "sphinx") & ~located, NO_INVENTORY_ERROR).when(
+        ~located & (kind != "doxygen"), F.concat(F.lit(UNSUPPORTED_ERROR), F.lit("'"), kind, F.lit("'"))
+    )
+    known = status.select("source", "doc_type", "inventory_url").join(per_source, "source", "left")
+    return known.select("source", F.when(error.isNull(), line).alias("line"), error.alias("error"))
 
 
-def write_json(envelopes: DataFrame, path: str) -> None:
-    """One envelope per line, as text files."""
-    envelopes.select("envelope").write.text(path)
+def write_json(lines: DataFrame, path: str) -> None:
+    """One JSON line per row, as text files, the head of each query before its candidates."""
+    lines.orderBy("query_id", "rank").select("line").write.text(path)

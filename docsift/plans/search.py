@@ -144,10 +144,18 @@ def search_batch(symbols: DataFrame, sources: DataFrame, queries: DataFrame, req
     return rank_matches(match_queries(symbols, targets), targets)
 
 
-def search_counts(symbols: DataFrame, sources: DataFrame, queries: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per query the matches before the limit, and per requested source the rows searched."""
+def search_and_count(
+    symbols: DataFrame, sources: DataFrame, queries: DataFrame, requests: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Ranked results and counts of one match, which is stored for both."""
     targets = batch_targets(queries, requests, sources)
-    matched = match_queries(symbols, targets).groupBy("query_id").agg(F.count(F.lit(1)).alias("filtered_count"))
+    matches = stored(match_queries(symbols, targets))
+    return rank_matches(matches, targets), count_matches(symbols, matches, targets)
+
+
+def count_matches(symbols: DataFrame, matches: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per query the matches before the limit, and per requested source the rows searched."""
+    matched = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("filtered_count"))
     return (
         total_found(symbols, targets)
         .join(matched, "query_id", "left")
@@ -159,3 +167,9 @@ def search_counts(symbols: DataFrame, sources: DataFrame, queries: DataFrame, re
             F.coalesce("filtered_count", F.lit(0)).alias("filtered_count"),
         )
     )
+
+
+def search_counts(symbols: DataFrame, sources: DataFrame, queries: DataFrame, requests: DataFrame) -> DataFrame:
+    """``count_matches`` of a table of queries."""
+    targets = batch_targets(queries, requests, sources)
+    return count_matches(symbols, match_queries(symbols, targets), targets)

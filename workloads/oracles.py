@@ -106,13 +106,26 @@ def literal_search(groups: list[list[str]], sources: list[tuple[str, str, float]
 
 
 RANK = "CAST(row_number() OVER (ORDER BY score DESC, request_ord, tie_pos) AS INT) AS rank"
-FULL = f'{RANK}, name AS "group", url, role, domain, requested AS source, round(score, 6) AS score, label AS matched_keyword'
+FULL = f'{RANK}, name AS "group", url, role, domain, requested AS source, round(score, 6) AS score, label AS matched_keyword, CAST(NULL AS VARCHAR) AS origin'
 
 ORACLES["fuzzy_search_tiers"] = literal_search(
     [["red", "widget"], ["bolt"], ["ECON"]],
     [("lib_2", "lib_2", 83.0), ("lib_1", "tag1", 83.0), ("lib_0", "lib_0", 83.0)],
     False,
 ).format(columns=FULL)
+ORACLES["search_limit"] = ORACLES["fuzzy_search_tiers"].replace("SELECT CAST(row_number()", "SELECT * FROM (SELECT CAST(row_number()") + ") WHERE rank <= 20"
+ORACLES["search_nulls"] = (
+    ORACLES["fuzzy_search_tiers"]
+    .replace("WITH symbols AS", "WITH whole AS", 1)
+    .replace(
+        "asked(source",
+        """symbols AS (SELECT source, pos, CASE WHEN pos % 5 <> 0 THEN name END AS name, CASE WHEN pos % 7 <> 0 THEN url END AS url,
+                     CASE WHEN pos % 3 <> 0 THEN role END AS role, CASE WHEN pos % 2 <> 0 THEN domain END AS domain FROM whole),
+  asked(source""",
+        1,
+    )
+    .replace("(PARTITION BY source, url", "(PARTITION BY source, url, CASE WHEN url IS NULL THEN pos END")
+)
 ORACLES["fuzzy_search_partial"] = literal_search(
     [["red", "wigdet"], ["blot"], ["Pormo"]], [("lib_0", "lib_0", 60.0), ("lib_1", "lib_1", 70.0)], True
 ).format(columns=FULL)
@@ -200,11 +213,11 @@ def batch(threshold: str, max_results: str, where: str = "true", asked: str = "t
 
 
 MIXED = "CASE WHEN w1 = 'red' OR w2 = 'red' THEN 65.0 WHEN w1 = 'hot' OR w2 = 'hot' THEN 83.0 END"
-ORACLES["fuzzy_search_batch"] = (
-    batch(MIXED, "CASE WHEN w1 = 'cold' THEN 7 END")
-    + """ SELECT query_id, rank, name AS "group", url, role, domain, requested AS source, round(score, 6) AS score,
-         CASE WHEN fuzzy THEN label END AS matched_keyword FROM results"""
-)
+BATCH_ROWS = """ SELECT query_id, rank, name AS "group", url, role, domain, requested AS source, round(score, 6) AS score,
+         CASE WHEN fuzzy THEN label END AS matched_keyword, CAST(NULL AS VARCHAR) AS origin FROM results"""
+ORACLES["fuzzy_search_batch"] = batch(MIXED, "CASE WHEN w1 = 'cold' THEN 7 END") + BATCH_ROWS
+ORACLES["fuzzy_search_batch_shuffled"] = ORACLES["fuzzy_search_batch"]
+ORACLES["fuzzy_search_low_threshold"] = batch("50.0", "CASE WHEN w1 = 'cold' THEN 7 END", "tag = 'typo'") + BATCH_ROWS
 ORACLES["topk_per_query"] = (
     batch("88.0", "CASE WHEN tag = 'or' THEN 3 ELSE 5 END")
     + ' SELECT query_id, rank, name AS "group", url, requested AS source, score FROM results'
@@ -218,30 +231,23 @@ COUNTS = """,
 ORACLES["search_counts"] = batch("90.0", "NULL") + COUNTS + " SELECT * FROM counts"
 
 ORACLES["export_json_envelope"] = (
-    batch(
-        "88.0",
-        "4",
-        "tag IN ('and', 'pipe')",
-        "(request_ord = 0 OR NOT (query_id LIKE 'pipe%' OR query_id LIKE '%bolt'))",
-    )
+    batch("88.0", "4", "true", "(request_ord = 0 OR query_id NOT LIKE '%bolt')")
     + COUNTS
     + """,
-  texts AS (SELECT query_id, rank, (rank - 1) // 3 AS part,
-                   '{"group":"' || name || '","url":"' || url || '","role":"' || role || '","domain":"' || domain ||
-                   '","source":"' || requested || '","score":' || CAST(score AS VARCHAR) || ',"matched_keyword":"' || label || '"}' AS t
-            FROM results),
-  parts AS (SELECT query_id, part, string_agg(t, ',' ORDER BY rank) AS candidates FROM texts GROUP BY ALL),
   heads AS (SELECT query_id, count(*) AS n, any_value(filtered_count) AS f,
                    string_agg('"' || requested || '"', ',' ORDER BY request_ord) AS names,
                    string_agg('"' || requested || '":' || total_found, ',' ORDER BY request_ord) AS totals,
                    any_value(total_found) AS total
             FROM counts GROUP BY query_id)
-  SELECT h.query_id, CAST(coalesce(p.part, 0) AS INT) AS part,
-         CASE WHEN n = 1 THEN '{"source":' || names || ',"total_found":' || total
+  SELECT query_id, rank, '{"group":"' || name || '","url":"' || url || '","role":"' || role || '","domain":"' || domain ||
+         '","source":"' || requested || '"' ||
+         CASE WHEN fuzzy THEN ',"score":' || CAST(CAST(score AS DOUBLE) AS VARCHAR) || ',"matched_keyword":"' || label || '"' ELSE '' END || '}' AS line
+  FROM results
+  UNION ALL
+  SELECT h.query_id, 0, CASE WHEN n = 1 THEN '{"source":' || names || ',"total_found":' || total
               ELSE '{"sources":[' || names || '],"total_found":{' || totals || '}' END
-         || ',"filtered_count":' || f || ',"domains_filter":"' || q.domains || '","candidates":[' || coalesce(candidates, '') || ']'
-         || CASE WHEN n > 1 AND h.query_id LIKE '%gear' THEN ',"skipped_sources":{"tag2":"https://x/m.pdf"}}' ELSE '}' END AS envelope
-  FROM heads h JOIN queries q USING (query_id) LEFT JOIN parts p USING (query_id)"""
+         || ',"filtered_count":' || f || ',"domains_filter":"' || q.domains || '"}'
+  FROM heads h JOIN queries q USING (query_id)"""
 )
 
 ORACLES["domain_stats"] = f"""WITH {SYMBOLS},
@@ -531,19 +537,61 @@ OBJECTS_OF = f"""objects AS (SELECT source, src, row_number() OVER (PARTITION BY
       {case('p_size % 9', [*ROLES[:7], 'class', 'class'])} AS role, {case('p_partkey % 4', DOMAINS)} AS domain
     FROM typed WHERE doc_type = 'sphinx')"""
 ORACLES["inventory_symbols"] = f'WITH {RENDERED}, {OBJECTS_OF} SELECT source, pos, "group", url, role, domain FROM objects'
-ORACLES["gather_symbols"] = f"""WITH {RENDERED}, {MEMBERS}, {ENTRIES}, {OBJECTS_OF}
-  SELECT source, 'inventory' AS kind, "group", url, role, domain, NULL AS origin FROM objects WHERE src % 10 <> 5
-  UNION ALL SELECT source, 'member', "group", url, role, domain, NULL FROM members
-  UNION ALL SELECT source, 'index', "group", url, role, domain, origin FROM index_entries
-  UNION ALL SELECT source, 'group', 'Group ' || page, any_value(site) || 'group__g_p' || (page % 5) || '.html#k' || min(p_partkey), NULL, NULL, NULL
-            FROM typed WHERE doc_type = 'doxygen' GROUP BY source, page"""
-ORACLES["gather_status"] = f"""WITH {RENDERED}, s AS (SELECT DISTINCT source, src, site, doc_type FROM typed)
-  SELECT source, doc_type,
+GATHERED = f"""WITH {RENDERED}, {MEMBERS}, {ENTRIES}, {OBJECTS_OF}, gathered AS (
+  SELECT source, 'inventory' AS kind, "group", url, role, domain, NULL AS origin, pos FROM objects WHERE src % 10 <> 5
+  UNION ALL SELECT source, 'member', "group", url, role, domain, NULL, pos FROM members
+  UNION ALL SELECT source, 'index', "group", url, role, domain, origin, pos FROM index_entries
+  UNION ALL SELECT source, 'group', 'Group ' || page, any_value(site) || 'group__g_p' || (page % 5) || '.html#k' || min(p_partkey), NULL, NULL, NULL, page
+            FROM typed WHERE doc_type = 'doxygen' GROUP BY source, page)"""
+ORACLES["gather_symbols"] = f'{GATHERED} SELECT source, kind, "group", url, role, domain, origin FROM gathered'
+SITE_STATUS = """s AS (SELECT DISTINCT source, src, site, doc_type FROM typed),
+  site_status AS (SELECT source, doc_type,
     CASE WHEN doc_type = 'sphinx' AND src % 10 <> 5 THEN site || 'v2/objects.inv' END AS inventory_url,
     CASE WHEN doc_type = 'sphinx' AND src % 10 = 5 THEN 'no inventory' WHEN doc_type = 'sphinx_noinv' AND src % 10 = 7 THEN 'no genindex'
          WHEN doc_type = 'pdf' THEN 'pdf' WHEN doc_type = 'wiki' THEN 'unsupported doc_type: wiki' END AS skipped_reason,
     CASE WHEN doc_type = 'sphinx_noinv' AND src % 10 = 7 THEN site WHEN doc_type = 'pdf' THEN site || 'manual.pdf' END AS doc_url
-  FROM s"""
+  FROM s)"""
+ORACLES["gather_status"] = f"WITH {RENDERED}, {SITE_STATUS} SELECT * FROM site_status"
+
+ASKED = """asks AS (SELECT tag || '-' || src AS query_id, tag, src, CASE WHEN src % 3 = 1 THEN 'cpp' END AS wanted
+            FROM (SELECT DISTINCT src FROM parts), (VALUES ('b'), ('f'), ('l')) t(tag)),
+  targets AS (SELECT query_id, tag, wanted, 'lib' || src AS source, CASE tag WHEN 'f' THEN 'l' ELSE 'lib' END || src AS requested, 0 AS request_ord
+              FROM asks WHERE NOT (tag = 'b' AND src % 7 = 6)
+              UNION ALL SELECT query_id, tag, wanted, 'lib' || (src - src % 5), 'lib' || (src - src % 5), 1
+              FROM asks WHERE tag = 'f' AND src % 5 <> 0),
+  searched AS (SELECT t.*, kind, "group", url, role FROM targets t JOIN gathered g USING (source)
+               WHERE wanted IS NULL OR kind = 'group' OR domain = wanted),
+  scored AS (SELECT *, CASE WHEN tag = 'f' THEN {tier} END AS base FROM searched),
+  found AS (SELECT *, CASE WHEN tag = 'f' THEN {score} END AS score FROM scored
+            WHERE CASE tag WHEN 'b' THEN contains(lower("group"), 'gear') WHEN 'f' THEN base >= 88 ELSE true END)""".format(
+    tier=tier("'red'", '"group"'), score=ranked_score("base", "role")
+)
+ORACLES["search_gathered"] = f"{GATHERED}, {ASKED} SELECT query_id, requested AS source, url, CAST(score AS DOUBLE) AS score FROM found"
+ORACLES["failed_queries"] = """SELECT DISTINCT 'b-' || (p_partkey // 50) AS query_id, 'nowhere' AS requested FROM part
+  WHERE (p_partkey // 50) % 7 = 6"""
+ORACLES["export_unsearchable"] = f"""{GATHERED}, {SITE_STATUS}, {ASKED},
+  totals AS (SELECT t.*, (SELECT count(*) FROM searched x WHERE x.query_id = t.query_id AND x.source = t.source) AS n,
+                    doc_type, skipped_reason, doc_url FROM targets t JOIN site_status USING (source)),
+  heads AS (SELECT query_id, any_value(wanted) AS wanted, count(*) AS m, any_value(n) AS total, string_agg('"' || requested || '"', ',' ORDER BY request_ord) AS names,
+                   string_agg('"' || requested || '":' || n, ',' ORDER BY request_ord) AS counts, any_value(requested) AS requested,
+                   any_value(doc_type) AS doc_type, any_value(skipped_reason) AS reason, any_value(doc_url) AS doc_url,
+                   string_agg('"' || requested || '":"' || doc_url || '"', ',' ORDER BY request_ord) AS skipped
+            FROM totals GROUP BY query_id)
+  SELECT query_id, CASE WHEN m = 1 THEN '{{"source":' || names || ',"total_found":' || total ELSE '{{"sources":[' || names || '],"total_found":{{' || counts || '}}' END
+    || ',"filtered_count":' || (SELECT count(*) FROM found f WHERE f.query_id = h.query_id) || ',"domains_filter":"' || coalesce(wanted, 'all') || '"'
+    || CASE WHEN m > 1 THEN coalesce(',"skipped_sources":{{' || skipped || '}}', '')
+            WHEN reason IN ('pdf', 'no genindex') THEN ',"doc_type":"' || doc_type || '","doc_url":"' || doc_url || '","message":"''' || requested || '''' ||
+              CASE reason WHEN 'pdf' THEN ' is distributed as a PDF manual only. Symbol search is not available. Download the PDF to read the documentation.'
+                          ELSE ' has no Sphinx inventory for symbol search. Browse the documentation directly.' END || '"'
+            ELSE '' END || '}}' AS line FROM heads h"""
+ORACLES["export_stats"] = f"""{GATHERED}, {SITE_STATUS},
+  per AS (SELECT source, domain, count(*) AS n, min(pos) AS first FROM gathered WHERE kind IN ('inventory', 'member') GROUP BY ALL),
+  all_of AS (SELECT source, sum(n) AS total, string_agg('"' || domain || '":' || n, ',' ORDER BY n DESC, first) AS domains FROM per GROUP BY source)
+  SELECT source, CASE WHEN doc_type = 'doxygen' OR inventory_url IS NOT NULL THEN '{{"source":"' || source || '"' ||
+           coalesce(',"inventory_url":"' || inventory_url || '"', '') || ',"total":' || coalesce(total, 0) || ',"domains":{{' || coalesce(domains, '') || '}}}}' END AS line,
+         CASE WHEN doc_type = 'sphinx' AND inventory_url IS NULL THEN 'could not resolve Sphinx inventory for --stats'
+              WHEN doc_type NOT IN ('sphinx', 'doxygen') THEN '--stats is not supported for doc_type ''' || doc_type || '''' END AS error
+  FROM site_status LEFT JOIN all_of USING (source)"""
 
 SPACES = "regexp_replace(regexp_replace({t}, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 DOC_TREE = """'{' || chr(10) || source || chr(10) || b.body || chr(10) || '}'"""
@@ -551,6 +599,7 @@ BODIES = f"bodies AS (SELECT doc_id, source, lang, {LINES.format(t='text')} AS b
 ORACLES["text_tree_rendered"] = f"""WITH {BODIES}
   SELECT doc_id, CASE WHEN body IN ('', '#', ',', '.', '-') THEN source ELSE {DOC_TREE.replace('b.body', 'body')} END AS text_tree,
          'ok' AS status FROM bodies"""
+ORACLES["text_tree_main"] = ORACLES["text_tree_rendered"]
 ORACLES["text_tree_section"] = f"""WITH {BODIES}
   SELECT doc_id, CASE doc_id % 4
       WHEN 0 THEN '{{' || chr(10) || 'Note of ' || source || chr(10) || 'lang ' || lang || chr(10) || '}}'

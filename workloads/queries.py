@@ -19,17 +19,19 @@ from docsift.operators import audit as au
 from docsift.operators.search import (
     best_per_url as best_of,
     match_keywords,
+    match_queries,
     name_forms,
     query_targets,
     tier_of,
     with_similarity,
 )
 from docsift.operators import stats
+from docsift.operators.storage import stored
 from docsift.operators.texttree import with_text_tree
 from docsift.plans import export
 from docsift.plans.gather import gather_symbols as gather
-from docsift.plans.search import batch_targets, search, search_batch
-from docsift.plans.search import search_counts as count_matches
+from docsift.plans.search import batch_targets, count_matches, rank_matches, search, search_and_count, search_batch
+from docsift.plans.search import search_counts as counts_of
 from docsift.sources import inventory, pages as pg, registry
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +77,7 @@ def fuzzy_search_batch(spark, sf):
 def boolean_search(spark, sf):
     symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
     found = search(symbols, sources, ["lib_1"], "RED widget | old", domains="cpp, py")
-    return found.drop("score", "matched_keyword")
+    return found.drop("score", "matched_keyword", "origin")
 
 
 @register
@@ -119,7 +121,7 @@ def topk_per_query(spark, sf):
 def search_counts(spark, sf):
     symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
     queries = ad.query_batch(spark, sf).withColumn("threshold", F.lit(90.0))
-    return count_matches(symbols, sources, queries, ad.batch_requests(queries))
+    return counts_of(symbols, sources, queries, ad.batch_requests(queries))
 
 
 @register
@@ -567,18 +569,85 @@ def export_tsv_rows(spark, sf):
 @register
 def export_json_envelope(spark, sf):
     symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
-    shown = F.col("query_id").startswith("and") | F.col("query_id").startswith("pipe")
-    queries = ad.query_batch(spark, sf).filter(shown).withColumns(
-        {"threshold": F.lit(88.0), "max_results": F.lit(4)}
-    )
-    single = F.col("query_id").startswith("pipe") | F.col("query_id").endswith("bolt")
-    requests = ad.batch_requests(queries).filter(~single | (F.col("request_ord") == 0))
+    queries = ad.query_batch(spark, sf).withColumns({"threshold": F.lit(88.0), "max_results": F.lit(4)})
+    requests = ad.batch_requests(queries).filter("request_ord = 0 or query_id not like '%bolt'")
+    found, counts = search_and_count(symbols, sources, queries, requests)
+    return export.json_lines(found, counts, queries)
+
+
+def _gathered(spark: SparkSession, sf: str):
+    """The gathered catalog with its symbols stored, and the queries and requests put to it."""
+    catalog, sources = _catalog(spark, sf), ad.rendered_sources(spark, sf)
+    queries = ad.gathered_queries(spark, sf)
+    return stored(catalog.symbols), catalog.status, sources, queries, ad.gathered_requests(queries)
+
+
+@register
+def search_gathered(spark, sf):
+    symbols, _, sources, queries, requests = _gathered(spark, sf)
     found = search_batch(symbols, sources, queries, requests)
-    counts = count_matches(symbols, sources, queries, requests)
-    status = (
-        batch_targets(queries, requests, sources)
-        .filter("requested = 'tag2' and query_id like '%gear'")
-        .select("query_id", "request_ord", "requested")
-        .withColumns({"skipped_reason": F.lit("pdf"), "doc_url": F.lit("https://x/m.pdf")})
-    )
-    return export.json_envelopes(found, counts, queries, registry.skipped_sources(status), part_rows=3)
+    return found.select("query_id", "source", "url", "score")
+
+
+@register
+def failed_queries(spark, sf):
+    requests = ad.gathered_requests(ad.gathered_queries(spark, sf))
+    return registry.unknown_sources(requests, ad.rendered_sources(spark, sf)).select("query_id", "requested")
+
+
+@register
+def export_unsearchable(spark, sf):
+    symbols, status, sources, queries, requests = _gathered(spark, sf)
+    targets = batch_targets(queries, requests, sources)
+    counts = count_matches(symbols, match_queries(symbols, targets), targets)
+    asked = targets.select("query_id", "request_ord", "requested", "source").join(status, "source")
+    heads = export.json_lines(search_batch(symbols, sources, queries, requests), counts, queries, asked)
+    return heads.filter("rank = 0").select("query_id", "line")
+
+
+@register
+def export_stats(spark, sf):
+    catalog = _catalog(spark, sf)
+    return export.stats_envelopes(catalog.symbols, ad.rendered_sources(spark, sf), catalog.status)
+
+
+# --- further paths of the search ---------------------------------------------
+
+
+@register
+def search_limit(spark, sf):
+    symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
+    return _scored(search(symbols, sources, ["lib_2", "tag1", "lib_0"], "red widget | bolt | ECON", True, 83.0, limit=20))
+
+
+def _with_nulls(symbols: DataFrame) -> DataFrame:
+    """Every fifth name, seventh address, third role and second domain is missing."""
+    kept = lambda n, c: F.when(F.col("pos") % n != 0, F.col(c))
+    return symbols.withColumns({c: kept(n, c) for n, c in [(5, "group"), (7, "url"), (3, "role"), (2, "domain")]})
+
+
+@register
+def search_nulls(spark, sf):
+    symbols, sources = _with_nulls(ad.symbols_part(spark, sf)), ad.catalog_sources(spark, sf)
+    found = search(symbols, sources, ["lib_2", "tag1", "lib_0"], "red widget | bolt | ECON", True, 83.0)
+    return _scored(found)
+
+
+@register
+def fuzzy_search_batch_shuffled(spark, sf):
+    symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
+    queries = ad.query_batch(spark, sf)
+    targets = batch_targets(queries, ad.batch_requests(queries), sources)
+    return _scored(rank_matches(match_queries(symbols, targets, max_bytes=0), targets))
+
+
+@register
+def fuzzy_search_low_threshold(spark, sf):
+    symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
+    queries = ad.query_batch(spark, sf).filter("query_id like 'typo%'").withColumn("threshold", F.lit(50.0))
+    return _scored(search_batch(symbols, sources, queries, ad.batch_requests(queries)))
+
+
+@register
+def text_tree_main(spark, sf):
+    return with_text_tree(ad.main_documents(spark, sf), main_only=True).select("doc_id", "text_tree", "status")
