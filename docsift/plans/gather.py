@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.operators.sizing import broadcast_if_small
+from docsift.operators.storage import stored
 from docsift.schemas import SYMBOL_COLUMNS
 from docsift.sources import inventory, pages as pg, registry
 
@@ -27,7 +28,7 @@ def gather_symbols(
 ) -> Catalog:
     """Symbols of all sources, extracted by source type, and the status of each source.
 
-    ``inventories`` holds (url, content) by final URL.  Domain filters belong to
+    Index pages are parsed once, into tables in the checkpoint folder.  ``inventories`` holds (url, content) by final URL.  Domain filters belong to
     the queries: the status of a source is decided on its unfiltered rows.
     """
     base = sources.withColumnRenamed("name", "source")
@@ -42,7 +43,9 @@ def gather_symbols(
         "index_url", F.coalesce("index_url", F.lit(default_index_url))
     )
     index_pages = pg.scan_pages(doxygen.select("source", "source_ord", "index_url"), pages, "index_url")
-    links = pg.group_links(index_pages)
+    # Parsed once: links, members and status all read the stored entries.
+    group_entries = stored(pg.group_entries(index_pages))
+    links = pg.links_of(group_entries)
     from_links = links.select(
         "source",
         "source_ord",
@@ -61,12 +64,13 @@ def gather_symbols(
         "source", "source_ord", registry.index_page_url(F.coalesce("index_url", F.lit(""))).alias("index_page_url")
     )
     general = pg.scan_pages(noinv, pages, "index_page_url")
-    from_index = pg.index_symbols(general)
+    general_entries = stored(pg.general_entries(general))
+    from_index = pg.symbols_of(general_entries)
 
     symbols = from_inventory.select(*SYMBOL_COLUMNS)
     for part in (from_links, from_members, from_index):
         symbols = symbols.unionByName(part.select(*SYMBOL_COLUMNS))
-    state = pg.index_state(general)
-    broken = pg.broken_indexes(index_pages).union(state.filter("broken").select("source"))
+    state = pg.state_of(general_entries)
+    broken = pg.broken_of(group_entries).union(state.filter("broken").select("source"))
     status = registry.source_status(sources, reachable, state.filter("entries > 0"), broken)
     return Catalog(symbols, status)

@@ -44,7 +44,10 @@ def anchors(pages: DataFrame) -> DataFrame:
     )
 
 
-def _group_entries(index_pages: DataFrame, href_contains: str, href_excludes: str) -> DataFrame:
+def group_entries(
+    index_pages: DataFrame, href_contains: str = GROUP_MARK, href_excludes: str = OVERVIEW_MARK
+) -> DataFrame:
+    """Index pages (source, source_ord, index_url, html) with the anchors to group pages in place of the html."""
     links = F.transform(
         page_links(F.col("html"), F.col("index_url")),
         lambda a, i: F.struct(i.alias("pos"), a["href"].alias("href"), a["text"].alias("text"), a["url"].alias("url")),
@@ -53,15 +56,11 @@ def _group_entries(index_pages: DataFrame, href_contains: str, href_excludes: st
     return index_pages.withColumn("_links", F.filter(links, wanted)).drop("html")
 
 
-def group_links(
-    index_pages: DataFrame, href_contains: str = GROUP_MARK, href_excludes: str = OVERVIEW_MARK
-) -> DataFrame:
-    """Links of index pages (source, source_ord, index_url, html) to group pages.
+def links_of(entries: DataFrame) -> DataFrame:
+    """Group links of ``group_entries``: the first link to each page counts and keeps its fragment.
 
-    The first link to each page counts; it keeps its fragment.  A page with a
-    malformed link among them fails as a whole, see ``broken_indexes``.
+    A page with a malformed link among them fails as a whole, see ``broken_of``.
     """
-    entries = _group_entries(index_pages, href_contains, href_excludes)
     found = (
         entries.filter(~F.exists("_links", lambda a: a["url"].isNull()))
         .select("source", "source_ord", F.explode("_links").alias("_a"))
@@ -77,12 +76,23 @@ def group_links(
     return first_by(found, ["source", "page_url"], ["pos"])
 
 
+def broken_of(entries: DataFrame) -> DataFrame:
+    """Sources of ``group_entries`` whose index page links to a malformed address."""
+    return entries.filter(F.exists("_links", lambda a: a["url"].isNull())).select("source")
+
+
+def group_links(
+    index_pages: DataFrame, href_contains: str = GROUP_MARK, href_excludes: str = OVERVIEW_MARK
+) -> DataFrame:
+    """``links_of`` index pages."""
+    return links_of(group_entries(index_pages, href_contains, href_excludes))
+
+
 def broken_indexes(
     index_pages: DataFrame, href_contains: str = GROUP_MARK, href_excludes: str = OVERVIEW_MARK
 ) -> DataFrame:
-    """Sources whose index page links to a malformed address."""
-    entries = _group_entries(index_pages, href_contains, href_excludes)
-    return entries.filter(F.exists("_links", lambda a: a["url"].isNull())).select("source")
+    """``broken_of`` index pages."""
+    return broken_of(group_entries(index_pages, href_contains, href_excludes))
 
 
 def group_link_count(pages: DataFrame, mark: str = GROUP_MARK) -> DataFrame:
@@ -118,7 +128,8 @@ def member_symbols(member_pages: DataFrame) -> DataFrame:
     return first_by(found, ["source", "url"], ["pos"])
 
 
-def _index_entries(index_pages: DataFrame) -> DataFrame:
+def general_entries(index_pages: DataFrame) -> DataFrame:
+    """General index pages (source, source_ord, index_page_url, html) with their entries in place of the html."""
     links = F.transform(
         index_links(F.col("html"), F.col("index_page_url")),
         lambda a, i: F.struct(i.alias("pos"), a["text"].alias("text"), a["url"].alias("url")),
@@ -128,11 +139,13 @@ def _index_entries(index_pages: DataFrame) -> DataFrame:
 
 
 def index_symbols(index_pages: DataFrame) -> DataFrame:
-    """Symbols of general index pages (source, source_ord, index_page_url, html).
+    """``symbols_of`` general index pages."""
+    return symbols_of(general_entries(index_pages))
 
-    A page with a malformed link among its entries fails as a whole.
-    """
-    intact = _index_entries(index_pages).filter(~F.exists("_entries", lambda a: a["url"].isNull()))
+
+def symbols_of(entries: DataFrame) -> DataFrame:
+    """Symbols of ``general_entries``; a page with a malformed link among its entries fails as a whole."""
+    intact = entries.filter(~F.exists("_entries", lambda a: a["url"].isNull()))
     found = intact.select("source", "source_ord", F.explode("_entries").alias("_e"))
     part = lambda i: F.regexp_extract("_e.text", tx.INDEX_ENTRY, i)
     return found.select(
@@ -149,8 +162,13 @@ def index_symbols(index_pages: DataFrame) -> DataFrame:
 
 
 def index_state(index_pages: DataFrame) -> DataFrame:
-    """(source, entries, broken) of general index pages: entry count, and whether a link is malformed."""
-    return _index_entries(index_pages).select(
+    """``state_of`` general index pages."""
+    return state_of(general_entries(index_pages))
+
+
+def state_of(entries: DataFrame) -> DataFrame:
+    """(source, entries, broken) of ``general_entries``: entry count, and whether a link is malformed."""
+    return entries.select(
         "source",
         F.size("_entries").alias("entries"),
         F.exists("_entries", lambda a: a["url"].isNull()).alias("broken"),

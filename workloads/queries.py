@@ -30,7 +30,7 @@ from docsift.operators.storage import stored
 from docsift.operators.texttree import with_text_tree
 from docsift.plans import export
 from docsift.plans.gather import gather_symbols as gather
-from docsift.plans.search import batch_targets, count_matches, rank_matches, search, search_and_count, search_batch
+from docsift.plans.search import batch_targets, rank_matches, search, search_and_count, search_batch
 from docsift.plans.search import search_counts as counts_of
 from docsift.sources import inventory, pages as pg, registry
 
@@ -393,12 +393,12 @@ def inventory_symbols(spark, sf):
 
 
 def _catalog(spark: SparkSession, sf: str):
-    """Catalog of the rendered artifacts, which are kept like the stored tables they stand for."""
+    """Catalog of the rendered artifacts, which are written like the tables they stand for."""
     return gather(
-        ad.rendered_sources(spark, sf).persist(),
-        ad.rendered_log(spark, sf),
-        ad.rendered_inventories(spark, sf).persist(),
-        ad.rendered_pages(spark, sf).persist(),
+        stored(ad.rendered_sources(spark, sf)),
+        stored(ad.rendered_log(spark, sf)),
+        stored(ad.rendered_inventories(spark, sf)),
+        stored(ad.rendered_pages(spark, sf)),
     )
 
 
@@ -577,9 +577,9 @@ def export_json_envelope(spark, sf):
 
 def _gathered(spark: SparkSession, sf: str):
     """The gathered catalog with its symbols stored, and the queries and requests put to it."""
-    catalog, sources = _catalog(spark, sf), ad.rendered_sources(spark, sf)
-    queries = ad.gathered_queries(spark, sf)
-    return stored(catalog.symbols), catalog.status, sources, queries, ad.gathered_requests(queries)
+    catalog, sources = _catalog(spark, sf), stored(ad.rendered_sources(spark, sf))
+    queries = stored(ad.gathered_queries(spark, sf))
+    return stored(catalog.symbols), stored(catalog.status), sources, queries, ad.gathered_requests(queries)
 
 
 @register
@@ -598,10 +598,9 @@ def failed_queries(spark, sf):
 @register
 def export_unsearchable(spark, sf):
     symbols, status, sources, queries, requests = _gathered(spark, sf)
-    targets = batch_targets(queries, requests, sources)
-    counts = count_matches(symbols, match_queries(symbols, targets), targets)
-    asked = targets.select("query_id", "request_ord", "requested", "source").join(status, "source")
-    heads = export.json_lines(search_batch(symbols, sources, queries, requests), counts, queries, asked)
+    found, counts = search_and_count(symbols, sources, queries, requests)
+    asked = registry.canonical_requests(requests, sources).select("query_id", "request_ord", "requested", "source").join(status, "source")
+    heads = export.json_lines(found, counts, queries, asked)
     return heads.filter("rank = 0").select("query_id", "line")
 
 
