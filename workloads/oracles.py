@@ -334,6 +334,8 @@ REQUESTS = """asks AS (SELECT c_custkey, 'c' || c_custkey AS query_id,
                FROM requests r LEFT JOIN by_name n ON n.key = r.requested LEFT JOIN by_tag t ON t.key = lower(r.requested)
                JOIN sources s ON s.source_ord = coalesce(n.source_ord, t.source_ord))"""
 
+ORACLES["load_registry_file"] = f"""WITH {SOURCES}
+  SELECT source_ord, name, doc_type, index_url, CAST(match_threshold AS DOUBLE) AS match_threshold, CAST(to_json(tags) AS VARCHAR) AS tags FROM sources"""
 ORACLES["list_sources"] = f"""WITH {SOURCES}
   SELECT coalesce(name, '') AS name, coalesce(doc_type, '') AS doc_type, coalesce(description, '') AS description,
          CASE WHEN tags IS NULL THEN '[]' ELSE CAST(to_json(tags) AS VARCHAR) END AS tags FROM sources"""

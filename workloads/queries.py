@@ -7,6 +7,7 @@ whose column names equal those of its SQL counterpart in ``oracles``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from docsift.operators.search import (
     with_similarity,
 )
 from docsift.operators import stats
-from docsift.operators.storage import stored
+from docsift.operators.storage import checkpoint_folder, stored
 from docsift.operators.texttree import with_text_tree
 from docsift.plans import export
 from docsift.plans.gather import gather_symbols as gather
@@ -237,6 +238,14 @@ def domain_filter(spark, sf):
 # --- registry ---------------------------------------------------------------
 
 
+@register
+def load_registry_file(spark, sf):
+    path = f"{checkpoint_folder(spark)}/registry-{uuid4().hex}"
+    ad.registry_suppliers(spark, sf).write.json(path)
+    loaded = registry.load_registry(spark, path)
+    return loaded.select("source_ord", "name", "doc_type", "index_url", "match_threshold", F.to_json("tags").alias("tags"))
+
+
 @register
 def list_sources(spark, sf):
     listed = registry.list_sources(ad.registry_suppliers(spark, sf))
