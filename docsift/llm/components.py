@@ -2,7 +2,7 @@
 
 Each round points the neighbours of every node to its smallest neighbour: first those larger than the node, then those
 smaller. Rounds are two aggregations and joins over the edges, whose number never grows; they end when the edges are
-stars, after about log2 of the longest chain. A node with very many neighbours is only a key of a ``min`` that is
+stars, after about log2 of the longest chain, which one aggregation over the nodes tells. A node with very many neighbours is only a key of a ``min`` that is
 combined on the map side, and of a join whose skewed partitions Spark splits.
 """
 
@@ -27,17 +27,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and none if it has larger ones."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.max((F.col("up") + F.col("down") > 1) & (F.col("up") > 0))).first()[0] is not True
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``component``: the smallest node it is connected with. Nodes without an edge are absent."""
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a != b").distinct()
     edges = cut(edges)
-    state = None
-    while True:
+    while not _stars(edges):
         edges = cut(_star(_star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
