@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters over character n-grams (operator 1).
 
 Learning. Labelled rows are sampled by a digest of their text down to about ``SAMPLE_DOCS`` documents a language (the
-bound of the training sample; the rate follows from the number of rows of each language). Their letter n-grams (3 and 4 characters
- inside words, with word ends marked, A-Z in lower case, other characters as they are) are counted by language.
+bound of the training sample; the rate follows from the number of rows of each language). Equal texts of a language
+teach once, so a text with very many copies neither breaks the bound nor outweighs the rest. The letter n-grams (3 and 4
+characters inside words, with word ends marked, A-Z in lower case, other characters as they are) are counted by language.
 An n-gram belongs to a language if it makes up at least ``LEAST`` of the language's n-grams there, so a language has at
 most 1/LEAST of them, and if its share is at least ``CONTRAST`` of its largest share in any language.
 
@@ -142,7 +143,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_do
         [(name, i, min(1.0, sample_docs / n_of[name])) for i, name in enumerate(languages)], "lang string, code int, rate double"
     )
     drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.col("rate") * 1_000_003
-    sample = labelled.join(F.broadcast(table), "lang").filter(drawn).select("text", "code")
+    sample = labelled.join(F.broadcast(table), "lang").filter(drawn).select("text", "code").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

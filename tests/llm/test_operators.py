@@ -317,6 +317,13 @@ def test_language_id(spark, docs, empty):
     assert language_id.identify(empty, model).count() == 0
 
 
+def test_copies_teach_once(spark):
+    texts = [(f"{w} alpha beta {w}{w}", lang) for lang, ws in (("aa", "bcdfg"), ("bb", "klmnp")) for w in ws]
+    once = language_id.learn(spark.createDataFrame(texts, "text string, lang string"))
+    often = language_id.learn(spark.createDataFrame(texts + texts[:1] * 300, "text string, lang string"))
+    assert once.languages == often.languages and (once.slots == often.slots).all()
+
+
 def test_held_out_accuracy(spark):
     from docsift.llm import queries
 
