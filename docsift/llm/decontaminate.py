@@ -1,9 +1,9 @@
 """Benchmark decontamination with a BM25 index of test items and block-max WAND (operator 9).
 
-Items are indexed by their words (A-Z in lower case). The impact of a word on an item is its BM25 weight there, divided
-by the item's score against itself, so that a passage with all words of an item scores 1 and one threshold serves items
-of any length. Items lie in blocks of ``BLOCK``; the index keeps the largest impact of each word in each block and
-overall.
+Items are indexed by their words (in lower case, ASCII punctuation read as spaces, in items and documents alike, so that
+signs glued to a word hide nothing). The impact of a word on an item is its BM25 weight there, divided by the item's
+score against itself, so that a passage with all words of an item scores 1 and one threshold serves items of any length.
+Items lie in blocks of ``BLOCK``; the index keeps the largest impact of each word in each block and overall.
 
 Documents are cut into passages of twice the longest item's words that begin every longest item's words, so that each
 occurrence lies whole in one. Every passage is a query over its different words:
@@ -206,7 +206,7 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Texts(batch.column(c), lower=True) for c in ("question", "answer")]
+            texts = [Texts(batch.column(c), plain=True) for c in ("question", "answer")]
             item = np.concatenate([t.doc_of_words() for t in texts])
             hashes = np.concatenate([t.word_hashes(_HASH) for t in texts])
             order, heads = runs_of([item, hashes])
@@ -224,7 +224,7 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
     for shard in range(n_shards):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard)
         table = own.orderBy("item_id").toArrow()
-        texts = [Texts(table.column(c), lower=True) for c in ("question", "answer")]
+        texts = [Texts(table.column(c), plain=True) for c in ("question", "answer")]
         parts = [[h for h in np.split(t.word_hashes(_HASH), t.word_offsets[1:-1])] for t in texts]
         wanted = own.mapInArrow(tokens, "word long, n_words long").select("word").distinct()
         df = frequencies.join(wanted, "word").toArrow()
@@ -247,7 +247,7 @@ def leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) ->
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Index(*shared.value)
             for batch in slices(batches):
-                doc, *rest = own.search(Texts(batch.column("text"), lower=True))
+                doc, *rest = own.search(Texts(batch.column("text"), plain=True))
                 ids = batch.column("doc_id").take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays(
                     [ids, *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
@@ -270,7 +270,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BY
             own = Index(*shared.value)
             for batch in slices(batches):
                 clean = np.ones(batch.num_rows, bool)
-                clean[own.search(Texts(batch.column("text"), lower=True))[0]] = False
+                clean[own.search(Texts(batch.column("text"), plain=True))[0]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

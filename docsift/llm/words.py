@@ -22,6 +22,10 @@ _U64 = np.uint64
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: bytes as ``Texts(plain=True)`` reads them after putting the text in lower case: ASCII punctuation as spaces
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
@@ -68,10 +72,12 @@ class Hasher:
 class Texts:
     """The texts of one Arrow array: their bytes in one buffer, and the words in it."""
 
-    def __init__(self, array: pa.Array | pa.ChunkedArray, lower: bool = False):
+    def __init__(self, array: pa.Array | pa.ChunkedArray, plain: bool = False):
         if isinstance(array, pa.ChunkedArray):
             array = array.combine_chunks()
         array = pc.fill_null(array.cast(pa.large_string()), "")
+        if plain:
+            array = pc.utf8_lower(array)
         self.n = len(array)
         if self.n:
             _, offsets, data = array.buffers()
@@ -81,8 +87,8 @@ class Texts:
             self.offsets = offsets - offsets[0]
         else:
             self.data, self.offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
-        if lower:
-            self.data = np.where((self.data >= 65) & (self.data <= 90), self.data + 32, self.data).astype(np.uint8)
+        if plain:
+            self.data = PLAIN[self.data]
         self.in_word = ~IS_SPACE[self.data]
         first = self.in_word.copy()
         first[1:] &= ~self.in_word[:-1]

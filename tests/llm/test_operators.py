@@ -280,6 +280,14 @@ def test_decontamination(spark, empty):
     assert decontaminate.leaks(table, split.limit(0)).count() == 0
 
 
+def test_leaks_behind_signs_and_capitals(spark):
+    item = "Où est né le père de l'auteur du premier roman de la série? Élan vital."
+    items = decontaminate.split_items(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    texts = [f"un*** deux%%% {item}$$$ trois", item.upper(), item.replace(" ", "&&& "), "Élan vital.", item.split("?")[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, items).collect()} == {0, 1, 2}
+
+
 def test_token_counts(docs, rows, empty):
     vocabulary = [b" ", b"a", b"b", b" a", b"ab", b"abc", b"bcd", b"cde", b"e", b"d", "é".encode(), b" ab", b"x", b"xx", b"xxxx"]
 
