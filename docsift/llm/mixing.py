@@ -7,7 +7,8 @@ targets add up. The level follows from running sums over the sources in order of
 
 A document is emitted floor(rate) times, rate = target / size of its source, and once more with probability
 rate - floor(rate). The coin is a digest of the seed and ``doc_id``, so every rerun agrees, and rows that repeat a
-``doc_id`` and text are treated alike. Tables of sources have one row for each source; documents are only joined to it.
+``doc_id`` and text are treated alike. Tables of sources have one row for each source; documents are only joined to it,
+by a broadcast while it has at most ``MOST_SOURCES`` rows, so that texts stay where they are, and by a shuffle beyond.
 A null text has size 0; a source of size 0 has target 0 and its documents, being empty, are emitted once.
 """
 
@@ -16,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.llm.storage import cut
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+MOST_SOURCES = 20_000
 
 
 def n_words(text: Column) -> Column:
@@ -64,6 +68,9 @@ def mix_rates(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIG
     goal = targets(slim, weights, most).select(
         F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
     )
+    goal = cut(goal)
+    if goal.count() <= MOST_SOURCES:
+        goal = F.broadcast(goal)
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(1.0)
     joined = docs.join(goal, docs["source"].eqNullSafe(goal["mix_source"]), "left")
     whole = F.floor(rate)
