@@ -1,10 +1,9 @@
 """Line deduplication by pairwise alignment (operator 7).
 
 Lines are the parts of a text between line breaks; lines without a word never match. A line belongs to the smallest
-``doc_id`` that has it, its owner. Documents are paired through their rare shared lines: of the lines of a document that
-others have too, those held by at most ``RARE`` documents, or, if it has none so rare, the rarest of them. Such a line
-pairs the document with the line's owner, if that is an earlier document. A line in a million documents gives a million
-pairs, never their square, and no document with a shared line stays without a partner.
+``doc_id`` that has it, its owner. Every line pairs each later document that holds it with its owner. A line in a million
+documents gives a million pairs, never their square, and a document has at most as many pairs as different lines. A caller
+may limit the pairs to rare lines with ``rare``; shared lines then stay, and no query does so.
 
 Each pair is aligned with patience diff on line hashes: the common beginning and end, then the lines that are unique in
 both and in the same order, then the same between them. The aligned common blocks are deleted from the later document;
@@ -30,7 +29,6 @@ from pyspark.sql import types as T
 from docsift.llm.storage import cut
 from docsift.llm.words import Hasher, Texts, list_array, signed, slices
 
-RARE = 20
 _HASH = Hasher(0)
 
 
@@ -98,17 +96,19 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lines array<long>")
 
 
-def partners(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs ``doc_id``, ``owner`` (smaller) to align."""
+def partners(lines: DataFrame, rare: int | None = None) -> DataFrame:
+    """Pairs ``doc_id``, ``owner`` (smaller) to align; with ``rare``, only by lines that so many documents or the fewest hold."""
     each = lines.select("doc_id", F.explode(F.array_distinct("lines")).alias("line"))
     shared = each.groupBy("line").agg(F.count("*").alias("df"), F.min("doc_id").alias("owner")).filter("df > 1")
     of = each.join(shared, "line").select("doc_id", "owner", "df")
-    rarest = of.groupBy("doc_id").agg(F.min("df").alias("least"))
-    pairs = of.filter("owner < doc_id").join(rarest, "doc_id").filter(F.col("df") <= F.greatest("least", F.lit(rare)))
+    pairs = of.filter("owner < doc_id")
+    if rare is not None:
+        rarest = of.groupBy("doc_id").agg(F.min("df").alias("least"))
+        pairs = pairs.join(rarest, "doc_id").filter(F.col("df") <= F.greatest("least", F.lit(rare)))
     return pairs.select("doc_id", "owner").distinct()
 
 
-def aligned_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def aligned_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """``doc_id`` and ``gone``: which of its lines with a word are aligned with an earlier document."""
     lines = cut(_lines(docs.filter("doc_id is not null")).dropDuplicates(["doc_id"]))
     pairs = partners(lines, rare)
@@ -125,7 +125,7 @@ def aligned_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     return matched.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
-def deduplicate(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def deduplicate(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """``docs`` with the remaining ``text``, and ``n_lines`` and ``n_removed`` (replacing columns of these names)."""
     kept = docs.drop("n_lines", "n_removed", "_l_doc", "_l_gone")
     gone = aligned_lines(docs.select(F.col("doc_id").cast("long"), "text"), rare)

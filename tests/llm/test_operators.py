@@ -185,6 +185,25 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def _without_shared(spark, texts):
+    """What is left of the texts, by place."""
+    return [r.text for r in line_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_lines_of_many_documents_pair_beside_rare_ones(spark, docs, rows):
+    texts = [f"hot one\nown {i}" for i in range(30)] + [f"hot two\nown {i}" for i in range(30, 61)]
+    texts += ["rare\nown 61", "x\nhot one\ny\nhot two\nz\nrare"]
+    assert _without_shared(spark, texts)[-1] == "x\ny\nz"
+    lines = {d: [x for x in (t or "").split("\n") if WORD.search(x)] for d, t, *_ in rows}
+    owner = {}
+    for d in sorted(lines):
+        for x in lines[d]:
+            owner.setdefault(x, d)
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate(docs).collect()}
+    for d, own in lines.items():
+        assert got[d] == len({k for o in {owner[x] for x in own} - {d} for k in line_dedup.patience(lines[o], own)})
+
+
 def test_patience_aligns_equal_lines_in_order():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [1, 2, 4]
     assert line_dedup.patience([1, 1, 2], [1, 1, 2]) == [0, 1, 2]
