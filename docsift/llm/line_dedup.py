@@ -2,8 +2,9 @@
 
 Lines are the parts of a text between line breaks; lines without a word never match. A line belongs to the smallest
 ``doc_id`` that has it, its owner. Every line pairs each later document that holds it with its owner. A line in a million
-documents gives a million pairs, never their square, and a document has at most as many pairs as different lines. A caller
-may limit the pairs to rare lines with ``rare``; shared lines then stay, and no query does so.
+documents gives a million pairs, never their square, and a document has at most as many pairs as different lines. So no
+document that holds a line of an earlier one stays without a partner, whatever lines it owns itself. A caller may limit
+the pairs to rare lines with ``rare``; shared lines then stay, and no query does so.
 
 Each pair is aligned with patience diff on line hashes: the common beginning and end, then the lines that are unique in
 both and in the same order, then the same between them. The aligned common blocks are deleted from the later document;

@@ -204,6 +204,11 @@ def test_lines_of_many_documents_pair_beside_rare_ones(spark, docs, rows):
         assert got[d] == len({k for o in {owner[x] for x in own} - {d} for k in line_dedup.patience(lines[o], own)})
 
 
+def test_first_holder_of_a_rare_line_has_partners(spark):
+    texts = [f"hot\nown {i}" for i in range(30)] + ["a\nhot\nb\nnew", "c\nnew\nd"]
+    assert _without_shared(spark, texts)[-2:] == ["a\nb\nnew", "c\nd"]
+
+
 def test_patience_aligns_equal_lines_in_order():
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [1, 2, 4]
     assert line_dedup.patience([1, 1, 2], [1, 1, 2]) == [0, 1, 2]
