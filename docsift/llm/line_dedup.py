@@ -7,8 +7,10 @@ document that holds a line of an earlier one stays without a partner, whatever l
 the pairs to rare lines with ``rare``; shared lines then stay, and no query does so.
 
 Each pair is aligned with patience diff on line hashes: the common beginning and end, then the lines that are unique in
-both and in the same order, then the same between them. The aligned common blocks are deleted from the later document;
-what several partners align is deleted once. Alignments look at the input, not at what is left.
+both and in the same order, then the same between them. In a range without a line that is unique in both, a longest common
+subsequence is aligned (exact, in bit vectors; halved while its table would outgrow ``TABLE_BITS``), so of a passage that
+one side holds several times as many are aligned as the other side has. The aligned common blocks are deleted from the
+later document; what several partners align is deleted once. Alignments look at the input, not at what is left.
 
 Result (``deduplicate``): ``docs`` with ``n_lines`` (lines with a word), ``n_removed`` and the remaining ``text``. A null
 text stays null; nothing is deleted from a row with a null ``doc_id``; rows that repeat an id are treated alike. An
@@ -30,6 +32,7 @@ from pyspark.sql import types as T
 from docsift.llm.storage import cut
 from docsift.llm.words import Hasher, Texts, list_array, signed, slices
 
+TABLE_BITS = 1 << 28
 _HASH = Hasher(0)
 
 
@@ -54,8 +57,58 @@ def _increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _rows(old: list[int], new: list[int]) -> Iterator[int]:
+    """For each line of ``new``, the common length with all beginnings of ``old``: bit i is 0 if line i lengthens it."""
+    masks: dict[int, int] = {}
+    for i, line in enumerate(old):
+        masks[line] = masks.get(line, 0) | 1 << i
+    every = row = (1 << len(old)) - 1
+    for line in new:
+        same = row & masks.get(line, 0)
+        row = (row + same | row - same) & every
+        yield row
+
+
+def _lengths(old: list[int], new: list[int]) -> np.ndarray:
+    """Common length of ``new`` with each beginning of ``old``."""
+    row = (1 << len(old)) - 1
+    for row in _rows(old, new):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(old) // 8 + 1, "little"), np.uint8), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits[: len(old)] == 0)])
+
+
+def common(old: list[int], new: list[int], table_bits: int = TABLE_BITS) -> list[int]:
+    """Places in ``new`` of a longest common subsequence, later places first."""
+    out: list[int] = []
+    todo = [(0, len(old), 0, len(new))]
+    while todo:
+        a, a_end, b, b_end = todo.pop()
+        kept = set(old[a:a_end]) & set(new[b:b_end])
+        own = [line for line in old[a:a_end] if line in kept]
+        places = [j for j in range(b, b_end) if new[j] in kept]
+        lines = [new[j] for j in places]
+        if len(own) * len(lines) > table_bits and len(lines) > 1:
+            half = len(lines) // 2
+            at = int(np.argmax(_lengths(own, lines[:half]) + _lengths(own[::-1], lines[half:][::-1])[::-1]))
+            own_places = [i for i in range(a, a_end) if old[i] in kept]
+            middle = own_places[at] if at < len(own) else a_end
+            todo += [(a, middle, b, places[half]), (middle, a_end, places[half], b_end)]
+            continue
+        rows, i, j = list(_rows(own, lines)), len(own), len(lines)
+        while i and j:
+            if own[i - 1] == lines[j - 1]:
+                i, j = i - 1, j - 1
+                out.append(places[j])
+            elif rows[j - 1] >> i - 1 & 1:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
 def patience(old: list[int], new: list[int]) -> list[int]:
-    """Places in ``new`` that patience diff aligns with equal lines of ``old``."""
+    """Places in ``new`` that patience diff aligns with equal lines of ``old``; ranges without unique ones by ``common``."""
     aligned: list[int] = []
     todo = [(0, len(old), 0, len(new))]
     while todo:
@@ -78,6 +131,8 @@ def patience(old: list[int], new: list[int]) -> list[int]:
             a, b = i + 1, j + 1
         if both:
             todo.append((a, a_end, b, b_end))
+        else:
+            aligned += (b + j for j in common(old[a:a_end], new[b:b_end]))
     return sorted(aligned)
 
 

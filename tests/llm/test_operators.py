@@ -185,6 +185,23 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_patience_aligns_passages_held_twice(spark):
+    assert line_dedup.patience([7, 1, 2, 8], [3, 1, 2, 4, 1, 2, 5]) in ([1, 2], [4, 5])
+    assert line_dedup.patience([3, 1, 2, 4, 1, 2, 5], [7, 1, 2, 8, 9, 1, 2, 6]) == [1, 2, 5, 6]
+    assert _without_shared(spark, ["x\np one\np two\ny", "a\np one\np two\nb\np one\np two\nc"])[1] == "a\np one\np two\nb\nc"
+    draw = random.Random(4)
+    for _ in range(200):
+        old, new = (draw.choices(range(draw.randint(1, 9)), k=draw.randint(0, 25)) for _ in range(2))
+        best = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+        for i, x in enumerate(old):
+            for j, y in enumerate(new):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        for table_bits in (line_dedup.TABLE_BITS, 6):
+            places = sorted(line_dedup.common(old, new, table_bits))
+            at = iter(old)
+            assert len(set(places)) == len(places) == best[-1][-1] and all(new[j] in at for j in places)
+
+
 def _without_shared(spark, texts):
     """What is left of the texts, by place."""
     return [r.text for r in line_dedup.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
