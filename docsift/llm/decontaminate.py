@@ -5,17 +5,22 @@ signs glued to a word hide nothing). The impact of a word on an item is its BM25
 score against itself, so that a passage with all words of an item scores 1 and one threshold serves items of any length.
 Items lie in blocks of ``BLOCK``; the index keeps the largest impact of each word in each block and overall.
 
-Documents are cut into passages of twice the longest item's words that begin every longest item's words, so that each
-occurrence lies whole in one. Every passage is a query over its different words:
+Documents are cut into passages that begin every longest item's words and are so long that each occurrence, with the
+insertions that verification allows, lies whole in one. Every passage is a query over its different words:
 
 1. The sum of the words' largest impacts bounds every score; passages below the threshold are done (array code). So are
-   passages without a single shingle of the longer part of any item: step 3's hits could not be verified there.
+   passages without a single unedited run of any item that verification cannot do without (``_run``).
 2. The same sum with the impacts of each block leaves the blocks that can hold a hit.
 3. In these, WAND moves through the postings from pivot to pivot and retrieves every item at or above the threshold.
 
 A retrieved item is verified on the passage: of the five-word shingles of its question, and of its answer, a share of
-``OVERLAP`` or more must occur (a part of less than five words is one shingle; an empty part needs nothing). The answer
-of an item is its last sentence, or the last quarter of its words if it is one sentence; ``split_items`` makes the parts.
+``OVERLAP`` or more must occur (a part of less than five words is one shingle; an empty part needs nothing). One changed
+word takes up to five shingles, all of a short part; so an item is also found where question and answer follow each other
+with edits (a word changed, left out or put in): at most ``PART_EDITS`` of the words of each part, and of both together
+either at most 1 - ``OVERLAP`` of the words are edited or ``OVERLAP`` of the shingles occur. An item with one part missing,
+or with another word for a part of one word, is no hit. The overlap of a part is then the larger of its share of shingles and
+its share of unedited words. The answer of an item is its last sentence, or the last quarter of its words if it is one
+sentence; ``split_items`` makes the parts.
 
 The items are taken in shards of at most ``SHARD_BYTES`` of text, one broadcast index and one pass over the documents
 for each, with word frequencies counted over all items: a broadcast never outgrows its bound. Items without words match
@@ -37,6 +42,7 @@ from docsift.llm.words import Hasher, Texts, runs_of, signed, slices
 
 SHINGLE = 5
 OVERLAP = 0.8
+PART_EDITS = 0.5
 SCORE = 0.5
 BLOCK = 64
 K1, B = 1.2, 0.75
@@ -64,14 +70,40 @@ def split_items(items: DataFrame, item_id: str = "item_id", text: str = "text")
     )
 
 
-def _shingles(hashes: np.ndarray) -> np.ndarray:
-    k = min(SHINGLE, len(hashes))
+def _shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    k = min(size, len(hashes))
     if not k:
         return np.zeros(0, np.uint64)
     begin = np.arange(len(hashes) - k + 1)
     return np.unique(_HASH.ranges(_HASH.prefix(hashes), begin, begin + k))
 
 
+def _edits(n_words: int) -> int:
+    """How many edits an item of so many words bears."""
+    return int((1 - OVERLAP) * n_words + _SLACK)
+
+
+def _run(n_words: int, longer: int) -> int:
+    """Words of an unedited run that every verified occurrence holds; ``longer`` are the words of the longer part.
+
+    E edits leave n - E words in E + 1 runs; both parts' shingles leave a shingle of the longer part.
+    """
+    edits = _edits(n_words)
+    return min(SHINGLE, longer, -(-(n_words - edits) // (edits + 1)))
+
+
+def _distances(part: np.ndarray, passage: np.ndarray) -> np.ndarray:
+    """Edit distance of ``part`` to the nearest range of ``passage`` that ends at each place (0 to its length)."""
+    place = np.arange(len(passage) + 1)
+    row = np.zeros(len(passage) + 1, np.int64)
+    for i, word in enumerate(part, 1):
+        new = row + 1
+        new[0] = i
+        np.minimum(new[1:], row[:-1] + (passage != word), out=new[1:])
+        row = np.minimum.accumulate(new - place) + place
+    return row
+
+
 @dataclass
 class Index:
     item_ids: np.ndarray
@@ -81,8 +113,9 @@ class Index:
     impacts: np.ndarray
     block_max: np.ndarray  # (words, blocks)
     parts: list[list[np.ndarray]]  # for question and answer: the word hashes of each item
-    passage: int  # words of a passage; the next begins half as many words later
-    shingles: dict[int, np.ndarray]  # by length: the sorted shingles of each item's longer part
+    stride: int  # words from one passage's begin to the next's
+    passage: int  # words of a passage
+    runs: dict[int, np.ndarray]  # by length: the sorted runs of that many words of the items that need one
 
     @classmethod
     def build(cls, item_ids: np.ndarray, parts: list[list[np.ndarray]], n_items: int, mean: float, df: dict, longest: int) -> Index:
@@ -101,18 +134,19 @@ class Index:
         np.maximum.at(block_max, (np.searchsorted(words, word), item // BLOCK), impact)
         by_length: dict[int, list[np.ndarray]] = {}
         for pair in zip(*parts, strict=True):
-            part = max(pair, key=len)
-            if len(part):
-                by_length.setdefault(min(SHINGLE, len(part)), []).append(_shingles(part))
-        shingles = {k: np.unique(np.concatenate(v)) for k, v in by_length.items()}
-        passage = 2 * max(longest, SHINGLE)
-        return cls(item_ids, words, np.append(first, len(word)), item, impact, block_max, parts, passage, shingles)
+            k = _run(sum(map(len, pair)), max(map(len, pair)))
+            if k:
+                by_length.setdefault(k, []).append(_shingles(np.concatenate(pair), k))
+        runs = {k: np.unique(np.concatenate(v)) for k, v in by_length.items()}
+        stride = max(longest, SHINGLE)
+        passage = 2 * stride + _edits(longest)
+        return cls(item_ids, words, np.append(first, len(word)), item, impact, block_max, parts, stride, passage, runs)
 
     def _verifiable(self, texts: Texts, hashes: np.ndarray) -> np.ndarray:
-        """How many words before each place begin a shingle of the longer part of an item."""
+        """How many words before each place begin a run that an item needs."""
         marks = np.zeros(len(hashes), bool)
         prefix = _HASH.prefix(hashes)
-        for k, wanted in self.shingles.items():
+        for k, wanted in self.runs.items():
             begin = texts.windows(k)
             own = _HASH.ranges(prefix, begin, begin + k)
             marks[begin] |= wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
@@ -126,7 +160,7 @@ class Index:
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             known = self.words[at] == hashes
             bound = np.concatenate([[0], np.cumsum(np.where(known, self.block_max.max(axis=1)[at], 0))])
-            stride = self.passage // 2
+            stride = self.stride
             n_passages = np.maximum(1, -(-texts.n_words // stride) - 1) * (texts.n_words > 0)
             doc = np.repeat(np.arange(texts.n), n_passages)
             number = np.arange(len(doc)) - np.repeat(np.cumsum(n_passages) - n_passages, n_passages)
@@ -154,8 +188,11 @@ class Index:
                 terms = word[lo:hi][most[lo:hi] > 0]
                 own = hashes[begin[passages[p]] : end[passages[p]]]
                 for item, score in self._wand(terms, block, threshold):
-                    overlaps = [self._overlap(part[item], own) for part in self.parts]
-                    if min(overlaps) >= OVERLAP:
+                    both = [part[item] for part in self.parts]
+                    overlaps = [self._overlap(part, own) for part in both]
+                    if min(overlaps) < OVERLAP:
+                        overlaps = self._edited(both, overlaps, own)
+                    if overlaps:
                         hits.append((int(doc[passages[p]]), int(self.item_ids[item]), score, *overlaps))
 
     def _overlap(self, part: np.ndarray, passage: np.ndarray) -> float:
@@ -168,6 +205,24 @@ class Index:
         first = np.arange(len(passage) - k + 1)
         return float(np.isin(wanted, _HASH.ranges(_HASH.prefix(passage), first, first + k)).mean())
 
+    def _edited(self, both: list[np.ndarray], overlaps: list[float], passage: np.ndarray) -> list[float]:
+        """The overlaps of an item that occurs with edits, otherwise nothing."""
+        whole = np.concatenate(both)
+        n_edits = _edits(len(whole))
+        by_shingles = self._overlap(whole, passage) >= OVERLAP
+        if not by_shingles and np.count_nonzero(~np.isin(whole, passage)) > n_edits:
+            return []
+        ahead = _distances(both[0], passage)
+        after = _distances(both[1][::-1], passage[::-1])[::-1]
+        good = (ahead <= PART_EDITS * len(both[0])) & (after <= PART_EDITS * len(both[1]))
+        if not by_shingles:
+            good &= ahead + after <= n_edits
+        if not good.any():
+            return []
+        at = np.flatnonzero(good)[np.argmin((ahead + after)[good])]
+        edits = (int(ahead[at]), int(after[at]))
+        return [max(share, 1 - e / len(part)) if len(part) else 1.0 for share, e, part in zip(overlaps, edits, both, strict=True)]
+
     def _wand(self, terms: np.ndarray, block: int, threshold: float) -> Iterator[tuple[int, float]]:
         """Items of the block whose score reaches the threshold."""
         lists = []

@@ -329,6 +329,29 @@ def test_leaks_behind_signs_and_capitals(spark):
     assert {r.doc_id for r in decontaminate.leaks(docs, items).collect()} == {0, 1, 2}
 
 
+def test_leaks_with_one_word_edited(spark):
+    draw = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    sizes = [(9, 1), (9, 2), (9, 3), (14, 4), (20, 5), (24, 8), (45, 6), (3, 40)]
+    items = [(i, " ".join(draw.choices(vocabulary, k=q)) + "? " + " ".join(draw.choices(vocabulary, k=a)) + ".") for i, (q, a) in enumerate(sizes)]
+    split = decontaminate.split_items(spark.createDataFrame(items, "item_id long, text string"))
+    texts, wanted = [], set()
+    around = lambda words: " ".join(draw.choices(vocabulary, k=draw.randint(0, 150)) + words + draw.choices(vocabulary, k=draw.randint(0, 150)))
+    for item, text in items:
+        own, n_question = text.split(), sizes[item][0]
+        for k in range(len(own)):
+            edited = [own[:k] + ["other"] + own[k + 1 :], own[:k] + own[k + 1 :], own[:k] + ["other"] + own[k:]]
+            for kind, words in enumerate(edited):
+                if sizes[item][1] > 1 or k < n_question:  # else the answer is gone
+                    wanted.add((len(texts), item))
+                if sizes[item][1] > 1 or k < n_question or kind < 2:
+                    texts.append(around(words))
+        texts.append(around(own[:n_question] if n_question > 3 else own[n_question:]))  # one part alone
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, split).collect()} == wanted
+    assert decontaminate.decontaminate(docs, split).count() == len(texts) - len(wanted)
+
+
 def test_token_counts(docs, rows, empty):
     vocabulary = [b" ", b"a", b"b", b" a", b"ab", b"abc", b"bcd", b"cde", b"e", b"d", "é".encode(), b" ab", b"x", b"xx", b"xxxx"]
 
