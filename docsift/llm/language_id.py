@@ -1,8 +1,8 @@
 """Language identification with bit-sliced Bloom filters over character n-grams (operator 1).
 
 Learning. Labelled rows are sampled by a digest of their text down to about ``SAMPLE_DOCS`` documents a language (the
-bound of the training sample; the rate follows from the number of rows of each language). Equal texts of a language
-teach once, so a text with very many copies neither breaks the bound nor outweighs the rest. The letter n-grams (3 and 4
+bound of the training sample; the rate follows from the number of different texts of each language). Equal texts of a
+language teach once, so a text with very many copies neither breaks the bound nor outweighs the rest or thins it out. The letter n-grams (3 and 4
 characters inside words, with word ends marked, A-Z in lower case, other characters as they are) are counted by language.
 An n-gram belongs to a language if it makes up at least ``LEAST`` of the language's n-grams there, so a language has at
 most 1/LEAST of them, and if its share is at least ``CONTRAST`` of its largest share in any language.
@@ -135,7 +135,8 @@ class Filter:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Filter:
     """The filter of all languages in ``lang``."""
     labelled = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text != ''")
-    n_of = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    different = labelled.select("lang", F.xxhash64("text").alias("digest")).distinct()
+    n_of = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(n_of)
     if not languages:
         return Filter([], np.zeros((1, 1), _U64))

@@ -396,6 +396,15 @@ def test_copies_teach_once(spark):
     assert once.languages == often.languages and (once.slots == often.slots).all()
 
 
+def test_copies_do_not_thin_out_the_sample(spark):
+    texts = [(f"{w}{v} alpha {v}{w}", lang) for lang, ws in (("aa", "bcdfg"), ("bb", "klmnp")) for w in ws for v in "aeiou"]
+    rows = spark.createDataFrame(texts, "text string, lang string")
+    once = language_id.learn(rows, sample_docs=25)
+    often = language_id.learn(rows.crossJoin(spark.range(400)).drop("id"), sample_docs=25)
+    assert once.languages == often.languages and once.slots.any() and once.slots.shape == often.slots.shape
+    assert (once.slots == often.slots).all()
+
+
 def test_held_out_accuracy(spark):
     from docsift.llm import queries
 
