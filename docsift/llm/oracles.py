@@ -136,3 +136,52 @@ SELECT doc_id, size, n AS source_size, target::DOUBLE AS target,
   (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d
 """
+
+ORACLES["op11_phrase_mining"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (
+    SELECT lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+  )
+),
+f AS (
+  SELECT lang, k, phrase, count(*) AS f
+  FROM (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 5) r(k))
+  )
+  GROUP BY ALL
+),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+inner_of AS (
+  SELECT lang, phrase, max(m) AS m
+  FROM (
+    SELECT lang, m, array_to_string(w[i:i + s - 1], ' ') AS phrase
+    FROM (SELECT lang, a AS m, w, s, unnest(range(1, k - s + 2)) AS i FROM c, range(2, 4) r(s) WHERE s < k)
+  )
+  GROUP BY ALL
+),
+kept AS (
+  SELECT c.* FROM c LEFT JOIN inner_of USING (lang, phrase) WHERE m IS NULL OR 100::HUGEINT * m < 80::HUGEINT * a
+),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)
+),
+scored AS (
+  SELECT cuts.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+),
+lowest AS (
+  SELECT lang, phrase, a, l, r, score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""

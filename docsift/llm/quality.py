@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.words import Hasher, Texts, covered, mix, slices
+from docsift.llm.words import Hasher, Texts, covered, digests, runs_of, slices
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -33,7 +33,7 @@ _PREFIX = "_q_"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_HASH = Hasher(0)
+_HASHES = (Hasher(0), Hasher(1))
 
 
 def counts_of(texts: Texts) -> dict[str, np.ndarray]:
@@ -43,30 +43,27 @@ def counts_of(texts: Texts) -> dict[str, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(mask)])
         return total[texts.offsets[1:]] - total[texts.offsets[:-1]]
 
-    def extra(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def extra(keys: list[np.ndarray], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted order, and for each sorted place whether the one before or after it is equal in the same document."""
-        keys = mix(keys + docs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        before = np.concatenate([[False], same]) if len(keys) else np.zeros(0, bool)
-        after = np.concatenate([same, [False]]) if len(keys) else np.zeros(0, bool)
-        return order, before, after
+        order, heads = runs_of([docs, *keys])
+        before = np.ones(len(order), bool)
+        before[heads] = False
+        return order, before, np.append(before[1:], np.zeros(min(1, len(order)), bool))
 
     out = {"n_words": texts.n_words}
     out["word_chars"] = per_doc(texts.in_word & ((texts.data & 0xC0) != 0x80))
     out["n_symbols"] = per_doc(_SYMBOL[texts.data])
-    prefix = texts.byte_prefix(_HASH)
     starts, ends, docs = texts.lines()
     words = np.concatenate([[0], np.cumsum(texts.in_word)])
     some = words[ends] > words[starts]
     starts, ends, docs = starts[some], ends[some], docs[some]
-    order, before, _ = extra(_HASH.ranges(prefix, starts, ends), docs)
+    order, before, _ = extra(list(digests(texts.data, starts, ends).T), docs)
     out["n_lines"] = np.bincount(docs, minlength=texts.n)
     out["n_dup_lines"] = np.bincount(docs[order][before], minlength=texts.n)
     begin = texts.windows(WINDOW)
-    spans = _HASH.prefix(_HASH.ranges(prefix, texts.starts, texts.ends))
+    spans = [h.ranges(h.prefix(texts.word_hashes(h)), begin, begin + WINDOW) for h in _HASHES]
     doc = texts.doc_of_words()
-    order, before, after = extra(_HASH.ranges(spans, begin, begin + WINDOW), doc[begin])
+    order, before, after = extra(spans, doc[begin])
     repeated = covered(len(texts.starts), begin[order][before | after], WINDOW)
     out["n_repeat_words"] = np.bincount(doc[repeated], minlength=texts.n)
     return out

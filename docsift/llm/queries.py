@@ -11,6 +11,7 @@ from docsift.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    phrases,
     quality,
     repeated_bytes,
     repeated_words,
@@ -90,6 +91,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, token_counts.read_vocabulary()).drop("text")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +114,7 @@ QUERIES = {
         op8_mixing,
         op9_decontamination,
         op10_token_counts,
+        op11_phrase_mining,
         pipeline,
     )
 }

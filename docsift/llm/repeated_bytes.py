@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, packed_batches, print_of
 from docsift.llm.storage import cut
 from docsift.llm.suffix_array import suffix_array
-from docsift.llm.words import Hasher, Texts, covered, mix, runs_of, signed, slices
+from docsift.llm.words import Hasher, Rolling, Texts, covered, digests, mix, runs_of, signed, slices
 
 LENGTH = 200
 GRAM = 32
@@ -52,8 +52,7 @@ class Runs:
     def __init__(self, texts: Texts, length: int = LENGTH, gram: int = GRAM):
         n = len(texts.data)
         first = np.arange(max(0, n - gram + 1))
-        self.prefix = texts.byte_prefix(_A)
-        grams = _A.ranges(self.prefix, first, first + gram) if len(first) else np.zeros(0, _U64)
+        grams = Rolling.windows(texts.data, first, gram) if len(first) else np.zeros(0, _U64)
         least = (grams >> _U64(32) << _U64(32)) | first.astype(_U64)
         wide, span = length - gram + 1, 1  # minimum over `wide` grams, by doubling
         while span * 2 <= wide and len(least) > span:
@@ -131,9 +130,8 @@ def _segments(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             if not len(own):
                 continue
             start, end = runs.start[own], runs.start[own] + runs.count[own] + LENGTH - 1
-            other = texts.byte_prefix(_B)
             lead = runs.anchor[own] - start
-            digest = mix(_B.ranges(other, start, end) + lead.astype(_U64)) ^ _A.ranges(runs.prefix, start, end)
+            digest = mix(digests(texts.data, start, end)[:, 0] + lead.astype(_U64))
             order, heads = runs_of([runs.print[own], digest])
             copies = np.zeros(len(own), np.int64)
             copies[order[heads]] = np.diff(np.append(heads, len(order)))

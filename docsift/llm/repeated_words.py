@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, packed_batches
-from docsift.llm.words import Hasher, Texts, covered, runs_of, slices
+from docsift.llm.words import Hasher, Rolling, Texts, covered, runs_of, slices
 
 WINDOW = 13
 ANCHOR_BYTES = 4  # within a bucket; a false hit only makes more windows be hashed
@@ -44,8 +44,7 @@ def shared_anchors(docs: DataFrame, block: int, parts: int) -> DataFrame:
             texts = Texts(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             begin = texts.windows(block)
-            prefix = _A.prefix(texts.word_hashes(_A))
-            hashes = _A.ranges(prefix, begin, begin + block)
+            hashes = Rolling.windows(texts.word_hashes(_A), begin, block)
             doc = texts.doc_of_words()[begin]
             place = begin - texts.word_offsets[doc]
             order, heads = runs_of([hashes])

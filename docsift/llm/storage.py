@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a session that names none (tests on one machine) gets a temporary one."""
+    """The session's checkpoint folder. Only a session in local mode may name none; it gets a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docsift-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 

@@ -27,7 +27,7 @@ from docsift.llm.words import Hasher, Texts, runs_of, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 UNKNOWN = -1
-_HASH = Hasher(0)
+_HASHES = (Hasher(0), Hasher(1))
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, vocabulary: Iterable[bytes], text: str = "text
             pieces = np.zeros(0, np.int64)
             if len(texts.starts):
                 # a space stands at the front of the buffer and replaces the byte before each word in its own copy
-                order, heads = runs_of([texts.word_hashes(_HASH)])
+                order, heads = runs_of([texts.word_hashes(h) for h in _HASHES])
                 one = order[heads]
                 lengths = (texts.ends - texts.starts)[one]
                 begins = np.cumsum(lengths + 1) - lengths - 1
