@@ -14,8 +14,8 @@ times or more. As no phrase occurs more often than a part of it, the frequent on
 
 So the result does not depend on the sample. Proposed phrases are known to tasks as a Bloom filter of bounded size
 (``operators/bloom.py``); a phrase that it lets through by mistake is only counted for nothing. Counting is by the phrases
-themselves, as text: a slice of documents sends each of its phrases once, Spark adds them up on the map side, and no
-word, however frequent, brings its places together.
+themselves, as text: a slice of documents sends each of its phrases once, with its count, so no word, however frequent,
+brings its places together. (Most border phrases occur once in a task; adding up there a second time only spills.)
 
 ``collocations`` scores phrases of two or more words. It cuts a phrase after each of its words, with l and r as the
 frequencies of the parts: floor(2000000 * a / (l + r)) in exact decimals, the lowest of the cuts. It drops phrases that lie
@@ -47,7 +47,8 @@ SAMPLE = 8
 ABSORBED = 80
 MOST = 2000
 UNKNOWN = "und"
-OUT_BYTES = 16 << 20  # text of phrases in one batch
+SLICE_BYTES = 4 << 20  # text that is counted at once; one longer document is counted alone
+OUT_BYTES = 8 << 20  # text of phrases in one batch
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -126,17 +127,19 @@ class Pieces:
             first[ids[::-1]] = places[::-1]
             hashes = mix(hashes[first]) if k == 1 else mix(hashes[number[first]] * _U64(0x9E3779B97F4A7C15) + self.word_hash[first + k - 1])
             n = np.bincount(ids, minlength=len(values))
+            sent = np.argsort(values.to_numpy())  # phrases that begin alike lie together, and compress
             good = np.ones(len(values), bool) if filters is None else np.zeros(len(values), bool)
             for table in filters or []:
                 good |= bloom.contains(table, hashes)
             new = np.ones(len(values), bool) if failed is None else bloom.contains(failed, hashes) & ~good
             good |= new
             if failed is None:
-                yield k, first, n
+                yield k, first[sent], n[sent]
             elif k > 1 and keep.any():
                 wanted = np.zeros(len(values), bool)
                 wanted[ids[keep]] = True
-                yield k, first[wanted], n[wanted]
+                sent = sent[wanted[sent]]
+                yield k, first[sent], n[sent]
             if k == LONGEST:
                 return
             # number of the phrase of k words at each place, -1 where it is not extended
@@ -157,26 +160,29 @@ def _count(docs: DataFrame, filters: list[np.ndarray] | None = None, failed: np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, failures = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             pieces = Pieces(batch.column("text"), batch.column("lang"))
 
-            def rows(lang: np.ndarray, k: int, phrases: pa.Array, n: np.ndarray, pieces=pieces) -> pa.RecordBatch:
-                columns = [pieces.langs.take(pa.array(lang)), pa.array(np.full(len(n), k, np.int8)), phrases, pa.array(n, pa.int64())]
-                return pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2].cast(pa.string()), columns[3]], ["lang", "k", "phrase", "f"])
+            def rows(lang: np.ndarray, phrases: pa.Array, n: np.ndarray, pieces=pieces) -> pa.RecordBatch:
+                columns = [pieces.langs.take(pa.array(lang)), phrases.cast(pa.string()), pa.array(n, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "f"])
 
             if failures is None and pieces.n:
                 n = np.bincount(pieces.lang, minlength=len(pieces.langs))
-                yield rows(np.arange(len(n)), 0, pa.array([""] * len(n), pa.large_string()), n)
+                yield rows(np.arange(len(n)), pa.array([""] * len(n), pa.large_string()), n)
             for k, places, n in pieces.counted(own, failures):
                 size = np.cumsum(pieces.at[places + k] - pieces.at[places])
                 low = 0
                 while low < len(places):
                     done = size[low - 1] if low else 0
                     high = max(low + 1, int(np.searchsorted(size, done + OUT_BYTES, "right")))
-                    yield rows(pieces.lang[places[low:high]], k, pieces.texts(places[low:high], k), n[low:high])
+                    yield rows(pieces.lang[places[low:high]], pieces.texts(places[low:high], k), n[low:high])
                     low = high
 
-    return docs.mapInArrow(run, "lang string, k tinyint, phrase string, f long").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    sent = docs.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
+    spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
+    k = F.when(F.col("phrase") == "", 0).otherwise(spaces + 1)
+    return sent.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).select("lang", k.alias("k"), "phrase", "f")
 
 
 def _hashed(phrases: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def test_a_full_filter_only_counts_more(spark, rows, monkeypatch):
 def test_products_beyond_64_bits(spark, monkeypatch):
     many = 5 * 10**15
     table = spark.createDataFrame(
-        [("en", 0, "", 3 * many), ("en", 1, "a", many + 1), ("en", 1, "b", many + 2), ("en", 2, "a b", many)], "lang string, k byte, phrase string, f long"
+        [("en", 0, "", 3 * many), ("en", 1, "a", many + 1), ("en", 1, "b", many + 2), ("en", 2, "a b", many)], "lang string, k int, phrase string, f long"
     )
     monkeypatch.setattr(phrases, "frequent_phrases", lambda *a: table)
     assert [tuple(r) for r in phrases.collocations(None).collect()] == [
