@@ -15,6 +15,7 @@ from docsift.llm import (
     quality,
     repeated_bytes,
     repeated_words,
+    sharding,
     token_counts,
     url_rules,
 )
@@ -95,6 +96,13 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = sharding.slim_table(read(spark, sf_dir, "documents"))
+    dealt = sharding.assign(slim, 8, digest="digest", size="n_bytes")
+    fixed = [F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")]
+    return dealt.select("doc_id", "size", "text_crc32", fixed[0], "shard", "slot", fixed[1])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -115,6 +123,7 @@ QUERIES = {
         op9_decontamination,
         op10_token_counts,
         op11_phrase_mining,
+        op13_sharding,
         pipeline,
     )
 }
