@@ -131,7 +131,7 @@ class Pieces:
             good = np.ones(len(values), bool) if filters is None else np.zeros(len(values), bool)
             for table in filters or []:
                 good |= bloom.contains(table, hashes)
-            new = np.ones(len(values), bool) if failed is None else bloom.contains(failed, hashes) & ~good
+            new = np.zeros(len(values), bool) if failed is None else bloom.contains(failed, hashes) & ~good
             good |= new
             if failed is None:
                 yield k, first[sent], n[sent]

@@ -91,3 +91,15 @@ def test_products_beyond_64_bits(spark, monkeypatch):
 def test_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert phrases.collocations(spark.createDataFrame([(1, None, None, "", "")], SCHEMA)).count() == 0
+
+
+def test_parts_that_are_not_proposed_prune(spark):
+    import pyarrow as pa
+
+    pieces = phrases.Pieces(pa.array(["a b c d a b"]), pa.array(["en"]))
+    known = phrases._filter(spark.createDataFrame([("en", "a"), ("en", "b"), ("en", "c"), ("en", "b c")], "lang string, phrase string"))
+    counted = {k: set(pieces.texts(first, k).to_pylist()) for k, first, _ in pieces.counted([known], None)}
+    assert counted == {1: {"a", "b", "c", "d"}, 2: {"a b", "b c"}, 3: set(), 4: set()}
+    failed = phrases._filter(spark.createDataFrame([("en", "a b")], "lang string, phrase string"))
+    counted = {k: set(pieces.texts(first, k).to_pylist()) for k, first, _ in pieces.counted([known], failed)}
+    assert counted == {2: set(), 3: {"a b c"}, 4: set()} or counted == {3: {"a b c"}, 4: set()} or counted == {3: {"a b c"}}
