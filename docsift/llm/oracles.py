@@ -185,3 +185,84 @@ ranked AS (
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score
 FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """
+
+#: moves of a row by its initial (0 other, 1 system, 2 user, 3 assistant) and the state before it (0 nothing, 1 s, 2 u, 3 a)
+_KEEP = [(1, 0, 1), (2, 0, 2), (2, 1, 2), (2, 3, 2), (3, 2, 3)]
+_NEXT = {0: 2, 1: 2, 2: 3, 3: 2}
+_MOVES = [(i, q, "K", 0, t, None) for i, q, t in _KEEP]
+_MOVES += [(i, q, "R", 3, t, "user" if t == 2 else "assistant") for i in range(4) for q, t in _NEXT.items()]
+_INSERTS = [(q, q, "", 0, "") for q in range(4)]
+_INSERTS += [(q, t, "I", 3, "user:\n" if t == 2 else "assistant:\n") for q, t in _NEXT.items()]
+_INSERTS += [(q, 3, "II", 6, "user:\nassistant:\n") for q in (0, 1)]
+
+
+def _values(rows: list[tuple]) -> str:
+    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'"
+    return ", ".join("(" + ", ".join(map(one, row)) + ")" for row in rows)
+
+
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS chars
+  FROM conversations
+),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(chars, lambda c: ascii(c)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))),
+    4294967295) % 20 AS d
+  FROM named
+),
+rows_after AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+    CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(0, 2) r(copy) WHERE d != 0 AND (copy = 0 OR d = 3)
+),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM rows_after
+),
+marked AS (
+  SELECT conv_id, turn, role, text, pos,
+    CASE substr(role, 1, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS initial,
+    NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut
+  FROM ordered
+),
+faults AS (
+  SELECT conv_id, turn, role, text, pos, initial, blank, seen AND NOT blank AS duplicate, cut AND NOT blank AND NOT seen AS truncated,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) * 4 + initial NOT IN (6, 11, 14), false) AS illegal
+  FROM marked
+),
+totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(pos) AS n
+  FROM faults GROUP BY conv_id
+),
+moves(initial, q, letter, cost, q2, new_role) AS (VALUES {_values(_MOVES)}),
+inserts(q, q2, letters, cost, rows) AS (VALUES {_values(_INSERTS)}),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS pos, q2 AS q, cost, letters::VARCHAR AS audit, rows::VARCHAR AS rows FROM totals, inserts WHERE q = 0
+  UNION ALL
+  SELECT * FROM (
+    SELECT dp.conv_id, f.pos, i.q2 AS q, dp.cost + m.cost + i.cost AS cost, dp.audit || m.letter || i.letters AS audit, dp.rows || m.line || i.rows AS rows
+    FROM dp JOIN faults f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.pos + 1,
+    LATERAL (
+      SELECT 'D' AS letter, 4 AS cost, dp.q AS q2, '' AS line
+      UNION ALL
+      SELECT letter, cost + CASE WHEN f.truncated THEN 3 ELSE 0 END, q2, coalesce(new_role, f.role) || ':' || f.text || chr(10)
+      FROM moves WHERE moves.initial = f.initial AND moves.q = dp.q AND NOT f.blank AND NOT f.duplicate
+    ) m JOIN inserts i ON i.q = m.q2
+    QUALIFY row_number() OVER (PARTITION BY dp.conv_id, f.pos, i.q2 ORDER BY dp.cost + m.cost + i.cost, dp.audit || m.letter || i.letters) = 1
+  )
+),
+best AS (
+  SELECT dp.conv_id, cost, audit, rows FROM dp JOIN totals t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.n = dp.pos
+  WHERE q IN (0, 3) QUALIFY row_number() OVER (PARTITION BY dp.conv_id ORDER BY cost, audit) = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(rows[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

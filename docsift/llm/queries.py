@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm import (
+    conversations,
     decontaminate,
     language_id,
     line_dedup,
@@ -96,6 +97,28 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def damaged_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` with the damage that the query asks for, by a checksum of each row's id and turn."""
+    space = F.lit(" ")
+    rows = read(spark, sf_dir, "conversations")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    rows = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(named) % 20).alias("d"))
+    text = F.when(F.col("d") == 1, "").when(F.col("d") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("d") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("d") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    return rows.filter("d != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repaired = conversations.repair(damaged_conversations(spark, sf_dir))
+    every = read(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("key", conversations.key_of(F.col("conv_id")))
+    report = repaired.report.withColumn("key", conversations.key_of(F.col("conv_id"))).drop("conv_id")
+    joined = every.join(report, "key", "left").join(conversations.digests(repaired.rows), "key", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    digest = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = sharding.slim_table(read(spark, sf_dir, "documents"))
     dealt = sharding.assign(slim, 8, digest="digest", size="n_bytes")
@@ -123,6 +146,7 @@ QUERIES = {
         op9_decontamination,
         op10_token_counts,
         op11_phrase_mining,
+        op12_conversation_repair,
         op13_sharding,
         pipeline,
     )
