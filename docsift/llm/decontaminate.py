@@ -3,7 +3,8 @@
 Items are indexed by their words (in lower case, ASCII punctuation read as spaces, in items and documents alike, so that
 signs glued to a word hide nothing). The impact of a word on an item is its BM25 weight there, divided by the item's
 score against itself, so that a passage with all words of an item scores 1 and one threshold serves items of any length.
-Items lie in blocks of ``BLOCK``; the index keeps the largest impact of each word in each block and overall.
+Items lie in blocks of ``BLOCK``; the index keeps the largest impact of each word overall and in each block that has it, so
+it grows with the postings.
 
 Documents are cut into passages that begin every longest item's words and are so long that each occurrence, with the
 insertions that verification allows, lies whole in one. Every passage is a query over its different words:
@@ -24,7 +25,9 @@ sentence; ``split_items`` makes the parts.
 
 The items are taken in shards of at most ``SHARD_BYTES`` of text, one broadcast index and one pass over the documents
 for each, with word frequencies counted over all items: a broadcast never outgrows its bound. Items without words match
-nothing; so do null texts. Rows that repeat a document are judged alike; items that repeat are found each.
+nothing; so do null texts. Rows that repeat a document are judged alike; items that repeat are found each; an item with a
+null id is found and reported with that id, and rows with a null ``doc_id`` with theirs. Other columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -106,19 +109,22 @@ def _distances(part: np.ndarray, passage: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    item_ids: np.ndarray
+    item_ids: list  # None for a null
     words: np.ndarray  # sorted hashes
     offsets: np.ndarray  # postings of word i are [offsets[i], offsets[i + 1]), by item
     posting_items: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray  # (words, blocks)
+    most: np.ndarray  # the largest impact of each word
+    block_offsets: np.ndarray  # blocks of word i are [block_offsets[i], block_offsets[i + 1])
+    blocks: np.ndarray
+    block_max: np.ndarray  # the word's largest impact there
     parts: list[list[np.ndarray]]  # for question and answer: the word hashes of each item
     stride: int  # words from one passage's begin to the next's
     passage: int  # words of a passage
     runs: dict[int, np.ndarray]  # by length: the sorted runs of that many words of the items that need one
 
     @classmethod
-    def build(cls, item_ids: np.ndarray, parts: list[list[np.ndarray]], n_items: int, mean: float, df: dict, longest: int) -> Index:
+    def build(cls, item_ids: list, parts: list[list[np.ndarray]], n_items: int, mean: float, df: dict, longest: int) -> Index:
         lengths = np.array([len(q) + len(a) for q, a in zip(*parts, strict=True)], np.int64)
         tokens = np.concatenate([h for pair in zip(*parts, strict=True) for h in pair] or [np.zeros(0, np.uint64)])
         order, heads = runs_of([tokens, np.repeat(np.arange(len(lengths)), lengths)])
@@ -130,8 +136,12 @@ class Index:
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean))
         impact /= np.bincount(item, impact, minlength=len(lengths))[item]
         words, first = np.unique(word, return_index=True)
-        block_max = np.zeros((len(words), (len(lengths) + BLOCK - 1) // BLOCK))
-        np.maximum.at(block_max, (np.searchsorted(words, word), item // BLOCK), impact)
+        head = np.ones(len(word), bool)  # postings lie by word, then by item
+        head[1:] = (word[1:] != word[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)
+        heads = np.flatnonzero(head)
+        block_max = np.maximum.reduceat(impact, heads) if len(heads) else impact
+        block_offsets = np.searchsorted(np.searchsorted(words, word[heads]), np.arange(len(words) + 1))
+        most = np.maximum.reduceat(impact, first) if len(first) else impact
         by_length: dict[int, list[np.ndarray]] = {}
         for pair in zip(*parts, strict=True):
             k = _run(sum(map(len, pair)), max(map(len, pair)))
@@ -140,7 +150,8 @@ class Index:
         runs = {k: np.unique(np.concatenate(v)) for k, v in by_length.items()}
         stride = max(longest, SHINGLE)
         passage = 2 * stride + _edits(longest)
-        return cls(item_ids, words, np.append(first, len(word)), item, impact, block_max, parts, stride, passage, runs)
+        blocks = (most, block_offsets, item[heads] // BLOCK, block_max)
+        return cls(item_ids, words, np.append(first, len(word)), item, impact, *blocks, parts, stride, passage, runs)
 
     def _verifiable(self, texts: Texts, hashes: np.ndarray) -> np.ndarray:
         """How many words before each place begin a run that an item needs."""
@@ -153,13 +164,13 @@ class Index:
         return np.concatenate([[0], np.cumsum(marks)])
 
     def search(self, texts: Texts, threshold: float = SCORE) -> tuple[np.ndarray, ...]:
-        """(document, item, score, question overlap, answer overlap) of every verified hit."""
+        """(document, number of the item, score, question overlap, answer overlap) of every verified hit."""
         hits: list[tuple[int, int, float, float, float]] = []
         if len(self.words) and len(texts.starts):
             hashes = texts.word_hashes(_HASH)
             at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
             known = self.words[at] == hashes
-            bound = np.concatenate([[0], np.cumsum(np.where(known, self.block_max.max(axis=1)[at], 0))])
+            bound = np.concatenate([[0], np.cumsum(np.where(known, self.most[at], 0))])
             stride = self.stride
             n_passages = np.maximum(1, -(-texts.n_words // stride) - 1) * (texts.n_words > 0)
             doc = np.repeat(np.arange(texts.n), n_passages)
@@ -180,20 +191,25 @@ class Index:
         owner = np.repeat(np.arange(len(passages)), sizes)[known[place]]
         pairs = np.unique(owner * np.int64(len(self.words)) + at[place[known[place]]])
         owner, word = np.divmod(pairs, len(self.words))
-        for block in range(self.block_max.shape[1]):
-            most = self.block_max[word, block]
-            total = np.bincount(owner, most, minlength=len(passages))
-            for p in np.flatnonzero(total >= threshold - _SLACK).tolist():
-                lo, hi = np.searchsorted(owner, [p, p + 1])
-                terms = word[lo:hi][most[lo:hi] > 0]
-                own = hashes[begin[passages[p]] : end[passages[p]]]
-                for item, score in self._wand(terms, block, threshold):
-                    both = [part[item] for part in self.parts]
-                    overlaps = [self._overlap(part, own) for part in both]
-                    if min(overlaps) < OVERLAP:
-                        overlaps = self._edited(both, overlaps, own)
-                    if overlaps:
-                        hits.append((int(doc[passages[p]]), int(self.item_ids[item]), score, *overlaps))
+        per = self.block_offsets[word + 1] - self.block_offsets[word]
+        entry = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.block_offsets[word], per)
+        n_blocks = int(self.blocks.max()) + 1
+        key = np.repeat(owner, per) * np.int64(n_blocks) + self.blocks[entry]
+        order, heads = runs_of([key])
+        ends = np.append(heads[1:], len(order))
+        total = np.add.reduceat(self.block_max[entry[order]], heads) if len(heads) else np.zeros(0)
+        word = np.repeat(word, per)
+        for g in np.flatnonzero(total >= threshold - _SLACK).tolist():
+            own_entries = order[heads[g] : ends[g]]
+            p, block = divmod(int(key[own_entries[0]]), n_blocks)
+            own = hashes[begin[passages[p]] : end[passages[p]]]
+            for item, score in self._wand(word[own_entries], self.block_max[entry[own_entries]], block, threshold):
+                both = [part[item] for part in self.parts]
+                overlaps = [self._overlap(part, own) for part in both]
+                if min(overlaps) < OVERLAP:
+                    overlaps = self._edited(both, overlaps, own)
+                if overlaps:
+                    hits.append((int(doc[passages[p]]), item, score, *overlaps))
 
     def _overlap(self, part: np.ndarray, passage: np.ndarray) -> float:
         wanted = _shingles(part)
@@ -223,13 +239,13 @@ class Index:
         edits = (int(ahead[at]), int(after[at]))
         return [max(share, 1 - e / len(part)) if len(part) else 1.0 for share, e, part in zip(overlaps, edits, both, strict=True)]
 
-    def _wand(self, terms: np.ndarray, block: int, threshold: float) -> Iterator[tuple[int, float]]:
+    def _wand(self, terms: np.ndarray, most: np.ndarray, block: int, threshold: float) -> Iterator[tuple[int, float]]:
         """Items of the block whose score reaches the threshold."""
         lists = []
-        for t in terms.tolist():
+        for t, highest in zip(terms.tolist(), most.tolist(), strict=True):
             lo, hi = self.offsets[t], self.offsets[t + 1]
             a, b = lo + np.searchsorted(self.posting_items[lo:hi], [block * BLOCK, (block + 1) * BLOCK])
-            lists.append([self.posting_items[a:b].tolist(), self.impacts[a:b].tolist(), self.block_max[t, block], 0])
+            lists.append([self.posting_items[a:b].tolist(), self.impacts[a:b].tolist(), highest, 0])
         while lists:
             lists.sort(key=lambda x: x[0][x[3]])
             reach, pivot = 0.0, -1
@@ -253,8 +269,8 @@ class Index:
             lists = [x for x in lists if x[3] < len(x[0])]
 
 
-def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
-    """The shards' indexes of ``item_id``, ``question``, ``answer``."""
+def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
+    """The shards' indexes of ``item_id``, ``question``, ``answer``, one after the other."""
     items = items.select("item_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
     size = items.agg(F.sum(F.octet_length("question") + F.octet_length("answer") + 64)).first()[0] or 0
     n_shards = -(-size // shard_bytes)
@@ -275,7 +291,6 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
     counted = items.mapInArrow(tokens, "word long, n_words long")
     totals = counted.agg(F.sum("n_words"), F.max("n_words"), F.sum(F.signum("n_words"))).first()
     frequencies = counted.groupBy("word").agg(F.count("*").alias("df"))
-    out = []
     for shard in range(n_shards):
         own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard)
         table = own.orderBy("item_id").toArrow()
@@ -286,8 +301,7 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[Index]:
         frequency = dict(zip(df.column("word").to_numpy().view(np.uint64).tolist(), df.column("df").to_pylist(), strict=True))
         if table.num_rows and totals[0]:
             mean = totals[0] / totals[2]
-            out.append(Index.build(table.column("item_id").to_numpy(), parts, int(totals[2]), mean, frequency, int(totals[1])))
-    return out
+            yield Index.build(table.column("item_id").to_pylist(), parts, int(totals[2]), mean, frequency, int(totals[1]))
 
 
 def leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -302,10 +316,11 @@ def leaks(docs: DataFrame, items: DataFrame, shard_bytes: int = SHARD_BYTES) ->
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Index(*shared.value)
             for batch in slices(batches):
-                doc, *rest = own.search(Texts(batch.column("text"), plain=True))
+                doc, item, *rest = own.search(Texts(batch.column("text"), plain=True))
                 ids = batch.column("doc_id").take(pa.array(doc))
+                items = pa.array(own.item_ids, pa.int64()).take(pa.array(item))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+                    [ids, items, *(pa.array(x) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
                 )
 
         found.append(slim.mapInArrow(run, schema))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.llm.storage import cut
 from docsift.llm.words import list_array, mix
 
 PACKED = "bucket long, doc_id long, places array<long>, prints array<long>, n_docs int, n int, body binary"
@@ -42,6 +43,21 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text")
 
 
+def one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows to work on, and the rows whose ``doc_id`` another text has too, if there are any.
+
+    Of an id with different texts, the one with the least hash is worked on, so that places never meet another text.
+    """
+    v = F.xxhash64("text")
+    several = docs.groupBy("doc_id").agg(F.min(v).alias("least"), F.max(v).alias("most")).filter("least != most").select("doc_id", "least")
+    several = cut(several)
+    if several.isEmpty():
+        return docs, None
+    marked = docs.join(several, "doc_id", "left")
+    other = F.coalesce(v != F.col("least"), F.lit(False))
+    return marked.filter(~other).select("doc_id", "text"), marked.filter(other).select("doc_id", "text")
+
+
 def _rows(
     doc_ids: np.ndarray, docs: np.ndarray, places: np.ndarray, prints: np.ndarray | None
 ) -> tuple[pa.Array, pa.Array, pa.Array]:

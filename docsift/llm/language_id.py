@@ -16,7 +16,7 @@ Decision. For every language, the n-grams of a text whose mask has its bit are c
 the filter's false positive rate of that language: (hits - n * fp) / (1 - fp). The largest corrected count wins, ties go
 to the smaller name. The score is its lead over the second, as a share of the winner's count.
 
-A null text and a text without a letter are ``und`` with score 0, as is every text if nothing was learned. Rows with a
+A null text and a text without a letter (marks alone are none) are ``und`` with score 0, as is every text if nothing was learned. Rows with a
 null or empty text teach nothing. Only the text is used for a prediction.
 """
 
@@ -44,8 +44,9 @@ SLOTS_FOR_EACH = 12
 _U64 = np.uint64
 
 
-def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points, whether they are letters, and where they begin, of UTF-8 bytes."""
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, whether they are in words (letters and the marks on them), whether they are letters, and where they
+    begin, of UTF-8 bytes."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     padded = np.concatenate([data, np.zeros(4, np.uint8)]).astype(np.uint32)
     b0, b1, b2, b3 = (padded[lead + i] for i in range(4))
@@ -61,18 +62,20 @@ def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter = ((code | 32) >= 97) & ((code | 32) <= 122)
     far = np.flatnonzero(code >= 0x80)
     points, which = np.unique(code[far], return_inverse=True)
-    letter[far] = np.array([unicodedata.category(chr(p))[0] in "LM" for p in points], bool)[which]
-    return code, letter, lead
+    kind = np.array([unicodedata.category(chr(p))[0] for p in points], "U1")[which]
+    inside = letter.copy()
+    letter[far], inside[far] = kind == "L", (kind == "L") | (kind == "M")
+    return code, inside, letter, lead
 
 
 def n_grams(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the n-grams of all texts, the document of each, and how many letters each document has."""
-    code, letter, lead = _letters(texts.data)
+    code, inside, letter, lead = _letters(texts.data)
     doc = np.searchsorted(texts.offsets, lead, "right") - 1
     n_letters = np.bincount(doc[letter], minlength=texts.n)
     # letters, and one word end (0) before and after each run of them; other characters and documents part runs
     code = np.where((code >= 65) & (code <= 90), code + 32, code)
-    code[~letter] = 0
+    code[~inside] = 0
     inner = np.flatnonzero(np.diff(doc)) + 1
     code, doc = np.insert(code, inner, 0), np.insert(doc, inner, doc[inner])
     code = np.concatenate([[0], code, [0]])

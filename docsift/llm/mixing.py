@@ -9,7 +9,7 @@ A document is emitted floor(rate) times, rate = target / size of its source, and
 rate - floor(rate). The coin is a digest of the seed and ``doc_id``, so every rerun agrees, and rows that repeat a
 ``doc_id`` and text are treated alike. Tables of sources have one row for each source; documents are only joined to it,
 by a broadcast while it has at most ``MOST_SOURCES`` rows, so that texts stay where they are, and by a shuffle beyond.
-A null text has size 0; a source of size 0 has target 0 and its documents, being empty, are emitted once.
+A null text has size 0; a null ``doc_id`` has one coin; columns of any other name are kept; a source of size 0 has target 0 and its documents, being empty, are emitted once.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 MOST_SOURCES = 20_000
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def n_words(text: Column) -> Column:
@@ -62,26 +63,25 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix_rates(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies``."""
-    own = docs.columns
+    """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (replacing columns of these names)."""
+    own = [c for c in docs.columns if c not in ADDED]
     slim = docs.select("source", n_words(F.col("text")).alias("size"))
-    goal = targets(slim, weights, most).select(
-        F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
-    )
-    goal = cut(goal)
+    goal = cut(targets(slim, weights, most).toDF("g_source", "g_size", "g_target"))
     if goal.count() <= MOST_SOURCES:
         goal = F.broadcast(goal)
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(1.0)
-    joined = docs.join(goal, docs["source"].eqNullSafe(goal["mix_source"]), "left")
+    rate = F.when(F.col("g_size") > 0, F.col("g_target") / F.col("g_size")).otherwise(1.0)
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("d"))  # so that no name of the caller meets ours
+    joined = named.join(goal, F.col("d.source").eqNullSafe(F.col("g_source")), "left")
     whole = F.floor(rate)
-    copies = whole + (coin(F.col("doc_id"), seed) < rate - whole).cast("long")
-    return joined.withColumns({"mix_size": n_words(F.col("text")), "mix_copies": copies}).select(
-        *own, "mix_size", "mix_source_size", "mix_target", "mix_copies"
-    )
+    copies = whole + (coin(F.col("d.doc_id"), seed) < rate - whole).cast("long")
+    added = (n_words(F.col("d.text")), F.col("g_size"), F.col("g_target"), copies)
+    return joined.select(*(F.col("d").getField(c).alias(c) for c in own), *(c.alias(name) for c, name in zip(added, ADDED, strict=True)))
 
 
 def mix(docs: DataFrame, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mixed rows: each document as often as it is emitted, with ``copy`` = 1, 2, ..."""
-    rated = mix_rates(docs.drop("copy"), seed, weights, most).filter("mix_copies > 0")
-    rows = rated.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")))
-    return rows.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    """The mixed rows: each document as often as it is emitted, with ``copy`` = 1, 2, ... (replacing a column ``copy``)."""
+    own = [c for c in docs.columns if c != "copy"]
+    named = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in own)).alias("all"))
+    rated = mix_rates(named, seed, weights, most).filter("mix_copies > 0")
+    rows = rated.select("all", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies")).alias("copy"))
+    return rows.select(*(F.col("all").getField(c).alias(c) for c in own), "copy")

@@ -16,7 +16,8 @@ four words has its whole word sequence as its only shingle; a text without words
 
 Result (``link``): ``doc_id``, ``class_id`` (smallest id that links reach, itself if none), ``same_id`` (smallest id
 with the same set), ``n_links`` (documents linked to, copies included). Rows with a null ``doc_id`` are left out; rows
-that repeat an id are one document. An empty table gives an empty result.
+that repeat an id are one document, of which the text with the least digest counts; columns of any name are kept. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.components import components
 from docsift.llm.exchange import keyed
-from docsift.llm.storage import cut
+from docsift.llm.storage import cut, stored
 from docsift.llm.words import Hasher, Texts, list_array, mix, runs_of, signed, slices
 
 SHINGLE = 5
@@ -66,14 +67,14 @@ def shingles(texts: Texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, the digest of its shingle set (d1, d2) and its band hashes; only texts with words."""
+    """``doc_id``, ``v`` (which of its texts), the digest of the shingle set (d1, d2) and the band hashes; only texts with words."""
     seeds = mix(np.arange(bands * rows, dtype=_U64) + _U64(77)) | _U64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = Texts(batch.column("text"))
             first, second, doc = shingles(texts)
-            if not len(doc):
+            if not len(doc):  # texts without words
                 continue
             heads = np.flatnonzero(np.diff(doc, prepend=-1))
             d1 = mix(np.add.reduceat(first, heads))
@@ -84,10 +85,11 @@ def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 band[:, i // rows] = mix(band[:, i // rows] * _U64(31) + (least >> _U64(4)) + _U64(i))
             ids = batch.column("doc_id").to_numpy()[doc[heads]]
             offsets = np.arange(len(heads) + 1) * bands
-            columns = [pa.array(ids), pa.array(signed(d1)), pa.array(signed(d2)), list_array(signed(band.reshape(-1)), offsets)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d1", "d2", "bands"])
+            v = batch.column("v").take(pa.array(doc[heads]))
+            columns = [pa.array(ids), v, pa.array(signed(d1)), pa.array(signed(d2)), list_array(signed(band.reshape(-1)), offsets)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, v long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -179,21 +181,21 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
 def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row for each document: ``doc_id``, ``class_id``, ``same_id``, ``n_links``."""
     bands, rows = choose_bands(threshold, recall)
-    slim = keyed(docs).filter("doc_id is not null")
-    signatures = _signatures(slim, bands, rows)
-    sets = _signatures(slim, 0, rows).drop("bands").groupBy("doc_id").agg(F.min("d1").alias("d1"), F.min("d2").alias("d2"))
+    slim = keyed(docs).filter("doc_id is not null").withColumn("v", F.xxhash64("text"))
+    signatures = stored(_signatures(slim, bands, rows))
+    sets = signatures.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "v")).alias("one")).select("doc_id", "one.*")
     classes = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("same_id"), F.count("*").alias("n_copies"))
-    membership = cut(sets.join(classes, ["d1", "d2"]).select("doc_id", "same_id", "n_copies"))
-    representatives = membership.filter("doc_id = same_id").select("doc_id", "n_copies")
+    membership = cut(sets.join(classes, ["d1", "d2"]).select("doc_id", "v", "same_id", "n_copies"))
+    representatives = membership.filter("doc_id = same_id").select("doc_id", "v", "n_copies")
 
-    probes = signatures.join(representatives.select("doc_id"), "doc_id", "left_semi").select(
+    probes = signatures.join(representatives.select("doc_id", "v"), ["doc_id", "v"], "left_semi").select(
         "doc_id", F.explode("bands").alias("key")
     )
     buckets = probes.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     edges = probes.join(buckets.filter("least != most"), "key").select("doc_id", "least")
     clusters = components(edges, "doc_id", "least").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
-    members = slim.dropDuplicates(["doc_id"]).join(clusters.join(representatives, "doc_id"), "doc_id")
+    members = slim.join(clusters.join(representatives, "doc_id"), ["doc_id", "v"]).dropDuplicates(["doc_id"])
     found = cut(_verify(_sets(members), threshold))
     groups = components(found, "doc_id", "other").select(F.col("node").alias("same_id"), F.col("component").alias("class_id"))
     links = found.groupBy(F.col("doc_id").alias("same_id")).agg(F.sum("n").alias("n"))
@@ -209,5 +211,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents without those that belong to the class of a smaller id; rows with a null ``doc_id`` stay."""
-    later = link(docs, threshold, recall).filter("class_id != doc_id").select(F.col("doc_id").alias("_n_later"))
-    return docs.join(later, docs["doc_id"].cast("long") == F.col("_n_later"), "left_anti")
+    later = link(docs, threshold, recall).filter("class_id != doc_id").select(F.col("doc_id").alias("later"))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))  # so that no name of the caller meets ours
+    left = named.join(later, F.col("d.doc_id").cast("long") == F.col("later"), "left_anti")
+    return left.select(*(F.col("d").getField(c).alias(c) for c in docs.columns))

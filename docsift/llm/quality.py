@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.llm.storage import stored
 from docsift.llm.words import Hasher, Texts, covered, digests, runs_of, slices
 
 WINDOW = 8
@@ -114,24 +115,28 @@ def thresholds(measured: DataFrame, keys: list[str], prefix: str = "") -> DataFr
     return groups.select(*keys, *fences)
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` with ``_q_`` counts, ``_q_base_failed`` and ``_q_kept``; no text is shuffled."""
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", carry: bool = True) -> DataFrame:
+    """``docs`` with ``_q_`` counts, ``_q_base_failed`` and ``_q_kept``, which replace columns of these names.
+
+    Texts are measured once and the counts stored, with all columns of ``docs``, or without the text if not ``carry``.
+    """
+    docs = docs.drop(*(c for c in docs.columns if c.startswith(_PREFIX)))
     measured = measure(docs, text, _PREFIX)
-    slim = measure(docs.select(text, lang, source), text, _PREFIX)
-    limits = thresholds(slim, [lang, source], _PREFIX)
-    limits = limits.select(*(F.col(c).alias(f"{_PREFIX}t_{c}") for c in limits.columns))
-    on = F.col(lang).eqNullSafe(F.col(f"{_PREFIX}t_{lang}")) & F.col(source).eqNullSafe(F.col(f"{_PREFIX}t_{source}"))
+    measured = stored(measured if carry else measured.drop(text))
+    limits = thresholds(measured, [lang, source], _PREFIX)
+    limits = limits.select(*(F.col(f"`{c}`").alias(f"{_PREFIX}t_{c}") for c in limits.columns))
+    on = F.col(f"`{lang}`").eqNullSafe(F.col(f"`{_PREFIX}t_{lang}`")) & F.col(f"`{source}`").eqNullSafe(F.col(f"`{_PREFIX}t_{source}`"))
     inside = F.lit(True)
     for r in RATES:
         inside &= rate(r, _PREFIX) <= F.col(f"{_PREFIX}t_{r}_high")
     inside &= rate("word_length", _PREFIX) >= F.col(f"{_PREFIX}t_word_length_low")
     failed = base_failed(_PREFIX)
     joined = measured.join(limits, on, "left").withColumn(f"{_PREFIX}base_failed", failed)
-    return joined.withColumn(f"{_PREFIX}kept", ~failed & F.coalesce(inside, F.lit(True))).drop(
-        *(c for c in limits.columns)
-    )
+    return joined.withColumn(f"{_PREFIX}kept", ~failed & F.coalesce(inside, F.lit(True))).drop(*limits.columns)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(docs, text, lang, source).filter(f"{_PREFIX}kept").select(docs.columns)
+    own = docs.select(text, lang, source, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    kept = judge(own.select(*(c for c in own.columns if c == "all"), F.col(text).alias("t"), F.col(lang).alias("l"), F.col(source).alias("s")), "t", "l", "s", carry=False)
+    return kept.filter(f"{_PREFIX}kept").select(*(F.col("all").getField(c).alias(c) for c in docs.columns))

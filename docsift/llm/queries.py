@@ -57,7 +57,7 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), carry=False)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 

@@ -16,7 +16,8 @@ Segments of one anchor lie in one task. So the strings of an anchor with more th
 gathered as segments: they are counted one by one, by 128-bit digests, in the packed exchange over all tasks.
 
 Results for odd input: a null or short text has nothing removed; rows with a null ``doc_id`` are returned unchanged and
-repeat nothing; rows that repeat a ``doc_id`` must be equal, and count as repeats of each other. An empty table gives an
+repeat nothing; equal rows count as repeats of each other; of an id with different texts one takes part, and the other rows
+are returned unchanged. Other columns are not read. An empty table gives an
 empty result.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, packed_batches, print_of
+from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, one_text_each, packed_batches, print_of
 from docsift.llm.storage import cut
 from docsift.llm.suffix_array import suffix_array
 from docsift.llm.words import Hasher, Rolling, Texts, covered, digests, mix, runs_of, signed, slices
@@ -322,9 +323,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the remaining bytes)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = keyed(docs)
-    named = slim.filter("doc_id is not null")
+    named, others = one_text_each(slim.filter("doc_id is not null"))
     marked = named.join(repeated_strings(named, parts), "doc_id", "left")
-    nameless = slim.filter("doc_id is null").withColumn("places", F.lit(None).cast("array<long>"))
+    nameless = slim.filter("doc_id is null")
+    nameless = (nameless if others is None else nameless.unionByName(others)).withColumn("places", F.lit(None).cast("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

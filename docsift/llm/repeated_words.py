@@ -12,8 +12,8 @@ smaller ``doc_id``; every word that a repeated window covers is removed. Windows
    ``doc_id`` of each; the windows of all others are repeated. Neighbouring repeated windows join to the maximal repeats.
 
 Results for odd input: a null or short text has nothing removed; rows with a null ``doc_id`` are returned unchanged and
-serve nobody as reference; rows that repeat a ``doc_id`` are taken for copies of one document and treated alike; equal
-texts keep the words of the smallest id. An empty table gives an empty result.
+serve nobody as reference; equal rows are one document and treated alike; of an id with different texts one takes part, and
+the other rows are returned unchanged; equal texts keep the words of the smallest id. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, packed_batches
+from docsift.llm.exchange import PACKED, bucket_of, exchange, keyed, known_rows, one_text_each, packed_batches
 from docsift.llm.words import Hasher, Rolling, Texts, covered, runs_of, slices
 
 WINDOW = 13
@@ -126,9 +126,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept`` (the remaining words, one space between)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = keyed(docs)
-    named = slim.filter("doc_id is not null")
+    named, others = one_text_each(slim.filter("doc_id is not null"))
     marked = named.join(repeated_windows(named, window, parts), "doc_id", "left")
-    nameless = slim.filter("doc_id is null").withColumn("places", F.lit(None).cast("array<long>"))
+    nameless = slim.filter("doc_id is null")
+    nameless = (nameless if others is None else nameless.unionByName(others)).withColumn("places", F.lit(None).cast("array<long>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
