@@ -298,16 +298,24 @@ def _deflate(body: pa.Array) -> pa.Array:
     return pa.array([head.encode() + zlib.compress(b.encode()) for b in body.to_pylist()], pa.binary())
 
 
-def rendered_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One inventory file per ``sphinx`` source; half of the uris abbreviate the name, some names have a space."""
+def rendered_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects of one inventory per ``sphinx`` source; half of the uris abbreviate the name, some names have a space."""
     key = F.col("p_partkey")
     name = F.when(key % 7 == 0, F.col("p_name")).otherwise(camel_name())
     uri = F.concat(F.lit("api/"), key, F.when(key % 2 == 0, F.lit(".html#$")).otherwise(F.lit(".html")))
     role = F.when(F.col("p_size") % 9 == 7, "class").otherwise(_pick(F.col("p_size") % 9, ROLES))
-    line = F.concat(name, F.lit(" "), _pick(key % 4, DOMAINS), F.lit(":"), role, F.lit(" 1 "), uri, F.lit(" -\n"))
     return (
         _rendered_parts(spark, sf_dir)
         .filter("kind = 'sphinx'")
+        .select(F.concat(F.lit("lib"), "src").alias("source"), "site", "p_partkey", name.alias("name"), _pick(key % 4, DOMAINS).alias("domain"), role.alias("role"), uri.alias("uri"))
+    )
+
+
+def rendered_inventories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rendered_objects`` as inventory files."""
+    line = F.concat("name", F.lit(" "), "domain", F.lit(":"), "role", F.lit(" 1 "), "uri", F.lit(" -\n"))
+    return (
+        rendered_objects(spark, sf_dir)
         .groupBy("site")
         .agg(_joined(line, "p_partkey").alias("body"))
         .select(F.concat("site", F.lit("v2/objects.inv")).alias("url"), F.arrow_udf(_deflate, "binary")("body").alias("content"))

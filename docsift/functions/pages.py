@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsift.functions import html as dom
-from docsift.functions.urls import resolve
+from docsift.functions.urls import is_plain, plain_join, resolve
 
 # --- fixed values -----------------------------------------------------------
 MEMBER_HREF = re.compile(r"^#(group__\w+_1\w+)")
@@ -36,7 +36,13 @@ def _rows(html: pa.Array, fields: list[str], extract: Callable[..., Iterator[dic
 
 
 def _link(a: dom.Element, base: str | None) -> dict:
-    return {"href": a.attrs["href"], "text": a.stripped_text(""), "url": resolve(base, a.attrs["href"])}
+    """Plain references are resolved in the JVM (``_resolved``)."""
+    href = a.attrs["href"]
+    return {"href": href, "text": a.stripped_text(""), "url": None if is_plain(base, href) else resolve(base, href)}
+
+
+def _resolved(links: Column, base: Column) -> Column:
+    return F.transform(links, lambda a: F.struct(a["href"].alias("href"), a["text"].alias("text"), F.coalesce(a["url"], plain_join(base, a["href"])).alias("url")))
 
 
 def _link_rows(root: dom.Element, base: str | None) -> Iterator[dict]:
@@ -100,7 +106,7 @@ def _index(html: pa.Array, base: pa.Array) -> pa.Array:
 
 def page_links(html: Column, base: Column) -> Column:
     """Anchors with an href, in document order; ``url`` is the href resolved against ``base``."""
-    return F.arrow_udf(_links, "array<struct<href:string,text:string,url:string>>").asNondeterministic()(html, base)
+    return _resolved(F.arrow_udf(_links, "array<struct<href:string,text:string,url:string>>").asNondeterministic()(html, base), base)
 
 
 def page_members(html: Column) -> Column:
@@ -110,7 +116,7 @@ def page_members(html: Column) -> Column:
 
 def index_links(html: Column, base: Column) -> Column:
     """First anchor of every list item of the index tables, resolved against ``base``."""
-    return F.arrow_udf(_index, "array<struct<href:string,text:string,url:string>>").asNondeterministic()(html, base)
+    return _resolved(F.arrow_udf(_index, "array<struct<href:string,text:string,url:string>>").asNondeterministic()(html, base), base)
 
 
 def _tree(page: str | None, section: str | None, main_only: bool | None) -> dict:

@@ -539,6 +539,8 @@ OBJECTS_OF = f"""objects AS (SELECT source, src, row_number() OVER (PARTITION BY
       {case('p_size % 9', [*ROLES[:7], 'class', 'class'])} AS role, {case('p_partkey % 4', DOMAINS)} AS domain
     FROM typed WHERE doc_type = 'sphinx')"""
 ORACLES["inventory_symbols"] = f'WITH {RENDERED}, {OBJECTS_OF} SELECT source, pos, "group", url, role, domain FROM objects'
+ORACLES["inventory_files"] = f"""WITH {RENDERED}, {OBJECTS_OF}
+  SELECT source, pos, "group", url, role, domain, true AS intact FROM objects WHERE domain IN ('cpp', 'py')"""
 GATHERED = f"""WITH {RENDERED}, {MEMBERS}, {ENTRIES}, {OBJECTS_OF}, gathered AS (
   SELECT source, 'inventory' AS kind, "group", url, role, domain, NULL AS origin, pos FROM objects WHERE src % 10 <> 5
   UNION ALL SELECT source, 'member', "group", url, role, domain, NULL, pos FROM members

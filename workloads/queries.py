@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docsift import adaptors as ad
 from docsift.functions import text as tx
 from docsift.functions.similarity import partial_ratio as partial_ratio_of
-from docsift.functions.urls import without_fragment
+from docsift.functions.urls import plain_join, without_fragment
 from docsift.operators import audit as au
 from docsift.operators.search import (
     best_per_url as best_of,
@@ -401,6 +401,20 @@ def inventory_symbols(spark, sf):
     return found.select("source", "pos", "group", "url", "role", "domain")
 
 
+@register
+def inventory_files(spark, sf):
+    """Inventories written as files to the checkpoint folder, read back with a filter on the domain in the scan."""
+    folder = f"{checkpoint_folder(spark)}/inventories-{uuid4().hex}"
+    objects = ad.rendered_objects(spark, sf)
+    file = F.concat("source", F.lit("/objects.inv"))
+    inventory.write_inventories(objects.select(file.alias("file"), F.col("p_partkey").alias("line_no"), "name", "domain", "role", "uri"), folder)
+    read = inventory.read_inventories(spark, folder).filter(F.col("domain").isin("cpp", "py"))
+    source = F.regexp_extract("url", "/([^/]*)/objects.inv$", 1)
+    base = F.concat(F.lit("https://"), source, F.lit(".example.com/v2/objects.inv"))
+    target = plain_join(base, F.replace("uri", F.lit("$"), F.col("name")))
+    return read.select(source.alias("source"), F.col("line_no").alias("pos"), F.col("name").alias("group"), target.alias("url"), "role", "domain", "intact")
+
+
 def _catalog(spark: SparkSession, sf: str):
     """Catalog of the rendered artifacts, which are written like the tables they stand for."""
     return gather(
