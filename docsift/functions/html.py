@@ -8,8 +8,9 @@ is not shown.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from html.entities import html5
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 # --- fixed values -----------------------------------------------------------
@@ -80,103 +81,96 @@ class Element:
         return separator.join(p for p in pieces if p)
 
 
-class _Builder(HTMLParser):
+#: ("open" | "leaf" | "close" | "text" | "aside" | "section", tag name or text, attributes)
+Token = tuple[str, str, dict[str, str]]
+
+
+class _Tokens(HTMLParser):
+    """What a page consists of, in order. References are read as the standard says; unknown ones lose their semicolon."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
-        self.root = Element("", {}, None)
-        self.open = [self.root]
-        self.counts: dict[str, int] = {}
-        self.buffer: list[str] = []
-        self.closed_void: list[str] = []
-
-    def _flush(self, shown: bool | None = None) -> None:
-        """End the current text node."""
-        if not self.buffer:
-            return
-        data = "".join(self.buffer)
-        self.buffer = []
-        if not data.strip(" \t\n\r\f\v") and not any(self.counts.get(t) for t in PRESERVING_TAGS):
-            data = "\n" if "\n" in data else " "
-        if shown is None:
-            shown = not any(self.counts.get(t) for t in HIDDEN_TEXT_TAGS)
-        self.open[-1].children.append(Text(data, shown))
-
-    def _close(self, tag: str) -> None:
-        self._flush()
-        if not self.counts.get(tag):
-            return
-        while True:
-            node = self.open.pop()
-            self.counts[node.name] -= 1
-            if node.name == tag:
-                return
-
-    def _start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._flush()
-        node = Element(tag, {k: v or "" for k, v in attrs}, self.open[-1])
-        self.open[-1].children.append(node)
-        self.open.append(node)
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+        self.found: list[Token] = []
+
+    def _tag(self, kind: str, name: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.found.append((kind, name, {key: value or "" for key, value in attrs}))
 
     def handle_starttag(self, tag, attrs):
-        self._start(tag, attrs)
-        if tag in VOID_TAGS:
-            self._close(tag)
-            self.closed_void.append(tag)
+        self._tag("leaf" if tag in VOID_TAGS else "open", tag, attrs)
 
     def handle_startendtag(self, tag, attrs):
-        self._start(tag, attrs)
-        self._close(tag)
+        self._tag("leaf", tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in self.closed_void:
-            self.closed_void.remove(tag)
-        else:
-            self._close(tag)
+        self._tag("close", tag, [])
 
     def handle_data(self, data):
-        self.buffer.append(data)
+        self._tag("text", data, [])
 
     def handle_entityref(self, name):
-        self.buffer.append(html5.get(name + ";", "&" + name))
+        known = unescape(f"&{name};")
+        self._tag("text", known.removesuffix(";") if known.startswith("&" + name) else known, [])
 
     def handle_charref(self, name):
-        number = int(name[1:], 16) if name[:1] in "xX" else int(name)
-        text = ""
-        if number < 256:
-            text = bytes([number]).decode("windows-1252", "ignore")
-        if not text:
-            try:
-                text = chr(number)
-            except (ValueError, OverflowError):
-                text = "\N{REPLACEMENT CHARACTER}"
-        self.buffer.append(text)
-
-    def _aside(self, data: str, shown: bool = False) -> None:
-        self._flush()
-        self.buffer.append(data)
-        self._flush(shown)
+        self._tag("text", unescape(f"&#{name};"), [])
 
     def handle_comment(self, data):
-        self._aside(data)
+        self._tag("aside", data, [])
 
-    def handle_decl(self, decl):
-        self._aside(decl[len("DOCTYPE ") :])
+    handle_pi = handle_comment
 
-    def handle_pi(self, data):
-        self._aside(data)
+    def handle_decl(self, decl):
+        self._tag("aside", decl.partition(" ")[2], [])
 
     def unknown_decl(self, data):
-        cdata = data.upper().startswith("CDATA[")
-        self._aside(data[len("CDATA[") :] if cdata else data, shown=cdata)
+        marked, _, rest = data.partition("[")
+        self._tag(*(("section", rest) if marked.upper() == "CDATA" else ("aside", data)), [])
+
+
+def _tokens(page: str) -> list[Token]:
+    parser = _Tokens()
+    parser.feed(page)
+    parser.close()
+    return parser.found
+
+
+def _text(data: str, inside: Counter[str]) -> Text:
+    """A text node: white space alone counts as one sign, but where it is preserved."""
+    blank = not data.strip(" \t\n\r\f\v") and not any(inside[t] for t in PRESERVING_TAGS)
+    return Text(("\n" if "\n" in data else " ") if blank else data, not any(inside[t] for t in HIDDEN_TEXT_TAGS))
+
+
+def _tree(tokens: Iterable[Token]) -> Element:
+    """Tokens on a stack of open elements; every token but text ends the text before it."""
+    path = [Element("", {}, None)]
+    inside: Counter[str] = Counter()
+    pending = ""
+    for kind, value, attrs in [*tokens, ("aside", "", {})]:
+        if kind == "text":
+            pending += value
+            continue
+        if pending:
+            path[-1].children.append(_text(pending, inside))
+            pending = ""
+        if kind in ("open", "leaf"):
+            node = Element(value, attrs, path[-1])
+            path[-1].children.append(node)
+            if kind == "open":
+                path.append(node)
+                inside[value] += 1
+        elif kind == "close":
+            while inside[value]:  # nothing to do if no such element is open
+                name = path.pop().name
+                inside[name] -= 1
+                if name == value:
+                    break
+        else:
+            path[-1].children.append(Text(value, kind == "section"))
+    return path[0]
 
 
 def parse(html: str) -> Element:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
-    builder._flush()
-    return builder.root
+    return _tree(_tokens(html))
 
 
 def links(root: Element) -> Iterator[Element]:

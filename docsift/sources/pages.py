@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from docsift.functions import text as tx
 from docsift.functions.pages import index_links, page_links, page_members
 from docsift.functions.urls import without_fragment
+from docsift.operators import bloom
 from docsift.operators.ranking import first_by
 from docsift.operators.sizing import broadcast_if_small
+from docsift.operators.storage import stored
 
 # --- fixed values -----------------------------------------------------------
 GROUP_MARK = "group__"
@@ -25,14 +27,20 @@ MEMBER_POS_BASE = 1 << 60
 PAGE_POS_STEP = 1 << 30
 
 
-def scan_pages(wanted: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+def scan_pages(wanted: DataFrame, pages: DataFrame, url: str = "url", max_bytes: int | None = None) -> DataFrame:
     """Rows of ``wanted`` with the html of their page; those without one are dropped.
 
-    Few pages are wanted out of many: while the wanted rows measure small they
-    are broadcast, so that no page body is shuffled to find them.
+    Few pages are wanted out of many: while the wanted rows measure small they are broadcast, so that no page body is
+    shuffled to find them. Beyond that a Bloom filter of their addresses, of bounded size, is broadcast instead: only
+    pages that pass it, the wanted ones and about one in a hundred others, move to the exact join.
     """
     fetched = pages.filter(F.col("html").isNotNull()).select(F.col("url").alias(url), "html")
-    return fetched.join(broadcast_if_small(wanted)[0], url)
+    wanted, small = broadcast_if_small(wanted, max_bytes)
+    if not small:
+        n = wanted.select(F.approx_count_distinct(url)).first()[0]
+        addresses = stored(bloom.segments(wanted.select(F.xxhash64(url).alias("h")), "h", n))
+        fetched = bloom.probed(fetched, F.xxhash64(url), addresses, n)
+    return fetched.join(wanted, url)
 
 
 def anchors(pages: DataFrame) -> DataFrame:

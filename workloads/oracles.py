@@ -499,6 +499,7 @@ ORACLES["audit_summary"] = f"{AUDIT} SELECT count(*) AS total, count(*) FILTER (
 # --- extraction -------------------------------------------------------------
 
 ORACLES["page_scan"] = """SELECT page_id, url, length(html) AS size FROM pages WHERE page_id % 4 <> 0 AND page_id % 6 <> 0"""
+ORACLES["page_scan_many"] = """SELECT page_id, url, length(html) AS size FROM pages WHERE page_id % 4 = 2 AND page_id % 6 <> 0"""
 ANCHORS = """found AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1) AS hrefs,
                           regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1) AS texts FROM pages),
   anchors AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*') AS host, CAST(unnest(range(len(hrefs))) AS INT) AS idx,
