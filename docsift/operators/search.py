@@ -16,6 +16,7 @@ from docsift.functions.similarity import partial_ratio
 from docsift.operators.candidates import candidate_pairs, gram_size, may_reach, salts
 from docsift.operators.ranking import first_by
 from docsift.operators.sizing import MAX_BROADCAST_BYTES, broadcast_if_small
+from docsift.operators.storage import stored
 
 # What a result row needs of its symbol.
 _ROW = ["source", "pos", "kind", "group", "url", "role", "domain", "origin"]
@@ -180,8 +181,18 @@ def _profile(targets: DataFrame) -> Row:
     ).first()
 
 
-def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Rows matched by each query of ``query_targets``, one row per query, source and symbol.
+def number_queries(targets: DataFrame) -> DataFrame:
+    """``targets`` with ``q``, a number for each query, by which all matching is keyed; stored, so that it stays the same."""
+    numbers = stored(targets.select("query_id").distinct().select("query_id", F.monotonically_increasing_id().alias("q")))
+    return targets.join(broadcast_if_small(numbers)[0], "query_id")
+
+
+#: What matching carries of a match: fixed-width values only. Names, addresses and labels are fetched for what is left (``widen``).
+NARROW = ["q", "request_ord", "source", "pos", "fuzzy", "g_idx", "score", "tie_pos"]
+
+
+def match_narrow(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The best match of each URL for each query of ``number_queries`` and source, in the columns ``NARROW``.
 
     Queries without keywords match all symbols of their sources, unscored.
     """
@@ -201,52 +212,67 @@ def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_B
     keyed = targets.filter("has_keywords and size(groups) > 0")
     group = F.array_distinct(F.transform("_g", F.lower))
     routes = keyed.select("*", F.posexplode("groups").alias("g_idx", "_g")).select(
-        F.explode(group).alias("term"),
-        F.size(group).alias("n_terms"),
-        F.array_join("_g", ",").alias("label"),
-        *["source", "query_id", "requested", "request_ord", "fuzzy", "wanted", "cut", "g_idx"],
+        group.alias("terms"), *["source", "q", "request_ord", "fuzzy", "wanted", "cut", "g_idx"]
     )
-    terms = routes.groupBy("term").agg(F.min("cut").alias("threshold"))
+    terms = routes.select(F.explode("terms").alias("term"), "cut").groupBy("term").agg(F.min("cut").alias("threshold"))
+    # A group of terms is looked for by its longest one only; the others are then looked up among the terms of the name.
+    longest = F.array_max(F.transform("terms", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    routes = routes.withColumns({"term": longest, "others": F.array_remove("terms", longest)}).drop("terms")
 
     # The list of sources is bounded by the registry and measured by itself.
     asked_sources, _ = broadcast_if_small(keyed.select("source").distinct())
-    in_scope = symbols.select(*_ROW).join(asked_sources, "source", "left_semi")
+    in_scope = symbols.select("source", "pos", "kind", "group", "url", "role", "domain").join(asked_sources, "source", "left_semi")
     # A name is scored once, however many symbols bear it.  The width is fixed because few names become many pairs:
     # merging partitions by the size of this stage's input would leave them to a few tasks.  No name comes twice here.
     width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = in_scope.select("group").filter("`group` is not null").distinct().repartition(width, "group")
     scored = score_terms(names, terms, gram_sizes=profile["gram_sizes"], lowest=profile["lowest"], small=small)
-    hits = meet(in_scope.join(scored, "group"), routes, ["term", "source"]).filter(
-        (F.col("base") >= F.col("cut"))
-        & tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))
+    # All terms of a name in one row: at most the terms that pass their threshold for it.
+    known = scored.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("term", "base"))).alias("known"))
+    found = in_scope.join(known, "group")
+    # An address is known by the position of its first matching row in the source; a row without one by its own.
+    firsts = found.filter("url is not null").groupBy("source", "url").agg(F.min("pos").alias("_first_pos"))
+    # Again of fixed width: few rows become many matches.
+    found = found.join(firsts, ["source", "url"], "left").select(
+        "source", "pos", "kind", "domain", "known", F.coalesce("_first_pos", "pos").alias("address"), tx.role_adjust(F.col("role")).alias("bonus")
     )
-    matched = (
-        hits.groupBy("query_id", "requested", "request_ord", "fuzzy", "g_idx", "n_terms", "label", *_ROW)
-        .agg(F.min("base").alias("_base"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") == F.col("n_terms"))
-        .withColumns(
-            {
-                "score": F.when(F.col("fuzzy"), tx.ranked_score(F.col("_base"), tx.role_adjust(F.col("role")))),
-                "matched_keyword": F.when(F.col("fuzzy"), F.col("label")),
-            }
-        )
-        .drop("_base", "_n", "n_terms", "label")
+    found = found.repartition(width, "source", "pos").select("*", F.explode("known").alias("term", "base"))
+    inside = (F.col("base") >= F.col("cut")) & tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))
+    rest = F.array_min(F.transform("others", lambda t: F.coalesce(F.try_element_at("known", t), F.lit(-1.0))))
+    hits = meet(found, routes, ["term", "source"]).filter(inside)
+    hits = hits.withColumn("_base", F.when(F.size("others") == 0, F.col("base")).otherwise(F.least("base", rest)))
+    score = F.when(F.col("fuzzy"), tx.ranked_score(F.col("_base"), F.col("bonus")))
+    matched = hits.filter(F.col("_base") >= F.col("cut")).select(
+        "q", "request_ord", "source", "fuzzy", "g_idx", "pos", "address", score.alias("score")
+    )
+    # Fuzzy: the best score wins, then the earliest row and OR-group, and the address ranks at its first row even when a
+    # later one won. Boolean: the first OR-group wins, then the earliest row.
+    order = F.when(F.col("fuzzy"), -F.col("score")).otherwise(F.col("g_idx").cast("double"))
+    best = matched.groupBy("q", "request_ord", "source", "fuzzy", "address").agg(
+        F.min(F.struct(order.alias("order"), "pos", "g_idx", "score")).alias("_b"), F.min("pos").alias("_first")
     )
-    best = best_per_url(matched, ["query_id", "request_ord"], F.col("fuzzy"))
+    tie = F.when(F.col("fuzzy"), F.col("_first")).otherwise(F.col("_b.pos"))
+    best = best.select("q", "request_ord", "source", F.col("_b.pos").alias("pos"), "fuzzy", F.col("_b.g_idx").alias("g_idx"), F.col("_b.score").alias("score"), tie.alias("tie_pos"))
     if not profile["any_blank"]:
         return best
-    blank = targets.filter("not has_keywords").select("query_id", "source", "requested", "request_ord", "wanted")
-    listed = (
-        meet(symbols.select(*_ROW), blank, ["source"])
-        .filter(tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted")))
-        .withColumns(
-            {
-                "fuzzy": F.lit(False),
-                "g_idx": F.lit(0),
-                "score": F.lit(None).cast("double"),
-                "matched_keyword": F.lit(None).cast("string"),
-                "tie_pos": F.col("pos"),
-            }
-        )
+    blank = targets.filter("not has_keywords").select("q", "source", "request_ord", "wanted")
+    listed = meet(symbols.select("source", "pos", "kind", "domain"), blank, ["source"]).filter(
+        tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))
     )
-    return best.unionByName(listed.select(*best.columns))
+    constants = {"fuzzy": F.lit(False), "g_idx": F.lit(0), "score": F.lit(None).cast("double"), "tie_pos": F.col("pos")}
+    return best.unionByName(listed.withColumns(constants).select(*NARROW))
+
+
+def widen(matches: DataFrame, symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Narrow matches with the rest of their symbols and queries, and ``matched_keyword``."""
+    asked = targets.select("q", "request_ord", "query_id", "requested", "groups")
+    asked = broadcast_if_small(asked, max_bytes)[0]
+    label = F.when(F.col("score").isNotNull(), F.array_join(F.get("groups", F.col("g_idx")), ","))
+    out = matches.join(asked, ["q", "request_ord"]).withColumn("matched_keyword", label).drop("groups", "q")
+    return out.join(symbols.select(*_ROW), ["source", "pos"])
+
+
+def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Rows matched by each query of ``query_targets``, one row per query, source and address, with all columns."""
+    numbered = number_queries(targets)
+    return widen(match_narrow(symbols, numbered, max_bytes), symbols, numbered, max_bytes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -10,10 +12,13 @@ from docsift.operators.ranking import add_rank, first_by
 from docsift.operators.search import (
     best_per_url,
     match_keywords,
-    match_queries,
+    match_narrow,
+    number_queries,
     query_targets,
     split_keywords,
+    widen,
 )
+from docsift.operators.sizing import broadcast_if_small
 from docsift.operators.stats import total_found
 from docsift.operators.storage import stored
 from docsift.sources.registry import canonical_requests
@@ -113,48 +118,62 @@ def batch_targets(queries: DataFrame, requests: DataFrame, sources: DataFrame) -
     return stored(query_targets(queries, canonical_requests(requests, sources)))
 
 
-def rank_matches(matches: DataFrame, targets: DataFrame) -> DataFrame:
-    """Results in rank order per query, cut at each query's ``max_results``.
+def _rank(matches: DataFrame, targets: DataFrame, by: str) -> DataFrame:
+    """``matches`` with ``rank``, cut at each query's ``max_results``.
 
-    Fuzzy: score, then request order.  Otherwise sources follow one another.
+    Fuzzy: score, then request order.  Otherwise sources follow one another.  Queries with a limit of their own are ranked
+    from the limit's rows of each task, whatever queries without one stand beside them; only the latter are numbered whole.
     """
     ordered = matches.withColumns(
         {
-            "source": F.col("requested"),
             "k1": F.when(F.col("fuzzy"), -F.col("score")).otherwise(F.col("request_ord").cast("double")),
             "k2": F.when(F.col("fuzzy"), F.col("request_ord")).otherwise(F.col("g_idx")),
         }
     )
-    bounds = targets.agg(
-        F.max("max_results").alias("most"), F.max(F.col("max_results").isNull()).alias("open")
-    ).first()
-    limit = bounds["most"] if bounds["open"] is False else None
-    ranked = add_rank(ordered, ["query_id"], ["k1", "k2"], "tie_pos", limit)
+    limits = targets.select(by, "max_results").distinct()
+    bounds = limits.agg(F.max("max_results").alias("most"), F.max(F.col("max_results").isNull()).alias("open")).first()
+    parts = []
     if bounds["most"] is not None:
-        limits = targets.select("query_id", "max_results").distinct()
-        ranked = ranked.join(limits, "query_id").filter(
-            F.col("max_results").isNull() | (F.col("rank") <= F.col("max_results"))
-        )
+        own = broadcast_if_small(limits.filter("max_results is not null"))[0]
+        first = add_rank(ordered.join(own, by), [by], ["k1", "k2"], "tie_pos", bounds["most"])
+        parts.append(first.filter(F.col("rank") <= F.col("max_results")).drop("max_results"))
+    if bounds["open"] or not parts:
+        rest = broadcast_if_small(limits.filter("max_results is null").select(by))[0]
+        parts.append(add_rank(ordered.join(rest, by, "left_semi") if parts else ordered, [by], ["k1", "k2"], "tie_pos"))
+    return reduce(DataFrame.unionByName, parts).drop("k1", "k2")
+
+
+def rank_matches(matches: DataFrame, targets: DataFrame) -> DataFrame:
+    """Results of ``match_queries`` in rank order per query, cut at each query's ``max_results``."""
+    ranked = _rank(matches, targets, "query_id").withColumn("source", F.col("requested"))
+    return ranked.select("query_id", *RESULT_COLUMNS)
+
+
+def _ranked_batch(symbols: DataFrame, narrow: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Ranks narrow matches and fetches what a result shows for those that are left."""
+    ranked = widen(_rank(narrow, numbered, "q"), symbols, numbered).withColumn("source", F.col("requested"))
     return ranked.select("query_id", *RESULT_COLUMNS)
 
 
 def search_batch(symbols: DataFrame, sources: DataFrame, queries: DataFrame, requests: DataFrame) -> DataFrame:
     """Ranked results of a table of queries, each over its requested sources."""
-    targets = batch_targets(queries, requests, sources)
-    return rank_matches(match_queries(symbols, targets), targets)
+    numbered = number_queries(batch_targets(queries, requests, sources))
+    return _ranked_batch(symbols, stored(match_narrow(symbols, numbered)), numbered)
 
 
 def search_and_count(
     symbols: DataFrame, sources: DataFrame, queries: DataFrame, requests: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Ranked results and counts of one match, which is stored for both."""
-    targets = batch_targets(queries, requests, sources)
-    matches = stored(match_queries(symbols, targets))
-    return rank_matches(matches, targets), count_matches(symbols, matches, targets)
+    numbered = number_queries(batch_targets(queries, requests, sources))
+    narrow = stored(match_narrow(symbols, numbered))
+    return _ranked_batch(symbols, narrow, numbered), count_matches(symbols, narrow, numbered)
 
 
 def count_matches(symbols: DataFrame, matches: DataFrame, targets: DataFrame) -> DataFrame:
     """Per query the matches before the limit, and per requested source the rows searched."""
+    if "q" in matches.columns:
+        matches = matches.join(targets.select("q", "query_id").distinct(), "q")
     matched = matches.groupBy("query_id").agg(F.count(F.lit(1)).alias("filtered_count"))
     return (
         total_found(symbols, targets)
@@ -171,5 +190,5 @@ def count_matches(symbols: DataFrame, matches: DataFrame, targets: DataFrame) ->
 
 def search_counts(symbols: DataFrame, sources: DataFrame, queries: DataFrame, requests: DataFrame) -> DataFrame:
     """``count_matches`` of a table of queries."""
-    targets = batch_targets(queries, requests, sources)
-    return count_matches(symbols, match_queries(symbols, targets), targets)
+    numbered = number_queries(batch_targets(queries, requests, sources))
+    return count_matches(symbols, match_narrow(symbols, numbered), numbered)
