@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.operators.stats import domain_stats
@@ -30,9 +30,28 @@ def tsv_rows(results: DataFrame) -> DataFrame:
     return results.withColumn("line", F.when(F.col("score").isNull(), plain).otherwise(scored))
 
 
+def _write_lines(rows: DataFrame, path: str, order: list[str]) -> None:
+    """``line`` as text files, one for each range of the order, sorted inside; the files' names follow the ranges."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    dealt.select("line").write.text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line) of files written by ``write_tsv`` and ``write_json``: the lines and their places, from 1, over all files."""
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    part = F.regexp_extract("file", "part-([0-9]+)", 1).cast("int")
+    lines = files.select(part.alias("part"), F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("i", "line"))
+    # one row for each file
+    offsets = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n_lines"))
+    before = F.sum("n_lines").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = offsets.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.join(offsets, "part").select((F.col("before") + F.col("i") + 1).alias("n"), "line")
+
+
 def write_tsv(results: DataFrame, path: str, order: list[str]) -> None:
     """Lines in the given order, as text files."""
-    tsv_rows(results).orderBy(*order).select("line").write.text(path)
+    _write_lines(tsv_rows(results), path, order)
 
 
 def placeholder_rows(status: DataFrame) -> DataFrame:
@@ -122,4 +141,4 @@ def stats_envelopes(symbols: DataFrame, sources: DataFrame, status: DataFrame) -
 
 def write_json(lines: DataFrame, path: str) -> None:
     """One JSON line per row, as text files, the head of each query before its candidates."""
-    lines.orderBy("query_id", "rank").select("line").write.text(path)
+    _write_lines(lines, path, ["query_id", "rank"])

@@ -646,3 +646,14 @@ ORACLES["export_tsv_rows"] = (
     )
     + ")"
 )
+
+# --- files written and read back ---------------------------------------------
+
+ORACLES["export_tsv_files"] = f"SELECT CAST(rank AS BIGINT) AS n, line FROM ({ORACLES['export_tsv_rows']}) WHERE source = 'lib_1'"
+ORACLES["export_json_files"] = f"SELECT row_number() OVER (ORDER BY query_id, rank) AS n, line FROM ({ORACLES['export_json_envelope']})"
+
+# --- whole tables where an older query takes a part -----------------------------
+
+ORACLES["fuzzy_search_below_60"] = batch("50.0", "CASE WHEN w1 = 'cold' THEN 7 END") + BATCH_ROWS
+_ASKED = "(request_ord = 0 OR query_id NOT LIKE '%bolt')"
+ORACLES["export_json_whole"] = ORACLES["export_json_envelope"].replace(batch("88.0", "4", "true", _ASKED), batch("88.0", "NULL", "true", _ASKED), 1)

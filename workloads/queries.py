@@ -413,7 +413,7 @@ def inventory_symbols(spark, sf):
 @register
 def inventory_files(spark, sf):
     """Inventories written as files to the checkpoint folder, read back with a filter on the domain in the scan."""
-    folder = f"{checkpoint_folder(spark)}/inventories-{uuid4().hex}"
+    folder = _folder(spark, "inventories")
     objects = ad.rendered_objects(spark, sf)
     file = F.concat("source", F.lit("/objects.inv"))
     inventory.write_inventories(objects.select(file.alias("file"), F.col("p_partkey").alias("line_no"), "name", "domain", "role", "uri"), folder)
@@ -607,6 +607,42 @@ def export_json_envelope(spark, sf):
     return export.json_lines(found, counts, queries)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@register
+def fuzzy_search_below_60(spark, sf):
+    """Every query of the batch at a threshold of 50, where candidates share single characters only."""
+    queries = ad.query_batch(spark, sf).withColumn("threshold", F.lit(50.0))
+    return _scored(search_batch(ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf), queries, ad.batch_requests(queries)))
+
+
+@register
+def export_json_whole(spark, sf):
+    """The export of all results of the batch, without a limit."""
+    queries = ad.query_batch(spark, sf).withColumns({"threshold": F.lit(88.0), "max_results": F.lit(None).cast("int")})
+    requests = ad.batch_requests(queries).filter("request_ord = 0 or query_id not like '%bolt'")
+    found, counts = search_and_count(ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf), queries, requests)
+    return export.json_lines(found, counts, queries)
+
+
+@register
+def export_tsv_files(spark, sf):
+    """A result written as TSV files, and their lines with their places."""
+    folder = _folder(spark, "tsv")
+    export.write_tsv(search(ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf), ["lib_1"], "red", True, 83.0), folder, ["rank"])
+    return export.read_lines(spark, folder)
+
+
+@register
+def export_json_files(spark, sf):
+    """The export of a batch of queries written as files of JSON lines, and their lines with their places."""
+    folder = _folder(spark, "json")
+    export.write_json(export_json_envelope(spark, sf), folder)
+    return export.read_lines(spark, folder)
+
+
 def _gathered(spark: SparkSession, sf: str):
     """The gathered catalog with its symbols stored, and the queries and requests put to it."""
     catalog, sources = _catalog(spark, sf), stored(ad.rendered_sources(spark, sf))
