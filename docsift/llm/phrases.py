@@ -8,9 +8,10 @@ times or more. As no phrase occurs more often than a part of it, the frequent on
    lowered support are proposed. They hold all their own parts.
 2. Full pass. Every word, and every phrase whose first and last words but one are both proposed, is counted over all
    documents: that is, the proposed phrases and their whole negative border, as far as it occurs.
-3. Expansion. A border phrase that turns out frequent is a failure of the sample: its extensions were not counted. Passes
-   over all documents count the phrases of which a part has failed, until no failure is left. They end after
-   ``LONGEST`` - 1 passes at most, since each looks at longer phrases only.
+3. Expansion. A border phrase that turns out frequent is a failure of the sample: its extensions were not counted. A pass
+   over all documents counts every phrase that holds a failed one and whose other parts were proposed, up to the full
+   length at once. A frequent phrase that the full pass left out holds a failed one (the shortest of its parts that was not
+   proposed is frequent, so it was counted and failed), so nothing is left to expand after it.
 
 So the result does not depend on the sample. Proposed phrases are known to tasks as a Bloom filter of bounded size
 (``operators/bloom.py``); a phrase that it lets through by mistake is only counted for nothing. Counting is by the phrases
@@ -113,14 +114,15 @@ class Pieces:
     def counted(self, filters: list[np.ndarray] | None, failed: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(words, first place, occurrences) of the phrases to count, by number of words.
 
-        Without ``filters`` all phrases; else those whose parts are in one of them; with ``failed``, only those of more
-        than one word with a part that is in that filter alone.
+        Without ``filters`` all phrases; else those whose parts are in one of them; with ``failed``, only those that hold a
+        phrase of that filter, and whose parts hold one too or are in the others.
         """
         if not self.n:
             return
         key = self.word * len(self.langs) + self.lang
         places = np.arange(self.n)
         hashes = self.word_hash ^ self.lang_hash
+        keep = np.zeros(self.n, bool)  # places where the phrase to count holds a failed one
         for k in range(1, LONGEST + 1):
             ids, values = _codes(pa.array(key))
             first = np.empty(len(values), np.int64)
@@ -132,7 +134,6 @@ class Pieces:
             for table in filters or []:
                 good |= bloom.contains(table, hashes)
             new = np.zeros(len(values), bool) if failed is None else bloom.contains(failed, hashes) & ~good
-            good |= new
             if failed is None:
                 yield k, first[sent], n[sent]
             elif k > 1 and keep.any():
@@ -144,9 +145,9 @@ class Pieces:
                 return
             # number of the phrase of k words at each place, -1 where it is not extended
             number = np.full(self.n + 1, -1, np.int64)
-            number[places] = np.where(good[ids], ids, -1)
             fresh = np.zeros(self.n + 1, bool)
-            fresh[places] = new[ids]
+            fresh[places] = new[ids] | keep
+            number[places] = np.where(good[ids] | fresh[places], ids, -1)
             both = (number[places] >= 0) & (number[places + 1] >= 0) & (places + k < self.n)
             places = places[both]
             places = places[self.piece[places] == self.piece[places + k]]
@@ -217,14 +218,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, sample: int = SAMP
     filters = [_filter(proposed)]
     frequent = (F.col("f") >= support) | (F.col("k") == 0)
     found = [stored(_count(slim, filters).filter(frequent))]
-    while True:
-        failures = _missing(found[-1].filter(extended), filters)
-        n = failures.count()
-        if not n:
-            break
-        failed = bloom.build(failures, "h", n)
-        found.append(stored(_count(slim, filters, failed).filter(frequent)))
-        filters.append(failed)
+    failures = stored(_missing(found[0].filter(extended), filters))
+    n = failures.count()
+    if n:
+        found.append(stored(_count(slim, filters, bloom.build(failures, "h", n)).filter(frequent)))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
