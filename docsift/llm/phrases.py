@@ -48,8 +48,8 @@ SAMPLE = 8
 ABSORBED = 80
 MOST = 2000
 UNKNOWN = "und"
-SLICE_BYTES = 4 << 20  # text that is counted at once; one longer document is counted alone
-OUT_BYTES = 8 << 20  # text of phrases in one batch
+SLICE_BYTES = 3 << 20  # text that is counted at once; one longer document is counted alone
+OUT_BYTES = 2 << 20  # text of phrases in one batch
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
