@@ -48,8 +48,8 @@ SAMPLE = 8
 ABSORBED = 80
 MOST = 2000
 UNKNOWN = "und"
-SLICE_BYTES = 3 << 20  # text that is counted at once; one longer document is counted alone
-OUT_BYTES = 2 << 20  # text of phrases in one batch
+SLICE_BYTES = 2 << 20  # text that is counted at once; one longer document is counted alone
+OUT_BYTES = 1 << 20  # text of phrases in one batch
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -179,6 +179,8 @@ def _count(docs: DataFrame, filters: list[np.ndarray] | None = None, failed: np.
                     high = max(low + 1, int(np.searchsorted(size, done + OUT_BYTES, "right")))
                     yield rows(pieces.lang[places[low:high]], pieces.texts(places[low:high], k), n[low:high])
                     low = high
+            del pieces
+            pa.default_memory_pool().release_unused()
 
     sent = docs.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
     spaces = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
