@@ -179,7 +179,7 @@ def _count(docs: DataFrame, filters: list[np.ndarray] | None = None, failed: np.
                     high = max(low + 1, int(np.searchsorted(size, done + OUT_BYTES, "right")))
                     yield rows(pieces.lang[places[low:high]], pieces.texts(places[low:high], k), n[low:high])
                     low = high
-            del pieces
+            del pieces, rows
             pa.default_memory_pool().release_unused()
 
     sent = docs.mapInArrow(run, "lang string, phrase string, f long").repartition("lang", "phrase")
