@@ -1,7 +1,7 @@
 """Symbols and links extracted from crawled pages.
 
-Every function reads a ``pages`` relation (url, html) keyed by URL; a page that
-was not fetched has no row or a NULL html and contributes nothing.
+Every function reads a ``pages`` relation (url, html); a page that was not
+fetched has no row or a NULL html and contributes nothing.
 """
 
 from __future__ import annotations
@@ -27,20 +27,31 @@ MEMBER_POS_BASE = 1 << 60
 PAGE_POS_STEP = 1 << 30
 
 
-def scan_pages(wanted: DataFrame, pages: DataFrame, url: str = "url", max_bytes: int | None = None) -> DataFrame:
-    """Rows of ``wanted`` with the html of their page; those without one are dropped.
+def scan_pages(
+    wanted: DataFrame, pages: DataFrame, url: str = "url", max_bytes: int | None = None, version: str | None = None
+) -> DataFrame:
+    """Rows of ``wanted`` with the html of their page, each at most once; those without one are dropped.
+
+    A crawl may hold an address several times. ``version`` names the column of both relations that then tells its pages
+    apart, and a wanted row gets the page it names. Without it the least html of the address counts.
 
-    Few pages are wanted out of many: while the wanted rows measure small they are broadcast, so that no page body is
-    shuffled to find them. Beyond that a Bloom filter of their addresses, of bounded size, is broadcast instead: only
-    pages that pass it, the wanted ones and about one in a hundred others, move to the exact join.
+    Few pages are wanted out of many: while the wanted rows measure small they are broadcast, so that no body of another
+    page is shuffled to find them. Beyond that a Bloom filter of their addresses, of bounded size, is broadcast instead:
+    only pages that pass it, the wanted ones and about one in a hundred others, move to the exact join.
     """
-    fetched = pages.filter(F.col("html").isNotNull()).select(F.col("url").alias(url), "html")
+    keys = [url] if version is None else [url, version]
+    columns = [F.col("url").alias(url), *keys[1:], "html"]
+    fetched = pages.filter(F.col("html").isNotNull()).select(*columns)
     wanted, small = broadcast_if_small(wanted, max_bytes)
     if not small:
         n = wanted.select(F.approx_count_distinct(url)).first()[0]
         addresses = stored(bloom.segments(wanted.select(F.xxhash64(url).alias("h")), "h", n))
         fetched = bloom.probed(fetched, F.xxhash64(url), addresses, n)
-    return fetched.join(wanted, url)
+    if version is None:
+        if small:
+            fetched = fetched.join(F.broadcast(wanted.select(url)), url, "left_semi")
+        fetched = fetched.groupBy(url).agg(F.min("html").alias("html"))
+    return fetched.join(wanted, keys)
 
 
 def anchors(pages: DataFrame) -> DataFrame:

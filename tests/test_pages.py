@@ -6,6 +6,7 @@ from docsift.schemas import CRAWL_LOG
 from docsift.sources import pages as pg
 from test_inventory import packed
 from test_registry import make
+from workloads import queries
 
 #: text after the name of an entry, and the domain and role that it stands for (None: no entry)
 KINDS = [(" (C++ function)", "cpp", "function"), (" (C type)", "c", "type"), ("<b>x</b> (C++ class)", None, None), (" (C++ enumerator)", "cpp", "enumerator"),
@@ -157,3 +158,25 @@ def test_a_page_is_parsed_once(spark, pages):
     index = pages.selectExpr("'s' AS source", "0 AS source_ord", "url AS index_url", "url AS index_page_url", "html")
     for df in (pg.group_links(index), pg.index_symbols(index), pg.anchors(pages)):
         assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("max_bytes", [None, 0])
+def test_an_address_with_several_pages(spark, max_bytes):
+    """No wanted row is multiplied, and one that names a page gets that page."""
+    rows = [(1, "u", "longer"), (2, "u", "body"), (3, "u", None), (4, "v", "v"), (5, "u", "body"), (6, "x", "x")]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    wanted = spark.createDataFrame([(1, "u"), (2, "u"), (3, "u"), (4, "v"), (7, "w"), (8, None)], "page_id int, url string")
+    named = pg.scan_pages(wanted, pages, max_bytes=max_bytes, version="page_id")
+    assert sorted((r["page_id"], r["html"]) for r in named.collect()) == [(1, "longer"), (2, "body"), (4, "v")]
+    least = pg.scan_pages(wanted, pages, max_bytes=max_bytes)
+    assert sorted((r["page_id"], r["html"]) for r in least.collect()) == [(1, "body"), (2, "body"), (3, "body"), (4, "v")]
+
+
+@pytest.mark.parametrize("name", ["page_scan"])
+def test_page_scan_of_addresses_fetched_twice(spark, tmp_path, name):
+    """Rows 2 apart or 3 apart share an address, so that fetched, failed and unwanted pages meet under one."""
+    rows = [(i, f"http://h/{i // 6}/{i % (2 + i // 24)}", "x" * (i + 1)) for i in range(48)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r["page_id"], r["size"]) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()]
+    kept = [i for i in range(48) if i % 6 and (i % 4 if name == "page_scan" else i % 4 == 2)]
+    assert sorted(got) == [(i, i + 1) for i in kept]

@@ -327,9 +327,9 @@ def _crawled_index(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def page_scan(spark, sf):
     pages = ad.table(spark, sf, "pages")
-    failed = pages.select("url", F.when(F.col("page_id") % 4 != 0, F.col("html")).alias("html"))
+    failed = pages.select("page_id", "url", F.when(F.col("page_id") % 4 != 0, F.col("html")).alias("html"))
     wanted = pages.select("page_id", F.when(F.col("page_id") % 6 == 0, F.concat("url", F.lit("?gone"))).otherwise(F.col("url")).alias("url"))
-    return pg.scan_pages(wanted, failed).select("page_id", "url", F.length("html").alias("size"))
+    return pg.scan_pages(wanted, failed, version="page_id").select("page_id", "url", F.length("html").alias("size"))
 
 
 @register
