@@ -172,7 +172,7 @@ def test_an_address_with_several_pages(spark, max_bytes):
     assert sorted((r["page_id"], r["html"]) for r in least.collect()) == [(1, "body"), (2, "body"), (3, "body"), (4, "v")]
 
 
-@pytest.mark.parametrize("name", ["page_scan"])
+@pytest.mark.parametrize("name", ["page_scan", "page_scan_many"])
 def test_page_scan_of_addresses_fetched_twice(spark, tmp_path, name):
     """Rows 2 apart or 3 apart share an address, so that fetched, failed and unwanted pages meet under one."""
     rows = [(i, f"http://h/{i // 6}/{i % (2 + i // 24)}", "x" * (i + 1)) for i in range(48)]

@@ -336,9 +336,9 @@ def page_scan(spark, sf):
 def page_scan_many(spark, sf):
     """The same where the wanted addresses are too many to broadcast: page bodies pass a Bloom filter before they move."""
     pages = ad.table(spark, sf, "pages")
-    failed = pages.select("url", F.when(F.col("page_id") % 4 != 0, F.col("html")).alias("html"))
+    failed = pages.select("page_id", "url", F.when(F.col("page_id") % 4 != 0, F.col("html")).alias("html"))
     gone = F.when(F.col("page_id") % 6 == 0, F.concat("url", F.lit("?gone"))).when(F.col("page_id") % 2 == 0, F.col("url"))
-    return pg.scan_pages(pages.select("page_id", gone.alias("url")), failed, max_bytes=0).select("page_id", "url", F.length("html").alias("size"))
+    return pg.scan_pages(pages.select("page_id", gone.alias("url")), failed, max_bytes=0, version="page_id").select("page_id", "url", F.length("html").alias("size"))
 
 
 @register
