@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.operators.sizing import broadcast_if_small
+from docsift.operators.storage import stored
+
 # Rows of one (group, order) are sorted in blocks of this many positions.
 POS_BLOCK_BITS = 20
 # Offsets of blocks are summed in spans of this many blocks; a span holds a thousand pages.
@@ -36,6 +39,7 @@ def add_rank(
     pos: str,
     limit: int | None = None,
     block_bits: int = POS_BLOCK_BITS,
+    reread: bool = False,
 ) -> DataFrame:
     """Number the rows of each ``by`` group 1, 2, ... by ``order`` and then ``pos``.
 
@@ -45,6 +49,10 @@ def add_rank(
     block give each block its offset, and only a block is ever sorted in one
     task.  Block borders depend on the values alone, so a retried task gets the
     same ranks.
+
+    ``reread`` says that ``df`` is cheap to read twice, like a stored relation: the
+    offsets are then stored and, while they measure small, numbered and broadcast,
+    so that rows move with one number instead of the columns that it stands for.
     """
     if limit is not None:
         window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order, pos)
@@ -69,11 +77,15 @@ def add_rank(
     spans = spans.select(*wide, sum_before(wide[: len(by)], wide[len(by) :]).alias("_before_span"))
     offsets = blocks.withColumn("_before_block", sum_before(wide, ["_block"])).join(spans, wide)
     offsets = offsets.select(*keys, (F.col("_before_span") + F.col("_before_block")).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy(pos)
+    cell = keys
+    if reread:
+        offsets, few = broadcast_if_small(stored(offsets.withColumn("_cell", F.monotonically_increasing_id())))
+        cell = ["_cell"] if few else keys
+    inside = Window.partitionBy(*cell).orderBy(pos)
     return (
         cut.join(offsets, keys)
         .withColumn("rank", (F.col("_before") + F.row_number().over(inside)).cast("int"))
-        .drop("_before", *keys)
+        .drop("_before", "_cell", *keys)
     )
 
 

@@ -18,6 +18,11 @@ from docsift.operators.ranking import first_by
 from docsift.operators.sizing import MAX_BROADCAST_BYTES, broadcast_if_small
 from docsift.operators.storage import stored
 
+# Rows of an address beyond which its matches meet by map-side merging, not in one task.
+CROWD = 1000
+# (query, source) pairs whose matches of a name may share one packed row.
+PACK = 1024
+
 # What a result row needs of its symbol.
 _ROW = ["source", "pos", "kind", "group", "url", "role", "domain", "origin"]
 
@@ -178,6 +183,7 @@ def _profile(targets: DataFrame) -> Row:
         ).alias("gram_sizes"),
         F.coalesce(F.min("cut"), F.lit(100.0)).alias("lowest"),
         F.coalesce(F.max(~F.col("has_keywords")), F.lit(False)).alias("any_blank"),
+        F.ceil(F.count(F.lit(1)) / PACK).alias("packs"),
     ).first()
 
 
@@ -188,7 +194,23 @@ def number_queries(targets: DataFrame) -> DataFrame:
 
 
 #: What matching carries of a match: fixed-width values only. Names, addresses and labels are fetched for what is left (``widen``).
-NARROW = ["q", "request_ord", "source", "pos", "fuzzy", "g_idx", "score", "tie_pos"]
+NARROW = ["q", "request_ord", "pos", "fuzzy", "g_idx", "score", "tie_pos"]
+
+
+def _packed(hits: DataFrame, packs: int) -> DataFrame:
+    """What asks for a name (``group``) in a source, in rows of bounded size: ``hits`` (q, request_ord, wanted, g_idx, base).
+
+    ``base`` is null for boolean queries. An OR-group is left out if an earlier one of its query has the name with no lower
+    base: whatever the bonus of a row, it cannot win.
+    """
+    pack = F.pmod(F.xxhash64("q"), F.lit(max(1, packs))).alias("pack")
+    groups = hits.groupBy("source", "group", "q", "request_ord").agg(
+        F.collect_list(F.struct("g_idx", F.when(F.col("fuzzy"), F.col("_base")).alias("base"))).alias("_gs"), F.any_value("wanted").alias("wanted")
+    )
+    worse = lambda a, b: (b["g_idx"] < a["g_idx"]) & (F.coalesce(b["base"], F.lit(0.0)) >= F.coalesce(a["base"], F.lit(0.0)))
+    kept = F.filter("_gs", lambda a: ~F.exists("_gs", lambda b: worse(a, b)))
+    rows = groups.select("source", "group", "q", "request_ord", "wanted", F.inline(kept))
+    return rows.groupBy("source", "group", pack).agg(F.collect_list(F.struct("q", "request_ord", "wanted", "g_idx", "base")).alias("hits")).drop("pack")
 
 
 def match_narrow(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -200,12 +222,12 @@ def match_narrow(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BR
     # The query side is broadcast only while its measured size is small; beyond that the joins shuffle.
     small = max(profile["route_bytes"], profile["token_bytes"]) <= max_bytes
 
-    def meet(rows: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
-        """The symbol rows with what asks for them; a source may hold most symbols, so shuffled keys are salted."""
+    def meet(rows: DataFrame, asked: DataFrame, keys: list[str], salt: list[str]) -> DataFrame:
+        """The rows with what asks for them; a source may hold most symbols, so shuffled keys are salted."""
         if small:
             return rows.join(F.broadcast(asked), keys)
         n = salts(rows.sparkSession)
-        spread = rows.withColumn("_salt", F.pmod(F.xxhash64("source", "pos"), F.lit(n)).cast("int"))
+        spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(n)).cast("int"))
         copies = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
@@ -225,38 +247,65 @@ def match_narrow(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BR
     # A name is scored once, however many symbols bear it.  The width is fixed because few names become many pairs:
     # merging partitions by the size of this stage's input would leave them to a few tasks.  No name comes twice here.
     width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = in_scope.select("group").filter("`group` is not null").distinct().repartition(width, "group")
-    scored = score_terms(names, terms, gram_sizes=profile["gram_sizes"], lowest=profile["lowest"], small=small)
+    borne = in_scope.select("source", "group").filter("`group` is not null").distinct()
+    names = borne.groupBy("group").agg(F.collect_set("source").alias("sources")).repartition(width, "group")
+    scored = score_terms(names.select("group"), terms, gram_sizes=profile["gram_sizes"], lowest=profile["lowest"], small=small)
     # All terms of a name in one row: at most the terms that pass their threshold for it.
     known = scored.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("term", "base"))).alias("known"))
-    found = in_scope.join(known, "group")
-    # An address is known by the position of its first matching row in the source; a row without one by its own.
-    firsts = found.filter("url is not null").groupBy("source", "url").agg(F.min("pos").alias("_first_pos"))
-    # Again of fixed width: few rows become many matches.
-    found = found.join(firsts, ["source", "url"], "left").select(
-        "source", "pos", "kind", "domain", "known", F.coalesce("_first_pos", "pos").alias("address"), tx.role_adjust(F.col("role")).alias("bonus")
-    )
-    found = found.repartition(width, "source", "pos").select("*", F.explode("known").alias("term", "base"))
-    inside = (F.col("base") >= F.col("cut")) & tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))
+    # A name also meets the queries once in each of its sources.
+    known = known.join(names, "group").select("group", "known", F.explode("sources").alias("source"))
+    known = known.select("*", F.explode("known").alias("term", "base"))
     rest = F.array_min(F.transform("others", lambda t: F.coalesce(F.try_element_at("known", t), F.lit(-1.0))))
-    hits = meet(found, routes, ["term", "source"]).filter(inside)
+    hits = meet(known, routes, ["term", "source"], ["group"]).filter(F.col("base") >= F.col("cut"))
     hits = hits.withColumn("_base", F.when(F.size("others") == 0, F.col("base")).otherwise(F.least("base", rest)))
-    score = F.when(F.col("fuzzy"), tx.ranked_score(F.col("_base"), F.col("bonus")))
-    matched = hits.filter(F.col("_base") >= F.col("cut")).select(
-        "q", "request_ord", "source", "fuzzy", "g_idx", "pos", "address", score.alias("score")
-    )
-    # Fuzzy: the best score wins, then the earliest row and OR-group, and the address ranks at its first row even when a
-    # later one won. Boolean: the first OR-group wins, then the earliest row.
-    order = F.when(F.col("fuzzy"), -F.col("score")).otherwise(F.col("g_idx").cast("double"))
-    best = matched.groupBy("q", "request_ord", "source", "fuzzy", "address").agg(
-        F.min(F.struct(order.alias("order"), "pos", "g_idx", "score")).alias("_b"), F.min("pos").alias("_first")
+    packed = stored(_packed(hits.filter(F.col("_base") >= F.col("cut")), profile["packs"]))
+    packed_bytes = packed.agg(F.sum(F.size("hits") * 64 + F.octet_length("group") + 64)).first()[0] or 0
+    few = packed_bytes <= max_bytes
+
+    wanted_names = broadcast_if_small(packed.select("source", "group").distinct(), max_bytes)[0]
+    found = in_scope.join(wanted_names, ["source", "group"], "left_semi")
+    # An address is known by the position of its first row here in the source; a row without one by its own.
+    firsts = found.filter("url is not null").groupBy("source", "url").agg(F.min("pos").alias("_pos"), F.count(F.lit(1)).alias("_n"))
+    placed = found.join(firsts, ["source", "url"], "left").select(
+        *["source", "group", "kind", "domain", "pos"],
+        tx.role_adjust(F.col("role")).alias("bonus"),
+        F.coalesce("_pos", "pos").alias("address"),
+        (F.coalesce("_n", F.lit(1)) > CROWD).alias("crowd"),
     )
-    tie = F.when(F.col("fuzzy"), F.col("_first")).otherwise(F.col("_b.pos"))
-    best = best.select("q", "request_ord", "source", F.col("_b.pos").alias("pos"), "fuzzy", F.col("_b.g_idx").alias("g_idx"), F.col("_b.score").alias("score"), tie.alias("tie_pos"))
+    placed = stored(placed)
+
+    def matches_of(rows: DataFrame) -> DataFrame:
+        """The best match of each address of ``rows`` for each query; the place of its request stands for the source."""
+        each = rows.select("address", "pos", "bonus", "kind", "domain", F.explode("hits").alias("_h"))
+        each = each.filter(tx.in_domains(F.col("kind"), F.col("domain"), F.col("_h.wanted")))
+        score = F.when(F.col("_h.base").isNotNull(), tx.ranked_score(F.col("_h.base"), F.col("bonus")))
+        each = each.select("address", "_h.q", "_h.request_ord", "pos", "_h.g_idx", score.alias("score"))
+        # Fuzzy: the best score wins, then the earliest row and OR-group, and the address ranks at its first row even when
+        # a later one won. Boolean, without a score: the first OR-group wins, then the earliest row.
+        order = F.coalesce(-F.col("score"), F.col("g_idx").cast("double"))
+        return each.groupBy("address", "q", "request_ord").agg(
+            F.min(F.struct(order.alias("order"), "pos", "g_idx", "score")).alias("_b"), F.min("pos").alias("_first")
+        )
+
+    # Rows of an address move together before they meet the queries, so that matches, which are many more, need no shuffle.
+    calm = placed.filter("not crowd")
+    if few:
+        # Sorted while they are narrow, the rows leave the aggregate's sort little to do.
+        calm = calm.repartition(width, "address").sortWithinPartitions("address")
+        best = matches_of(calm.join(F.broadcast(packed), ["source", "group"]))
+    else:
+        best = matches_of(calm.join(packed, ["source", "group"]).repartition(width, "address"))
+    if placed.agg(F.max("crowd")).first()[0]:
+        # Of the rows of a crowded address that match alike only the first can win; their matches merge in map tasks.
+        alike = placed.filter("crowd").groupBy("source", "address", "group", "bonus", "kind", "domain").agg(F.min("pos").alias("pos"))
+        best = best.unionByName(matches_of(alike.join(F.broadcast(packed) if few else packed, ["source", "group"])))
+    fuzzy = F.col("_b.score").isNotNull()
+    tie = F.when(fuzzy, F.col("_first")).otherwise(F.col("_b.pos"))
+    best = best.select("q", "request_ord", F.col("_b.pos").alias("pos"), fuzzy.alias("fuzzy"), F.col("_b.g_idx").alias("g_idx"), F.col("_b.score").alias("score"), tie.alias("tie_pos"))
     if not profile["any_blank"]:
         return best
     blank = targets.filter("not has_keywords").select("q", "source", "request_ord", "wanted")
-    listed = meet(symbols.select("source", "pos", "kind", "domain"), blank, ["source"]).filter(
+    listed = meet(symbols.select("source", "pos", "kind", "domain"), blank, ["source"], ["source", "pos"]).filter(
         tx.in_domains(F.col("kind"), F.col("domain"), F.col("wanted"))
     )
     constants = {"fuzzy": F.lit(False), "g_idx": F.lit(0), "score": F.lit(None).cast("double"), "tie_pos": F.col("pos")}
@@ -265,11 +314,23 @@ def match_narrow(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BR
 
 def widen(matches: DataFrame, symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Narrow matches with the rest of their symbols and queries, and ``matched_keyword``."""
-    asked = targets.select("q", "request_ord", "query_id", "requested", "groups")
-    asked = broadcast_if_small(asked, max_bytes)[0]
-    label = F.when(F.col("score").isNotNull(), F.array_join(F.get("groups", F.col("g_idx")), ","))
-    out = matches.join(asked, ["q", "request_ord"]).withColumn("matched_keyword", label).drop("groups", "q")
-    return out.join(symbols.select(*_ROW), ["source", "pos"])
+    labels = F.transform("groups", lambda g: F.array_join(g, ",")).alias("_labels")
+    asked = broadcast_if_small(targets.select("q", "request_ord", "query_id", "requested", labels), max_bytes)[0]
+    places = broadcast_if_small(targets.select("q", "request_ord", "source"), max_bytes)[0]
+    rows = symbols.select(*_ROW)
+    # Matches outnumber symbols: few symbols are broadcast, and while those of a task are few, they are hashed and matches
+    # are not sorted.
+    width = int(symbols.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in _ROW if c != "pos")
+    size = rows.agg(F.sum(texts + 100)).first()[0] or 0
+    if size <= max_bytes:
+        rows = F.broadcast(rows)
+    elif size <= width * MAX_BROADCAST_BYTES:
+        rows = rows.hint("shuffle_hash")
+    # Texts of the query are fetched last, when matches move no more.
+    out = matches.join(places, ["q", "request_ord"]).join(rows, ["source", "pos"]).join(asked, ["q", "request_ord"])
+    label = F.when(F.col("score").isNotNull(), F.get("_labels", F.col("g_idx")))
+    return out.withColumn("matched_keyword", label).drop("_labels", "q")
 
 
 def match_queries(symbols: DataFrame, targets: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docsift.operators.search import match_queries
+from docsift.operators import search as operators
+from docsift.operators.search import match_narrow, match_queries, number_queries
 from docsift.plans.search import batch_targets, rank_matches, search, search_batch, search_counts
 from docsift.schemas import QUERIES, REQUESTS, SYMBOLS
 from plain import boolean_rows, fuzzy_rows
@@ -203,3 +204,13 @@ def test_plan_of_a_batch(spark, symbols, sources, max_bytes):
     matches = match_queries(symbols, batch_targets(queries, requests, sources), max_bytes)
     plan = matches._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("max_bytes", [32 << 20, 0])
+def test_matches_move_only_to_their_ranks(spark, symbols, sources, monkeypatch, max_bytes):
+    """Rows of an address meet before they meet the queries, so that no match is shuffled to find the best of an address."""
+    queries, requests, _ = batch(spark)
+    targets = number_queries(batch_targets(queries.filter("keywords is not null"), requests, sources))
+    monkeypatch.setattr(operators, "CROWD", 10**9)  # the hot address is no crowd here
+    plan = match_narrow(symbols, targets, max_bytes)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan.split("Generate")[0]
