@@ -214,3 +214,14 @@ def test_matches_move_only_to_their_ranks(spark, symbols, sources, monkeypatch,
     monkeypatch.setattr(operators, "CROWD", 10**9)  # the hot address is no crowd here
     plan = match_narrow(symbols, targets, max_bytes)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and "Exchange" not in plan.split("Generate")[0]
+
+
+@pytest.mark.parametrize("max_bytes", [32 << 20, 0])
+def test_whole_batch_search(spark, symbols, sources, monkeypatch, max_bytes):
+    """Ranked from narrow matches, with crowded addresses and packed matches of a name in several rows."""
+    monkeypatch.setattr(operators, "CROWD", 3)
+    monkeypatch.setattr(operators, "PACK", 10)
+    queries, requests, expected = batch(spark)
+    found = search_batch(symbols, sources, queries, requests, max_bytes=max_bytes).collect()
+    got = {qid: shown([r for r in found if r["query_id"] == qid]) for qid in expected}
+    assert got == expected

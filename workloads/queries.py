@@ -20,7 +20,6 @@ from docsift.operators import audit as au
 from docsift.operators.search import (
     best_per_url as best_of,
     match_keywords,
-    match_queries,
     name_forms,
     query_targets,
     tier_of,
@@ -31,7 +30,7 @@ from docsift.operators.storage import checkpoint_folder, stored
 from docsift.operators.texttree import with_text_tree
 from docsift.plans import export
 from docsift.plans.gather import gather_symbols as gather
-from docsift.plans.search import batch_targets, rank_matches, search, search_and_count, search_batch
+from docsift.plans.search import batch_targets, search, search_and_count, search_batch
 from docsift.plans.search import search_counts as counts_of
 from docsift.sources import inventory, pages as pg, registry
 
@@ -704,8 +703,7 @@ def search_nulls(spark, sf):
 def fuzzy_search_batch_shuffled(spark, sf):
     symbols, sources = ad.symbols_part(spark, sf), ad.catalog_sources(spark, sf)
     queries = ad.query_batch(spark, sf)
-    targets = batch_targets(queries, ad.batch_requests(queries), sources)
-    return _scored(rank_matches(match_queries(symbols, targets, max_bytes=0), targets))
+    return _scored(search_batch(symbols, sources, queries, ad.batch_requests(queries), max_bytes=0))
 
 
 @register
